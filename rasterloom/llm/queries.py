@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from .decontam import OP10_SQL, op10_decontamination
+from .langid import op8_language_id
 from .mixing import op5_mixing
+from .quality import op2_quality
 from .sharding import op4_sharding
 from .topk import OP6_SQL, op6_topk
 
 QUERIES = {
+    "op2_quality": op2_quality,
     "op4_sharding": op4_sharding,
     "op5_mixing": op5_mixing,
     "op6_topk": op6_topk,
+    "op8_language_id": op8_language_id,
     "op10_decontamination": op10_decontamination,
 }
 ORACLES = {
