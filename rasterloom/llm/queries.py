@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontam import OP10_SQL, op10_decontamination
+from .jaccard import op9_jaccard_join
 from .langid import op8_language_id
 from .mixing import op5_mixing
 from .quality import op2_quality
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_topk": op6_topk,
     "op8_language_id": op8_language_id,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_decontamination": op10_decontamination,
 }
 ORACLES = {
