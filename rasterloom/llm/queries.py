@@ -8,10 +8,12 @@ from .langid import op8_language_id
 from .mixing import op5_mixing
 from .quality import op2_quality
 from .sharding import op4_sharding
+from .suffix import op3_suffix_dedup
 from .topk import OP6_SQL, op6_topk
 
 QUERIES = {
     "op2_quality": op2_quality,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_sharding": op4_sharding,
     "op5_mixing": op5_mixing,
     "op6_topk": op6_topk,
