@@ -14,7 +14,7 @@ SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 def words_of(text: Column) -> Column:
     """Words of a text: lower-cased runs of ASCII letters and digits and of all characters beyond ASCII. Null: none."""
-    return F.filter(F.split(F.coalesce(ascii_lower(text), F.lit("")), SEPARATORS), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(ascii_lower(text), F.lit("")), SEPARATORS), "")
 
 
 def windows_of(items: DataFrame, size: int) -> DataFrame:
@@ -50,33 +50,26 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, text: str
     df = vocabulary.join(counts, "word", "left").select("word", F.coalesce("df", F.lit(0)).alias("df"))
     places = windows.select("w", "n", "ids", F.posexplode("w").alias("at", "word")).join(df, "word")
     rarest = places.groupBy("w", "n", "ids").agg(F.min(F.struct("df", "at", "word")).alias("least"))
-    prefix = rarest.groupBy(F.col("least.word").alias("word")).agg(F.collect_list(F.struct("w", "n", F.col("least.at").alias("at"), "ids")).alias("windows"))
-    empty = F.array().cast(prefix.schema["windows"].dataType)
-    mark = docs.sparkSession.range(1).select(F.lit("").alias("word"), empty.alias("windows"))
+    prefix = rarest.select(F.col("least.word").alias("prefix"), "w", F.col("n").cast("int").alias("n"), F.col("least.at").cast("int").alias("at"), "ids")
+    mark = docs.sparkSession.range(1).select(F.lit("").alias("prefix"), F.array(F.lit("")).alias("w"), F.lit(1).alias("n"), F.lit(0).alias("at"), F.array(F.lit("")).alias("ids"))
     prefix = cut(prefix.unionByName(mark))
-    columns = [c for c in docs.columns if c not in ("_id", "_ws", "_i")]
+    columns = [c for c in docs.columns if c not in ("_id", "_ws", "_i", "_n")]
     keep = [F.col(f"`{c}`") for c in columns if c != text]
-    rows = docs.select(F.monotonically_increasing_id().alias("_id"), *keep, words_of(F.col(f"`{text}`")).alias("_ws"))
+    # no lambda from here to the aggregation, so scan, explosion, join and comparison compile to one loop over the words
+    rows = docs.select(F.monotonically_increasing_id().alias("_id"), *keep, F.concat(words_of(F.col(f"`{text}`")), F.array(F.lit(""))).alias("_ws"))
+    at = rows.select("*", (F.size("_ws") - 1).alias("_n"), F.posexplode("_ws").alias("_i", "_word"))
     if broadcast:
         near, place = F.col("_ws"), F.col("_i")
-        at = rows.select("*", F.posexplode(F.concat("_ws", F.array(F.lit("")))).alias("_i", "word"))
     else:
         # the words that a window can reach from this one travel with it
-        at = rows.select("*", F.posexplode(F.concat("_ws", F.array(F.lit("")))).alias("_i", "word"))
         begin = F.greatest(F.col("_i") - (window - 1), F.lit(0))
-        at = at.select("_id", *keep, F.size("_ws").alias("_n"), "_i", "word", F.slice("_ws", begin + 1, F.lit(2 * window - 1)).alias("_near"), begin.alias("_begin"))
+        at = at.select("_id", *keep, "_n", "_i", "_word", F.slice("_ws", begin + 1, F.lit(2 * window - 1)).alias("_near"), begin.alias("_begin"))
         near, place = F.col("_near"), F.col("_i") - F.col("_begin")
-    n_words = F.size("_ws") if broadcast else F.col("_n")
-
-    def occurs(x: Column) -> Column:
-        first = place - x["at"]
-        return (first >= 0) & (first + x["n"] <= F.size(near)) & (F.slice(near, F.greatest(first, F.lit(0)) + 1, x["n"]) == x["w"])
-
-    found = F.transform(F.filter("windows", occurs), lambda x: F.struct((F.col("_i") - x["at"]).alias("i"), x["n"].alias("n"), x["ids"].alias("ids")))
-    met = at.join(hint(prefix), "word").select("_id", *keep, n_words.alias("n_words"), "word", found.alias("found"))
-    met = met.filter((F.col("word") == "") | (F.size("found") > 0))
-    runs = F.flatten(F.collect_list("found"))
-    out = met.groupBy("_id", *keep, "n_words").agg(runs.alias("runs"))
+    first = place - F.col("at")
+    whole = (first >= 0) & (first + F.col("n") <= F.size(near)) & (F.slice(near, F.greatest(first, F.lit(0)) + 1, F.col("n")) == F.col("w"))
+    met = at.join(hint(prefix), (F.col("_word") == F.col("prefix")) & whole)
+    run = F.when(F.col("prefix") != "", F.struct((F.col("_i") - F.col("at")).alias("i"), F.col("n"), F.col("ids")))
+    out = met.groupBy("_id", *keep, F.col("_n").alias("n_words")).agg(F.collect_list(run).alias("runs"))
     spread = F.flatten(F.transform("runs", lambda r: F.sequence(r["i"], r["i"] + r["n"] - 1)))
     names = F.flatten(F.transform("runs", lambda r: r["ids"]))
     return out.select(*keep, "n_words", F.array_sort(F.array_distinct(spread)).alias("hits"), F.array_sort(F.array_distinct(names)).alias("items"))
