@@ -6,20 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, utf8_bytes
+from .common import utf8_bytes
 
 
 def shuffle_to_shards(docs: DataFrame, n_shards: int = 8, seed: int = 17, bucket_bytes: int = 8 << 20, text: str = "text") -> DataFrame:
     """All rows of docs in one random order, dealt to shards whose row counts differ by one at most (law `rows`).
 
-    Pass 1 scatters the rows into buckets of about bucket_bytes by a seeded hash of the row and of its place in the
-    input, so no value, however common, makes a bucket larger than others. Pass 2 shuffles each bucket with Spark's
-    `shuffle` (Fisher-Yates) and numbers all rows: the bucket's first number plus the place within it. Row p goes to
-    shard p mod n_shards, slot p div n_shards.
+    Pass 1 scatters the rows into buckets of about bucket_bytes by a seeded hash of the whole row, so a source or a text
+    that many rows share makes no bucket larger than others, and a task that runs again deals as before. Pass 2 shuffles
+    each bucket with Spark's `shuffle` (Fisher-Yates) and numbers all rows: the bucket's first number, from counts of all
+    buckets, plus the place within it. Row p goes to shard p mod n_shards, slot p div n_shards. The texts move once.
 
     Adds the columns law, shard, slot and grown_shard (null under this law); they replace columns of those names.
-    Null ids or texts, empty texts and repeated rows are rows as any other; an empty table gives an empty result. A
-    rerun over the same files gives the same shards. One text is the least that a bucket holds, so memory follows
+    Null ids or texts, empty texts and repeated rows are rows as any other (rows equal in all columns meet in one
+    bucket); an empty table gives an empty result. One text is the least that a bucket holds, so memory follows
     the larger of bucket_bytes and the longest text.
     """
     if n_shards < 1:
@@ -29,13 +29,14 @@ def shuffle_to_shards(docs: DataFrame, n_shards: int = 8, seed: int = 17, bucket
     total = docs.agg(F.count("*").alias("n"), F.sum(utf8_bytes(F.col(text)) + 64).alias("b")).first()
     buckets = max(1, -(-int(total["b"] or 0) // bucket_bytes))
     row = F.struct(*[F.col(f"`{c}`") for c in columns])
-    key = F.xxhash64(F.lit(seed), F.lit("scatter"), F.monotonically_increasing_id(), F.col(f"`{text}`"))
-    dealt = docs.select(F.pmod(key, F.lit(buckets)).alias("bucket"), F.xxhash64(F.lit(seed), F.lit("order"), key).alias("at"), row.alias("row"))
+    key = F.xxhash64(F.lit(seed), F.lit("scatter"), *[F.col(f"`{c}`") for c in columns])
+    bucket = F.pmod(key, F.lit(buckets)).alias("bucket")
+    before = F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    first = docs.groupBy(bucket).agg(F.count("*").alias("n")).select("bucket", F.coalesce(before, F.lit(0)).alias("first"))
+    dealt = docs.select(bucket, F.xxhash64(F.lit(seed), F.lit("order"), key).alias("at"), row.alias("row"))
     # sorted by a hash first, as the order of arrival may change from run to run, which Fisher-Yates would carry on
     whole = dealt.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("at", "row"))).alias("rows"))
-    whole = cut(whole.select("bucket", F.size("rows").cast("long").alias("n"), F.shuffle("rows", F.lit(seed)).alias("rows")))
-    before = F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    first = whole.select("bucket", "n").select("bucket", F.coalesce(before, F.lit(0)).alias("first"))
+    whole = whole.select("bucket", F.shuffle("rows", F.lit(seed)).alias("rows"))
     placed = whole.join(first, "bucket").select("first", F.posexplode("rows").alias("i", "x"))
     place = (F.col("first") + F.col("i")).alias("place")
     out = placed.select(place, F.col("x.row").alias("row"))
