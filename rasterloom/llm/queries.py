@@ -5,18 +5,22 @@ from __future__ import annotations
 from .decontam import OP10_SQL, op10_decontamination
 from .jaccard import op9_jaccard_join
 from .langid import op8_language_id
+from .linededup import op1_line_dedup
 from .mixing import op5_mixing
 from .quality import op2_quality
 from .sharding import op4_sharding
+from .substring import op7_substring_dedup
 from .suffix import op3_suffix_dedup
 from .topk import OP6_SQL, op6_topk
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_quality": op2_quality,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_sharding": op4_sharding,
     "op5_mixing": op5_mixing,
     "op6_topk": op6_topk,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_language_id": op8_language_id,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_decontamination": op10_decontamination,

@@ -80,6 +80,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int =
     Queries are handled in blocks of about `query_block`, each against all rows; only one block of vectors and cutoffs is
     broadcast at a time. A query's own id is never its result. Repeated rows count each; a query id that occurs with
     several vectors counts once, with the least vector. Rows of another length than the query's are no candidates.
+    Scores are 64-bit sums; components above 2**30 or so would exceed them.
     """
     spark = vectors.sparkSession
     ensure_checkpoint_dir(spark)
