@@ -67,9 +67,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, text: str
         near, place = F.col("_near"), F.col("_i") - F.col("_begin")
     first = place - F.col("at")
     whole = (first >= 0) & (first + F.col("n") <= F.size(near)) & (F.slice(near, F.greatest(first, F.lit(0)) + 1, F.col("n")) == F.col("w"))
+    kept = [F.first(f"`{c}`").alias(c) for c in columns if c != text]
     met = at.join(hint(prefix), (F.col("_word") == F.col("prefix")) & whole)
     run = F.when(F.col("prefix") != "", F.struct((F.col("_i") - F.col("at")).alias("i"), F.col("n"), F.col("ids")))
-    out = met.groupBy("_id", *keep, F.col("_n").alias("n_words")).agg(F.collect_list(run).alias("runs"))
+    out = met.groupBy("_id").agg(*kept, F.first("_n").alias("n_words"), F.collect_list(run).alias("runs"))
     spread = F.flatten(F.transform("runs", lambda r: F.sequence(r["i"], r["i"] + r["n"] - 1)))
     names = F.flatten(F.transform("runs", lambda r: r["ids"]))
     return out.select(*keep, "n_words", F.array_sort(F.array_distinct(spread)).alias("hits"), F.array_sort(F.array_distinct(names)).alias("items"))
