@@ -228,9 +228,9 @@ def mask_coarsen(spark, sf):
     return masks.coarsen(src.mask_a(spark, sf), 2).select("mask_id", C("tx").cast("int").alias("tx"), C("ty").cast("int").alias("ty"))
 
 
-@query("quad_rollup", with_sql("mask_a", "SELECT mask_id, x // 4 AS tx, y // 4 AS ty, CASE WHEN count(*) = 16 THEN true END AS white FROM mask_a GROUP BY 1, 2, 3"))
+@query("quad_rollup", with_sql("mask_a", "SELECT mask_id, x // 4 AS tx, y // 4 AS ty, CASE WHEN count(*) = 16 THEN 1 ELSE -1 END AS state FROM mask_a GROUP BY 1, 2, 3"))
 def quad_rollup(spark, sf):
-    return masks.roll_up(src.mask_a(spark, sf), 8, 8, 4).select("mask_id", C("tx").cast("int").alias("tx"), C("ty").cast("int").alias("ty"), "white")
+    return masks.roll_up(src.mask_a(spark, sf), 8, 8, 4).select("mask_id", C("tx").cast("int").alias("tx"), C("ty").cast("int").alias("ty"), F.when(C("white"), 1).otherwise(-1).alias("state"))
 
 
 @query("mask_resize", with_sql("mask_a", "SELECT m.mask_id, d.x, e.y FROM mask_a m JOIN (SELECT CAST(unnest(generate_series(0, 11)) AS INTEGER) AS x) d ON m.x = CAST(floor(d.x * 8.0 / 12 + 0.5) AS INTEGER) JOIN (SELECT CAST(unnest(generate_series(0, 4)) AS INTEGER) AS y) e ON m.y = CAST(floor(e.y * 8.0 / 5 + 0.5) AS INTEGER)"))

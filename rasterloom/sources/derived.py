@@ -122,7 +122,7 @@ SQL = {
     "sparse": "SELECT CAST(l_linenumber AS BIGINT) AS image_id, CAST(l_partkey % 64 AS INTEGER) AS x, CAST(l_orderkey % 64 AS INTEGER) AS y, CAST(sum(l_quantity) AS BIGINT) % 256 AS v FROM lineitem GROUP BY 1, 2, 3",
     "mask_a": "SELECT image_id AS mask_id, x, y FROM gray8 WHERE v >= 128",
     "mask_b": "SELECT image_id AS mask_id, x, y FROM gray8 WHERE (x + y + v) % 3 <> 0",
-    "triangles": "SELECT l_orderkey * 8 + l_linenumber AS tri_id, l_suppkey % 8 AS image_id, CAST(l_partkey % 64 AS DOUBLE) AS ax, CAST(l_orderkey % 64 AS DOUBLE) AS ay, l_quantity AS az, ax + s AS bx, ay + l_linenumber AS by, CAST(l_linenumber AS DOUBLE) AS bz, ax + l_linenumber AS cx, ay + s AS cy, CAST(l_suppkey % 16 AS DOUBLE) AS cz FROM (SELECT *, CAST(1 + CAST(l_quantity AS INTEGER) % 12 AS DOUBLE) AS s FROM lineitem)",
+    "triangles": "SELECT l_orderkey * 8 + l_linenumber AS tri_id, l_suppkey % 8 AS image_id, CAST(l_partkey % 64 AS DOUBLE) AS ax, CAST(l_orderkey % 64 AS DOUBLE) AS ay, l_quantity AS az, ax + s AS bx, ay + l_linenumber AS \"by\", CAST(l_linenumber AS DOUBLE) AS bz, ax + l_linenumber AS cx, ay + s AS cy, CAST(l_suppkey % 16 AS DOUBLE) AS cz FROM (SELECT *, CAST(1 + CAST(l_quantity AS INTEGER) % 12 AS DOUBLE) AS s FROM lineitem)",
     "rects": "SELECT p_partkey % 16 AS atlas_id, p_partkey AS rect_id, p_size AS w, CAST(1 + p_partkey % 37 AS INTEGER) AS h FROM part",
     "georefs": "SELECT c_custkey AS id, {'x': c_custkey % 360 - 180, 'y': CAST(c_nationkey AS BIGINT)} AS ul, {'x': c_custkey % 360 - 173, 'y': CAST(c_nationkey - 1 AS BIGINT)} AS ur, {'x': c_custkey % 360 - 174, 'y': CAST(c_nationkey - 9 AS BIGINT)} AS lr, {'x': c_custkey % 360 - 182, 'y': CAST(c_nationkey - 8 AS BIGINT)} AS ll FROM customer",
     "crops": "SELECT p_partkey AS id, concat(p_size, 'x', p_partkey % 97 + 1, '+', p_partkey, '-', p_size) AS crop FROM part",
