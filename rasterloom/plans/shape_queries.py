@@ -129,11 +129,11 @@ def exif_orientation(spark, sf):
     return p.withColumn("value", headers.orientation_value(C("name")))
 
 
-@query("exif_values", f"SELECT p_partkey AS file_id, CASE p_partkey % 4 WHEN 1 THEN 1 WHEN 2 THEN 254 WHEN 3 THEN 1 END AS num, CASE p_partkey % 4 WHEN 1 THEN 1 WHEN 2 THEN 10000 WHEN 3 THEN 100 END AS den, {fixed_sql('CASE WHEN p_size % 5 <> 0 THEN CAST(p_partkey AS DOUBLE) / (p_size % 5) END')} AS value, CASE WHEN p_size % 2 = 0 THEN 'maker' ELSE 'none' END AS make FROM part")
+@query("exif_values", f"SELECT p_partkey AS file_id, CASE p_partkey % 4 WHEN 1 THEN 1 WHEN 2 THEN 254 WHEN 3 THEN 1 ELSE 0 END AS num, CASE p_partkey % 4 WHEN 1 THEN 1 WHEN 2 THEN 10000 WHEN 3 THEN 100 ELSE 0 END AS den, {fixed_sql('CASE WHEN p_size % 5 <> 0 THEN CAST(p_partkey AS DOUBLE) / (p_size % 5) ELSE -1 END')} AS value, CASE WHEN p_size % 2 = 0 THEN 'maker' ELSE 'none' END AS make FROM part")
 def exif_values(spark, sf):
     tags = F.map_from_entries(F.when(C("h") % 2 == 0, F.array(F.struct(F.lit("010f"), F.lit("maker")))).otherwise(F.array(F.struct(F.lit("0110"), F.lit("model")))))
     p = _parts(spark, sf).select("file_id", headers.resolution_unit(C("file_id") % 4).alias("u"), headers.exif_rational(F.concat_ws("/", C("file_id"), C("h") % 5)).alias("v"), headers.exif_entry(tags, "010f", "none").alias("make"))
-    return p.select("file_id", C("u.num").cast("int").alias("num"), C("u.den").cast("int").alias("den"), fixed(C("v")).alias("value"), "make")
+    return p.select("file_id", F.coalesce("u.num", F.lit(0)).cast("int").alias("num"), F.coalesce("u.den", F.lit(0)).cast("int").alias("den"), fixed(F.coalesce("v", F.lit(-1.0))).alias("value"), "make")
 
 
 @query("orientation_remap", with_sql("mosaic", "SELECT image_id, CASE image_id % 8 WHEN 0 THEN x WHEN 1 THEN 47 - x WHEN 2 THEN 47 - x WHEN 3 THEN x WHEN 4 THEN y WHEN 5 THEN 47 - y WHEN 6 THEN 47 - y ELSE y END AS x, CASE image_id % 8 WHEN 0 THEN y WHEN 1 THEN y WHEN 2 THEN 47 - y WHEN 3 THEN 47 - y WHEN 4 THEN x WHEN 5 THEN x WHEN 6 THEN 47 - x ELSE 47 - x END AS y, v FROM mosaic"))
