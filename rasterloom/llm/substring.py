@@ -14,19 +14,19 @@ from .linking import link_by_keys, shared_keys
 
 #: Words of a shingle; of a paragraph at least, and of a passage that two paragraphs share.
 SHINGLE, LEAST, PASSAGE = 5, 50, 50
-#: Bands of one minimum each: two paragraphs with Jaccard similarity 0.8 miss each other with a chance of 0.2**BANDS.
-BANDS = 4
-#: Shingles of a window that picks one; PASSAGE words hold two windows and more, so two neighbouring picks.
+#: Bands of ROWS minima each: two paragraphs with Jaccard similarity 0.8 miss each other with a chance of 0.003.
+BANDS, ROWS = 8, 3
+#: Shingles of a window that picks one; PASSAGE words hold so many windows that three picks in a row are common.
 WINDOW = 14
-SALTS = mix(np.arange(51, 51 + BANDS, dtype=np.uint64))
+SALTS = mix(np.arange(51, 51 + BANDS * ROWS, dtype=np.uint64))
 
 
 def _keys(shingles: np.ndarray) -> np.ndarray:
-    """Minima of the bands, and hashes of neighbouring picks."""
-    minima = [mix(shingles[(mix(shingles ^ s)).argmin()][None] ^ s)[0] for s in SALTS]
+    """Bands of minima, and hashes of three neighbouring picks."""
+    minima = np.array([(shingles ^ s).min() for s in SALTS], dtype=np.uint64).reshape(BANDS, ROWS)
+    bands = mix(minima[:, 0] * np.uint64(5) + minima[:, 1] * np.uint64(3) + minima[:, 2] + SALTS[:BANDS])
     picks = shingles[winnow(shingles, WINDOW)]
-    pairs = mix(picks[:-1] * np.uint64(3) + picks[1:])
-    return np.unique(np.concatenate([np.array(minima, dtype=np.uint64), pairs]))
+    return np.unique(np.concatenate([bands, mix(picks[:-2] * np.uint64(9) + picks[1:-1] * np.uint64(3) + picks[2:])]))
 
 
 def _paragraphs(docs: DataFrame, full: bool) -> DataFrame:
@@ -68,13 +68,19 @@ def _paragraphs(docs: DataFrame, full: bool) -> DataFrame:
     return docs.mapInArrow(run, "pid long, keys array<long>, z binary" if full else f"doc_id {kind}, paragraph int, begin long, end long, n_words int, pid long")
 
 
-def related(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two paragraphs' words have 80 percent of their shingles in common, or PASSAGE words in a row."""
-    if similar(np.unique(shingle_hashes(a, SHINGLE)), np.unique(shingle_hashes(b, SHINGLE))):
+def parts(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What two paragraphs are compared by: sorted distinct shingles, and sorted runs of PASSAGE words."""
+    return np.unique(shingle_hashes(words, SHINGLE)), np.sort(shingle_hashes(words, PASSAGE)) if len(words) >= PASSAGE else np.zeros(0, np.uint64)
+
+
+def related(a: tuple, b: tuple) -> bool:
+    """Whether two paragraphs have 80 percent of their shingles in common, or PASSAGE words in a row."""
+    if similar(a[0], b[0]):
         return True
-    if len(a) < PASSAGE or len(b) < PASSAGE:
+    small, large = (a[1], b[1]) if len(a[1]) < len(b[1]) else (b[1], a[1])
+    if not len(small):
         return False
-    return bool(np.isin(shingle_hashes(a, PASSAGE), shingle_hashes(b, PASSAGE)).any())
+    return bool((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).any())
 
 
 def _verify(texts: DataFrame):
@@ -85,18 +91,18 @@ def _verify(texts: DataFrame):
 
             unpack, cache = zstandard.ZstdDecompressor().decompress, {}
 
-            def words(key, value):
+            def made(key, value):
                 if key not in cache:
-                    if len(cache) > 256:
+                    if len(cache) > 512:
                         cache.clear()
                     raw = np.frombuffer(unpack(value.as_py()), dtype=np.uint8)
-                    cache[key] = word_hashes(raw, np.array([0, len(raw)]))[0]
+                    cache[key] = parts(word_hashes(raw, np.array([0, len(raw)]))[0])
                 return cache[key]
 
             for batch in batches:
                 a, b, za, zb = (batch.column(c) for c in ("a", "b", "za", "zb"))
                 ka, kb = a.to_pylist(), b.to_pylist()
-                keep = [related(words(ka[i], za[i]), words(kb[i], zb[i])) for i in range(len(ka))]
+                keep = [related(made(ka[i], za[i]), made(kb[i], zb[i])) for i in range(len(ka))]
                 yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         both = pairs.join(texts.select(F.col("pid").alias("a"), F.col("z").alias("za")), "a").join(texts.select(F.col("pid").alias("b"), F.col("z").alias("zb")), "b")
@@ -114,8 +120,8 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
     component_id is its doc_id. Documents without such a paragraph have no row. Null or empty texts have no paragraphs;
     null ids come last; repeated rows are copies; an empty table gives an empty result.
 
-    Candidates: equal paragraphs are one class. Bands of one minimum each find similar paragraphs, and pairs of
-    neighbouring winnowed shingles find common passages, which always hold such a pair. See link_by_keys for how keys
+    Candidates: equal paragraphs are one class. Bands of minima find similar paragraphs, and three neighbouring winnowed
+    shingles find common passages, which always hold such a run. See link_by_keys for how keys
     that very many paragraphs have are worked through. Compressed texts move once and lie partitioned by class.
     """
     docs = docs.select("doc_id", F.col(text).alias("text"))
