@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +40,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As cut, for the tables of an iteration: a Parquet table in the shared folder, in as few files as its size asks for.
+
+    A checkpoint keeps the order, partitioning and constraints of its plan; from round to round these nest into each
+    other and fill the driver. The tables go when the program ends.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    sc = spark.sparkContext
+    top = f"{sc.getCheckpointDir()}/tables-{sc.applicationId}"
+    if top not in _tops:
+        _tops.add(top)
+        atexit.register(_remove, sc, top)
+    path = f"{top}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_tops: set[str] = set()
+
+
+def _remove(sc, top: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        path = sc._jvm.org.apache.hadoop.fs.Path(top)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 # ---------------------------------------------------------------- columns
 
 
@@ -197,34 +227,41 @@ def winnow(values: np.ndarray, width: int) -> np.ndarray:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Distributed union-find over undirected edges: (id, comp), comp the least id of the component.
 
-    Each round hooks every node below its least neighbour, shortens the paths until all point at a root, and replaces
-    the edges by edges between roots. Only minima are grouped by node, so a node with very many edges is summed where
-    they are read; the joins have plain shuffled inputs, which adaptive execution splits where one key is hot. Every
-    round is checkpointed. Nodes without an edge do not appear.
+    Each round hooks every node below its least neighbour, lets it point past that one, and replaces the edges by those
+    between what the ends point at now, with the paths that are not yet flat. Only minima are grouped by node, so a node
+    with very many edges is summed where they are read; the joins have plain shuffled inputs, which adaptive execution
+    splits where one key is hot. A round is three written tables. Nodes without an edge do not appear.
     """
-    cur = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null and a <> b").distinct())
+    cur = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null and a <> b").distinct())
     labels = None
-    while not cur.isEmpty():
-        both = cur.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("up"))
-        roots = cur.select(F.explode(F.array("a", "b")).alias("id")).select("id", F.col("id").alias("up"))
-        parent = cut(both.union(roots).groupBy("id").agg(F.min("up").alias("up")))
-        while True:
-            nxt = parent.select(F.col("id").alias("up"), F.col("up").alias("upper"))
-            jumped = cut(parent.join(nxt, "up").select("id", F.col("up").alias("was"), F.col("upper").alias("up")))
-            done = jumped.filter("was <> up").isEmpty()
-            parent = jumped.select("id", "up")
-            if done:
-                break
-        root = parent.withColumnRenamed("up", "comp")
+    while True:
+        ends = F.explode(F.array(F.struct(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("up")), F.struct(F.least("a", "b").alias("id"), F.least("a", "b").alias("up"))))
+        hooked = written(cur.select(ends.alias("e")).groupBy(F.col("e.id").alias("id")).agg(F.min("e.up").alias("up")))
+        above = hooked.select(F.col("id").alias("up"), F.col("up").alias("upper"))
+        higher = hooked.select(F.col("id").alias("upper"), F.col("up").alias("highest"))
+        parent = written(hooked.join(above, "up").join(higher, "upper").select("id", F.col("highest").alias("up")))
         if labels is None:
-            labels = root
+            labels = parent.withColumnRenamed("up", "comp")
         else:
-            step = root.select(F.col("id").alias("comp"), F.col("comp").alias("next"))
-            labels = cut(labels.join(step, "comp", "left").select("id", F.coalesce("next", "comp").alias("comp")))
-        to_a = root.select(F.col("id").alias("a"), F.col("comp").alias("ca"))
-        to_b = root.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
-        cur = cut(cur.join(to_a, "a").join(to_b, "b").filter("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct())
-    if labels is None:
-        kind = edges.schema[a].dataType
-        return edges.sparkSession.createDataFrame([], f"id {kind.simpleString()}, comp {kind.simpleString()}")
-    return labels
+            step = parent.select(F.col("id").alias("comp"), F.col("up").alias("next"))
+            labels = labels.join(step, "comp", "left").select("id", F.coalesce("next", "comp").alias("comp"))
+        to_a = parent.select(F.col("id").alias("a"), F.col("up").alias("ca"))
+        to_b = parent.select(F.col("id").alias("b"), F.col("up").alias("cb"))
+        moved = cur.join(to_a, "a").join(to_b, "b").select("ca", "cb")
+        steep = parent.select(F.col("id").alias("ca"), F.col("up").alias("cb")).filter("ca <> cb")
+        # a node that others point at and that points on itself
+        steep = steep.join(parent.select(F.col("up").alias("ca")).distinct(), "ca", "left_semi").select("ca", "cb")
+        cur = written(moved.union(steep).filter("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct())
+        if cur.isEmpty():
+            return written(labels)
+        labels = written(labels)
+
+
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps (id, comp) after more links (a, b): only the components that these join are worked on."""
+    a = comps.select(F.col("id").alias("a"), F.col("comp").alias("ca"))
+    b = comps.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
+    ends = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    new = connected_components(ends).select(F.col("id").alias("comp"), F.col("comp").alias("next"))
+    moved = comps.join(new, "comp", "full").select(F.coalesce("id", "comp").alias("id"), F.coalesce("next", "comp").alias("comp"))
+    return written(moved)

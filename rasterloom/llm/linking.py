@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import connected_components, cut
+from .common import connected_components, cut, merged, written
 
 #: Members up to which a key's pairs are compared at once, and leaders of one round of a larger key.
 SMALL = 64
@@ -31,28 +31,29 @@ def link_by_keys(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
     and a round's pairs are at most SMALL for each member.
     """
     pairs = members.filter("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-    links = cut(verify(cut(pairs)))
-    comps = cut(connected_components(links))
-    ranked, turn = None, 0
+    comps = connected_components(verify(pairs))
+    ranked, turn, last = None, 0, 0
     while True:
         named = cut(members.select("key", "id").join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")))
         wide = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).filter("c0 < c1")
-        wide = cut(wide.select("key", "m"))
+        wide = written(wide.select("key", "m"))
         rest = cut(named.join(wide, "key"))
         if turn == 0:
-            small = rest.filter(F.col("m") <= SMALL)
-            leaders = small
+            leaders = rest = rest.filter(F.col("m") <= SMALL)
             salt = F.pmod(F.xxhash64("id"), F.lit(SMALL))
             order = Window.partitionBy("key", salt).orderBy("id")
-            ranked = cut(rest.filter(F.col("m") > SMALL).select("key", "id", F.row_number().over(order).alias("turn")))
+            large = named.join(wide.filter(F.col("m") > SMALL), "key")
+            ranked = cut(large.select("key", "id", F.row_number().over(order).alias("turn")))
+            last = ranked.agg(F.max("turn")).first()[0] or 0
         else:
+            rest = rest.filter(F.col("m") > SMALL)
             leaders = rest.join(ranked.filter(F.col("turn") == turn), ["key", "id"], "left_semi")
-            if ranked.filter(F.col("turn") >= turn).join(wide, "key", "left_semi").isEmpty():
-                return comps
         other = leaders.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"))
-        pairs = rest.filter(F.col("m") <= SMALL if turn == 0 else F.col("m") > SMALL).join(other, "key").filter("comp <> cb")
-        pairs = cut(pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct())
+        pairs = rest.join(other, "key").filter("comp <> cb")
+        pairs = pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+        links = written(verify(pairs))
+        if not links.isEmpty():
+            comps = merged(comps, links)
         turn += 1
-        if not pairs.isEmpty():
-            links = cut(links.unionByName(verify(pairs)))
-            comps = cut(connected_components(links))
+        if turn > last:
+            return comps
