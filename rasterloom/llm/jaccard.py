@@ -12,10 +12,10 @@ from .common import connected_components, cut, merged, mix, raw_bytes, shingle_h
 
 #: Words of a shingle, and the least share of common shingles, in percent.
 SHINGLE, PERCENT = 5, 80
-#: Smallest hashes that a document shows, and how many of them, at most, it is found by.
-SHOWN, PROBES = 64, 12
-#: A token that more sets than this show is hot: it is used only where the others are too few.
-HOT = 64
+#: Smallest hashes that a document shows for the grouping.
+SHOWN = 64
+#: A token that more sets than this show is hot. The HOTTEST most frequent of these come last in the order of tokens.
+HOT, HOTTEST = 64, 100_000
 #: Keys of the first grouping, and members of a group (its row of the matrix is bounded by it).
 GROUP_KEYS, GROUP_SIZE = 4, 64
 #: Rounds in which classes with hot tokens are compared with the plainest class there, and tokens by which each is dealt.
@@ -28,6 +28,25 @@ def shingle_set(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return np.unique(shingle_hashes(words, size))
 
 
+def prefix(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The first n - ceil(0.8 n) + 1 of a set's sorted tokens, those in hot (sorted) after all others.
+
+    All tokens of all sets stand in this one order, so two sets of similarity 0.8 always have a token of their prefixes
+    in common, whatever hot holds.
+    """
+    n = len(tokens)
+    if n and len(hot):
+        late = hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens
+        tokens = np.concatenate([tokens[~late], tokens[late]])
+    return tokens[: n - (n * PERCENT + 99) // 100 + 1] if n else tokens
+
+
+def hottest(counts: DataFrame) -> np.ndarray:
+    """Sorted tokens of the HOTTEST most frequent rows of counts (tok, df) over HOT."""
+    rows = counts.filter(F.col("df") > HOT).orderBy(F.desc("df"), "tok").limit(HOTTEST).select("tok").toArrow()
+    return np.sort(rows.column("tok").to_numpy().astype(np.int64).view(np.uint64))
+
+
 def set_of_text(raw: bytes) -> np.ndarray:
     data = np.frombuffer(raw, dtype=np.uint8)
     return shingle_set(word_hashes(data, np.array([0, len(data)]))[0])
@@ -110,6 +129,25 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(side, "a").join(other, "b").filter(fits).select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
 
 
+def _prefixes(texts: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(cid, n, i, tok): each class's prefix, i the place of a token in the class's order."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            found = [prefix(set_of_text(unpack(z.as_py())), hot) for z in batch.column("z")]
+            sizes = np.array([len(f) for f in found], dtype=np.int64)
+            at = np.repeat(np.arange(len(found)), sizes)
+            i = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            tok = signed(np.concatenate([*found, np.zeros(0, np.uint64)]))
+            yield pa.RecordBatch.from_arrays([batch.column("cid").take(pa.array(at)), batch.column("n").take(pa.array(at)), pa.array(i), pa.array(tok)], names=["cid", "n", "i", "tok"])
+
+    return texts.select("cid", "n", "z").mapInArrow(run, "cid long, n long, i long, tok long")
+
+
 def _within_bound(queries: DataFrame) -> DataFrame:
     """(cid, gid) of the rows (cid, gid, z, union) whose group's union holds enough of the query's shingles."""
 
@@ -157,10 +195,10 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     2. Groups: classes with a common minimum of their hashes are compared with the least class there; the links'
        components, cut to GROUP_SIZE members, are the groups of similar documents.
        Classes that show hot tokens are compared with the plainest class of these too.
-    3. Token-group matrix: each class shows its SHOWN smallest hashes. A token shown only within one component needs no
-       work, which leaves few. A class is found by its first tokens, hot ones last: as many as a prefix filter needs
-       (n - ceil(0.8 n) + 1), at most PROBES. Two similar sets miss each other there with a chance of 0.2**PROBES, about
-       4e-9.
+    3. Token-group matrix: each class has its whole prefix, n - ceil(0.8 n) + 1 tokens in one order of all tokens (the
+       hottest last, then by hash), so two similar sets always share a token there. A token within only one component
+       needs no work. The first common token of a similar pair stands early enough in both for the rest to hold the
+       overlap; only such pairs of class and group count.
     4. A class that shares such a token with a group of another component is bounded by its overlap with the group's
        token union; only groups that qualify are opened, and their members compared exactly.
 
@@ -178,8 +216,9 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     pairs = key.join(lead, ["j", "key"]).filter("cid <> b").select(F.col("cid").alias("a"), "b").distinct()
     comps = connected_components(_links(pairs, texts))
 
-    shown = classes.select("cid", F.size("shown").alias("many"), F.posexplode("shown").alias("i", "tok"))
-    common = written(shown.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1").select("tok", (F.col("df") > HOT).alias("hot")))
+    shown = classes.select("cid", F.size("shown").alias("many"), F.explode("shown").alias("tok"))
+    counts = written(shown.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1"))
+    common = counts.select("tok", (F.col("df") > HOT).alias("hot"))
     met = cut(shown.join(common, "tok"))
     # the plainest class of a hot token shows little but hot tokens: what near copies were copied from
     plain = met.groupBy("cid").agg((F.count_if("hot") / F.first("many")).alias("plain"), F.slice(F.array_sort(F.collect_list(F.when(F.col("hot"), F.col("tok")))), 1, PLAIN_KEYS).alias("toks"))
@@ -197,22 +236,17 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     label = comps.join(written(sizes), "comp").select(F.col("id").alias("cid"), "comp", "size")
     part = F.pmod(F.col("cid"), F.expr(f"(size + {GROUP_SIZE - 1}) div {GROUP_SIZE}"))
     gid = F.when(F.col("size").isNull(), F.col("cid")).otherwise(F.xxhash64("comp", part))
-    named = cut(classes.select("cid", "n", F.size("shown").alias("shown")).join(label, "cid", "left").select("cid", "n", "shown", F.coalesce("comp", "cid").alias("comp"), gid.alias("gid"), F.col("size").isNotNull().alias("many")))
-
-    in_comp = met.select("cid", "i", "tok", "hot").join(named.select("cid", "comp"), "cid")
-    wide = written(in_comp.groupBy("tok").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("tok", F.lit(True).alias("wide")))
-    # all that a class with a wide token shows of shared tokens, as hot ones move the places of others
-    marked = met.select("cid", "i", "tok", "hot").join(wide, "tok", "left").filter("hot or wide")
-    met = marked.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("hot", "i", "tok", F.coalesce("wide", F.lit(False)).alias("wide")))).alias("met"))
-    # the token's place in the order of (hot, hash), over all tokens that the class shows
-    hots = F.size(F.filter("met", lambda x: x["hot"]))
-    before = lambda x: F.size(F.filter("met", lambda y: y["hot"] & (y["i"] < x["i"])))
-    rank = F.transform("met", lambda x: F.struct(x["tok"].alias("tok"), x["wide"].alias("wide"), F.when(x["hot"], F.col("shown") - hots + before(x)).otherwise(x["i"] - before(x)).alias("rank")))
-    prefix = F.least(F.col("n") - F.expr(f"(n * {PERCENT} + 99) div 100") + 1, F.lit(PROBES))
-    probe = named.join(met, "cid").select("cid", "comp", "gid", "many", "n", prefix.alias("p"), F.explode(rank).alias("x"))
-    probe = cut(probe.filter("x.wide and x.rank < p").select(F.col("x.tok").alias("tok"), "cid", "comp", "gid", "many", "n"))
-    matrix = cut(probe.groupBy("tok", "gid", F.col("comp").alias("gcomp"), F.col("many").alias("gmany")).agg(F.min("n").alias("n0"), F.max("n").alias("n1")))
+    named = cut(classes.select("cid").join(label, "cid", "left").select("cid", F.coalesce("comp", "cid").alias("comp"), gid.alias("gid"), F.col("size").isNotNull().alias("many")))
+
+    tokens = cut(_prefixes(texts, hottest(counts)))
+    several = tokens.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1").select("tok")
+    in_comp = cut(tokens.join(written(several), "tok").join(named, "cid"))
+    wide = written(in_comp.groupBy("tok").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("tok"))
+    probe = cut(in_comp.join(wide, "tok").select("tok", "cid", "comp", "gid", "many", "n", (F.col("n") - F.col("i")).alias("rest")))
+    matrix = cut(probe.groupBy("tok", "gid", F.col("comp").alias("gcomp"), F.col("many").alias("gmany")).agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("rest").alias("grest")))
+    # n0 and n1 are of the members with this token; sizes a and b need an overlap of 0.8 / 1.8 (a + b)
     fits = (F.col("comp") > F.col("gcomp")) & (F.col("n") * 100 >= F.col("n0") * PERCENT) & (F.col("n1") * 100 >= F.col("n") * PERCENT)
+    fits = fits & (F.least("rest", "grest") * (100 + PERCENT) >= (F.col("n") + F.col("n0")) * PERCENT)
     near = cut(probe.drop("gid", "many").join(matrix, "tok").filter(fits).select("cid", "gid", "gmany").distinct())
     single = near.filter("not gmany").select(F.col("cid").alias("a"), F.col("gid").alias("b"))
     grouped = near.filter("gmany").select("cid", "gid")
