@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, mix, raw_bytes, shingle_hashes, signed, text_slices, winnow, word_hashes
-from .jaccard import similar
+from .jaccard import hottest, prefix, similar
 from .linking import link_by_keys, shared_keys
 
-#: Words of a shingle; of a paragraph at least, and of a passage that two paragraphs share.
+#: Words of a shingle; of a paragraph at least where nothing else is said, and of a passage that two paragraphs or documents share.
 SHINGLE, LEAST, PASSAGE = 5, 50, 50
+#: Paragraphs of up to SHORT distinct shingles are found by their whole prefixes; it is more than those under PASSAGE words are similar to.
+SHORT = 57
 #: Bands of ROWS minima each: two paragraphs with Jaccard similarity 0.8 miss each other with a chance of 0.003.
 BANDS, ROWS = 8, 3
 #: Shingles of a window that picks one; PASSAGE words hold so many windows that three picks in a row are common.
@@ -29,8 +31,8 @@ def _keys(shingles: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([bands, mix(picks[:-2] * np.uint64(9) + picks[1:-1] * np.uint64(3) + picks[2:])]))
 
 
-def _paragraphs(docs: DataFrame, full: bool) -> DataFrame:
-    """Paragraphs (lines) of LEAST words or more: doc_id, paragraph, begin, end (bytes), n_words, pid; if full pid, keys, z only."""
+def _paragraphs(docs: DataFrame, full: bool, least: int) -> DataFrame:
+    """Paragraphs (lines) of `least` words or more: doc_id, paragraph, begin, end (bytes), n_words, pid; if full pid, keys, short (prefix), z only."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -47,13 +49,16 @@ def _paragraphs(docs: DataFrame, full: bool) -> DataFrame:
                 hashes, _, _, first = word_hashes(data, cuts)
                 doc = np.searchsorted(ends, cuts[:-1], side="right") - 1 if len(cuts) > 1 else np.zeros(0, np.int64)
                 line_of_doc = np.searchsorted(cuts, ends[doc]) if len(doc) else doc
-                out: dict[str, list] = {k: [] for k in (("pid", "keys", "z") if full else ("doc_id", "paragraph", "begin", "end", "n_words", "pid"))}
-                for p in np.flatnonzero(np.diff(first) >= LEAST).tolist():
+                out: dict[str, list] = {k: [] for k in (("pid", "keys", "short", "z") if full else ("doc_id", "paragraph", "begin", "end", "n_words", "pid"))}
+                for p in np.flatnonzero(np.diff(first) >= max(least, 1)).tolist():
                     words = hashes[first[p] : first[p + 1]]
                     pid = int(mix(np.array([shingle_hashes(mix(words + np.arange(len(words), dtype=np.uint64)), 1).sum(dtype=np.uint64)])).astype(np.int64)[0])
                     out["pid"].append(pid)
                     if full:
-                        out["keys"].append(signed(_keys(shingle_hashes(words, SHINGLE))).tolist())
+                        shingles = shingle_hashes(words, SHINGLE)
+                        out["keys"].append(signed(_keys(shingles)).tolist() if len(words) >= PASSAGE else [])
+                        tokens = np.unique(shingles)
+                        out["short"].append(signed(prefix(tokens, tokens[:0])).tolist() if least < PASSAGE and len(tokens) <= SHORT else [])
                         out["z"].append(packer.compress(data[cuts[p] : cuts[p + 1]].tobytes()))
                     else:
                         out["doc_id"].append(ids[a + int(doc[p])])
@@ -61,11 +66,34 @@ def _paragraphs(docs: DataFrame, full: bool) -> DataFrame:
                         out["begin"].append(int(cuts[p] - ends[doc[p]]))
                         out["end"].append(int(cuts[p + 1] - ends[doc[p]]))
                         out["n_words"].append(len(words))
-                kinds = {"doc_id": batch.schema.field("doc_id").type, "keys": pa.list_(pa.int64()), "z": pa.binary(), "n_words": pa.int32(), "paragraph": pa.int32()}
+                kinds = {"doc_id": batch.schema.field("doc_id").type, "keys": pa.list_(pa.int64()), "short": pa.list_(pa.int64()), "z": pa.binary(), "n_words": pa.int32(), "paragraph": pa.int32()}
                 yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], names=list(out))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, "pid long, keys array<long>, z binary" if full else f"doc_id {kind}, paragraph int, begin long, end long, n_words int, pid long")
+    return docs.mapInArrow(run, "pid long, keys array<long>, short array<long>, z binary" if full else f"doc_id {kind}, paragraph int, begin long, end long, n_words int, pid long")
+
+
+def _short_keys(texts: DataFrame) -> DataFrame:
+    """(key, id): the prefixes of short paragraphs, the most frequent shingles last."""
+    found = texts.filter(F.size("short") > 0)
+    hot = hottest(found.select(F.explode("short").alias("tok")).groupBy("tok").agg(F.count("*").alias("df")))
+    if not len(hot):
+        return found.select(F.explode("short").alias("key"), F.col("pid").alias("id"))
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            keys = []
+            for z in batch.column("z"):
+                raw = np.frombuffer(unpack(z.as_py()), dtype=np.uint8)
+                keys.append(signed(prefix(parts(word_hashes(raw, np.array([0, len(raw)]))[0])[0], hot)))
+            at = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])), batch.column("pid").take(pa.array(at))], names=["key", "id"])
+
+    return found.select("pid", "z").mapInArrow(run, "key long, id long")
 
 
 def parts(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,23 +139,26 @@ def _verify(texts: DataFrame):
     return verify
 
 
-def repeated_paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, text: str = "text", least: int = LEAST) -> DataFrame:
     """(doc_id, paragraph, begin, end, n_words, component_id, kept): the paragraphs that have a relative elsewhere.
 
-    Paragraphs are lines of LEAST words or more (white-space separated, A-Z as a-z); paragraph counts a document's lines
+    Paragraphs are lines of `least` words or more (white-space separated, A-Z as a-z); paragraph counts a document's lines
     from 0, begin and end are bytes. Two are relatives if 80 percent of their distinct SHINGLE-word shingles are common,
     or if they share PASSAGE words in a row. Of each component, the first paragraph by doc_id and place is kept;
     component_id is its doc_id. Documents without such a paragraph have no row. Null or empty texts have no paragraphs;
     null ids come last; repeated rows are copies; an empty table gives an empty result.
 
     Candidates: equal paragraphs are one class. Bands of minima find similar paragraphs, and three neighbouring winnowed
-    shingles find common passages, which always hold such a run. See link_by_keys for how keys
+    shingles find common passages, which always hold such a run. Short paragraphs are found by the whole prefix of their
+    shingles in one order, which misses none. See link_by_keys for how keys
     that very many paragraphs have are worked through. Compressed texts move once and lie partitioned by class.
     """
     docs = docs.select("doc_id", F.col(text).alias("text"))
-    occ = cut(_paragraphs(docs, full=False))
-    texts = cut(_paragraphs(docs, full=True).groupBy("pid").agg(F.first("keys").alias("keys"), F.first("z").alias("z")))
-    comps = link_by_keys(shared_keys(texts.select(F.explode("keys").alias("key"), F.col("pid").alias("id"))), _verify(texts))
+    occ = cut(_paragraphs(docs, False, least))
+    texts = cut(_paragraphs(docs, True, least).groupBy("pid").agg(*[F.first(c).alias(c) for c in ("keys", "short", "z")]))
+    keys = texts.select(F.explode("keys").alias("key"), F.col("pid").alias("id"))
+    keys = keys.unionByName(_short_keys(texts)) if least < PASSAGE else keys
+    comps = link_by_keys(shared_keys(keys), _verify(texts))
     own = occ.groupBy("pid").agg(F.count("*").alias("m"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "paragraph")).alias("first"))
     named = cut(own.join(comps.select(F.col("id").alias("pid"), "comp"), "pid", "left").filter("m > 1 or comp is not null").select("pid", F.coalesce("comp", "pid").alias("comp"), "first"))
     kept = cut(named.groupBy("comp").agg(F.min("first").alias("kept")))
@@ -136,5 +167,125 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.select("doc_id", "paragraph", "begin", "end", "n_words", F.col("kept.doc_id").alias("component_id"), same.alias("kept"))
 
 
+def _spots(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of three neighbouring picks of a text, the first and the last passage (by its first word) that holds them."""
+    shingles = shingle_hashes(words, SHINGLE)
+    at = winnow(shingles, WINDOW)
+    picks = shingles[at]
+    keys = mix(picks[:-2] * np.uint64(9) + picks[1:-1] * np.uint64(3) + picks[2:])
+    low, high = np.maximum(at[2:] + SHINGLE - PASSAGE, 0), np.minimum(at[:-2], len(words) - PASSAGE)
+    fits = low <= high
+    return keys[fits], low[fits], high[fits]
+
+
+def _spot_keys(docs: DataFrame) -> DataFrame:
+    """(key, tid, again) for each text of PASSAGE words or more: the distinct keys of its spots, and whether it has one twice."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            tids, column = np.asarray(batch.column("tid")), batch.column("text")
+            for a, b in text_slices(column):
+                hashes, _, _, first = word_hashes(*raw_bytes(column.slice(a, b - a)))
+                keys, tid, again = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+                for i in np.flatnonzero(np.diff(first) >= PASSAGE).tolist():
+                    k, m = np.unique(_spots(hashes[first[i] : first[i + 1]])[0], return_counts=True)
+                    keys.append(k)
+                    tid.append(np.full(len(k), tids[a + i]))
+                    again.append(m > 1)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(tid)), pa.array(np.concatenate(again))], names=["key", "tid", "again"])
+
+    return docs.mapInArrow(run, "key long, tid long, again boolean")
+
+
+def _windows(texts: DataFrame) -> DataFrame:
+    """(tid, i, w): hash of the PASSAGE words from word i on, wherever they hold one of the text's keys; all of them if keys is null."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for tid, text, keys in zip(batch.column("tid").to_pylist(), batch.column("text").to_pylist(), batch.column("keys"), strict=True):
+                raw = np.frombuffer(text.encode(), dtype=np.uint8)
+                words = word_hashes(raw, np.array([0, len(raw)]))[0]
+                if len(words) < PASSAGE:
+                    continue
+                w = shingle_hashes(words, PASSAGE)
+                i = np.arange(len(w))
+                if keys.is_valid:
+                    have, low, high = _spots(words)
+                    hit = np.isin(signed(have), keys.values.to_numpy())
+                    change = np.zeros(len(w) + 1, dtype=np.int64)
+                    np.add.at(change, low[hit], 1)
+                    np.add.at(change, high[hit] + 1, -1)
+                    i = np.flatnonzero(np.cumsum(change[:-1]) > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), tid, dtype=np.int64)), pa.array(i), pa.array(signed(w[i]))], names=["tid", "i", "w"])
+
+    return texts.select("tid", "text", "keys").mapInArrow(run, "tid long, i long, w long")
+
+
+def _spans(texts: DataFrame, kind: str) -> DataFrame:
+    """Rows (tid, text, found) to spans: neighbours in found (i, doc_id, kept) with the same doc_id and kept are one."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            kind = batch.schema.field("found").type.value_type.field("doc_id").type
+            schema = pa.schema([("tid", pa.int64()), ("paragraph", pa.int32()), ("begin", pa.int64()), ("end", pa.int64()), ("n_words", pa.int32()), ("component_id", kind), ("kept", pa.bool_())])
+            out = []
+            for tid, text, found in zip(batch.column("tid").to_pylist(), batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
+                raw = np.frombuffer(text.encode(), dtype=np.uint8)
+                _, starts, stops, _ = word_hashes(raw, np.array([0, len(raw)]))
+                breaks, begun, last = np.flatnonzero(raw == 10), None, None
+                for x in [*found, None]:
+                    same = x is not None and begun is not None and x["i"] == last["i"] + 1 and x["doc_id"] == begun["doc_id"] and x["kept"] == begun["kept"]
+                    if begun is not None and not same:
+                        a, b = begun["i"], last["i"] + PASSAGE
+                        begin = int(starts[a])
+                        out.append((tid, int(np.searchsorted(breaks, begin)), begin, int(stops[b - 1]), b - a, begun["doc_id"], begun["kept"]))
+                    begun, last = (begun if same else x), x
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, o, strict=True)) for o in out], schema=schema)
+
+    return texts.select("tid", "text", "found").mapInArrow(run, f"tid long, paragraph int, begin long, end long, n_words int, component_id {kind}, kept boolean")
+
+
+def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, paragraph, begin, end, n_words, component_id, kept): all passages of PASSAGE words or more that stand in several places.
+
+    Words are as in repeated_paragraphs, but a passage may cross line breaks. Of each run of PASSAGE words the first by
+    doc_id and place is kept and all later ones are not; neighbouring runs with the same kept and the same document of the
+    first (component_id) are one span, from the first byte of its first word to the end of its last (paragraph: the line
+    where it begins). Null ids come last; repeated rows are copies.
+
+    Equal texts are one class. Three neighbouring winnowed shingles, which every passage holds, find where texts may
+    agree; only there all runs are hashed and counted.
+    """
+    docs = docs.select("doc_id", F.col(text).alias("text")).filter("text is not null")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    tid = F.xxhash64("text").alias("tid")
+    classes = cut(docs.select(tid, "doc_id").groupBy("tid").agg(F.count("*").alias("m"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("lead")))
+    pairs = cut(_spot_keys(docs.select(tid, "text")).distinct())
+    several = pairs.groupBy("key").agg(F.min("tid").alias("t0"), F.max("tid").alias("t1"), F.max("again").alias("again")).filter("t0 < t1 or again")
+    keys = pairs.join(several.select("key"), "key").groupBy("tid").agg(F.collect_list("key").alias("keys"))
+    marked = classes.join(keys, "tid", "left").filter("m > 1 or keys is not null").select("tid", "m", "lead", F.when(F.col("m") == 1, F.col("keys")).alias("keys"))
+    marked = cut(marked)
+    texts = docs.select(tid, "text").join(marked.select("tid"), "tid").groupBy("tid").agg(F.first("text").alias("text"))
+    texts = cut(texts)
+    runs = cut(_windows(texts.join(marked.select("tid", "keys"), "tid")))
+    runs = runs.join(marked.select("tid", "m", "lead"), "tid").select("tid", "i", "w", "m", F.struct("lead.none", "lead.doc_id", "tid", "i").alias("place"))
+    first = cut(runs.groupBy("w").agg(F.min("place").alias("first"), F.sum("m").alias("times")).filter("times > 1"))
+    found = runs.join(first, "w").select("tid", F.struct("i", F.col("first.doc_id").alias("doc_id"), (F.col("first") == F.col("place")).alias("kept")).alias("x"))
+    found = found.groupBy("tid").agg(F.sort_array(F.collect_list("x")).alias("found"))
+    spans = _spans(texts.join(found, "tid"), kind)
+    occ = docs.select(tid, "doc_id").join(classes.select("tid", F.col("lead.doc_id").alias("least")), "tid")
+    kept = F.col("kept") & F.col("doc_id").eqNullSafe(F.col("least"))
+    return occ.join(spans, "tid").select("doc_id", "paragraph", "begin", "end", "n_words", "component_id", kept.alias("kept"))
+
+
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    return repeated_paragraphs(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    """Lines of any length that have a relative, and passages of whole documents that stand in several places (unit: line, passage)."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    lines = repeated_paragraphs(docs, least=1).withColumn("unit", F.lit("line"))
+    return lines.unionByName(repeated_passages(docs).withColumn("unit", F.lit("passage")))
