@@ -29,7 +29,8 @@ def scanlines(tri: DataFrame, ymin: int, ymax: int) -> DataFrame:
     top, mid, bot = F.col("p0"), F.col("p1"), F.col("p2")
     first = F.greatest(F.ceil(top["y"]), F.lit(ymin)).cast("int")
     last = F.least(F.ceil(bot["y"]), F.lit(ymax)).cast("int") - 1
-    rows = s.filter(last >= first).withColumn("y", F.explode(F.sequence(first, last)))
+    # no filter: pushed down, it would draw the sorting of vertices into the scan
+    rows = s.withColumn("y", F.explode(F.when(last >= first, F.sequence(first, last))))
     y = F.col("y").cast("double")
 
     def edge(p: Column, q: Column, axis: str) -> Column:
@@ -39,9 +40,11 @@ def scanlines(tri: DataFrame, ymin: int, ymax: int) -> DataFrame:
     ends = {}
     for a in ("x", "z"):
         ends[a] = (F.when(upper, edge(top, mid, a)).otherwise(edge(mid, bot, a)), edge(top, bot, a))
-    spans = rows.select(*keep, "y", ends["x"][0].alias("xa"), ends["x"][1].alias("xb"), ends["z"][0].alias("za"), ends["z"][1].alias("zb"))
-    swap = F.col("xa") >= F.col("xb")
-    pick = lambda p, q: F.when(swap, F.col(q)).otherwise(F.col(p))
+    # explode of one element computes the ends once; plain projections would be folded into each other, one edge many times
+    once = F.explode(F.array(F.struct(ends["x"][0].alias("xa"), ends["x"][1].alias("xb"), ends["z"][0].alias("za"), ends["z"][1].alias("zb"))))
+    spans = rows.select(*keep, "y", once.alias("e"))
+    swap = F.col("e.xa") >= F.col("e.xb")
+    pick = lambda p, q: F.when(swap, F.col(f"e.{q}")).otherwise(F.col(f"e.{p}"))
     return spans.select(*keep, "y", pick("xa", "xb").alias("x1"), pick("xb", "xa").alias("x2"), pick("za", "zb").alias("z1"), pick("zb", "za").alias("z2"))
 
 
@@ -49,7 +52,7 @@ def span_pixels(spans: DataFrame, xmin: int, xmax: int) -> DataFrame:
     """Pixels (x, y, z) of spans: x from ceil(x1) to below x2, within [xmin, xmax), z linear."""
     first = F.greatest(F.ceil("x1"), F.lit(xmin)).cast("int")
     last = F.least(F.ceil("x2"), F.lit(xmax)).cast("int") - 1
-    rows = spans.filter(last >= first).withColumn("x", F.explode(F.sequence(first, last)))
+    rows = spans.withColumn("x", F.explode(F.when(last >= first, F.sequence(first, last))))
     z = F.col("z1") + (F.col("z2") - F.col("z1")) / (F.col("x2") - F.col("x1")) * (F.col("x") - F.col("x1"))
     keep = [c for c in spans.columns if c not in ("x1", "x2", "z1", "z2", "y")]
     return rows.select(*keep, "x", "y", z.alias("z"))

@@ -180,6 +180,30 @@ for _k in ("mask_bits", "qmask", "mqmask"):
     _mask_trip(_k)
 
 
+def _bits_sql(order: str) -> str:
+    """Set pixels of the 2x2 masks whose pixel n (of `order`: x, y pairs) is bit n of the key."""
+    return f"SELECT p_partkey AS mask_id, x, y FROM part, (SELECT * FROM (VALUES {order}) k(n, x, y)) WHERE (p_partkey >> n) & 1 = 1"
+
+
+_QUAD = "(0, 0, 0), (1, 1, 0), (2, 0, 1), (3, 1, 1)"
+
+
+@query("qmask_bytes", _bits_sql(_QUAD))
+def qmask_bytes(spark, sf):
+    """Dumps of 2x2 quadtrees put together byte by byte: a node is 00 (set), 01 (not set) or 02 (mixed)."""
+    leaf = lambda n: _be(F.lit(1) - F.shiftright("file_id", n) % 2, 1)
+    content = F.concat(_lit("514D41534B000000" + "02000000" * 3 + "00000000" + "02"), *[leaf(n) for n in range(4)])
+    return files.load_masks(_parts(spark, sf).select(C("file_id").alias("mask_id"), content.alias("content")))
+
+
+@query("mqmask_bytes", _bits_sql("(0, 2, 0), (1, 3, 0), (2, 2, 1), (3, 3, 1)"))
+def mqmask_bytes(spark, sf):
+    """Mapped trees of depth 2 and 12 bytes: the root has one mixed quarter (upper right), at a place aligned to four bytes behind its jump."""
+    quarter = sum(F.shiftright("file_id", n) % 2 * (3 << 6 - 2 * n) for n in range(4))
+    content = F.concat(_lit("4D514D41534B0000" + "02" + "08000000"), _lit("10" + "0000" + "01000000"), _be(quarter, 1))
+    return files.load_masks(_parts(spark, sf).select(C("file_id").alias("mask_id"), content.alias("content")))
+
+
 @query("mapped_leaves", with_sql("mask_a", "SELECT mask_id, CAST(x // 4 * 4 AS INTEGER) AS x, CAST(y // 4 * 4 AS INTEGER) AS y, count(*) = 16 AS white FROM mask_a WHERE x >= 4 GROUP BY 1, 2, 3"))
 def mapped_leaves(spark, sf):
     cut = files.mask_leaves(files.dump_masks(src.mask_a(spark, sf), 8, 8, "mapped"), 1, (4, 0, 7, 7))

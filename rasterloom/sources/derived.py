@@ -43,13 +43,15 @@ def rgb8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten dense 48x48 images, one for each label; the label's vectors are ranked before they are exploded."""
-    k = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    e = _table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding").withColumn("k", k).filter("k < 36")
-    e = e.select("label", "k", F.posexplode("embedding").alias("i", "e"))
+    """Dense 48x48 images of 36 vectors each, all vectors in order of their ids; cells without a vector are 0."""
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    tiles = e.groupBy(F.expr("vec_id div 36").alias("image_id")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("vec_id") % 36).alias("k"), "embedding"))).alias("tiles"))
+    cells = tiles.select("image_id", "tiles", F.explode(F.sequence(F.lit(0), F.lit(35))).alias("k"))
+    blank = F.array_repeat(F.lit(None).cast("float"), 64)
+    e = cells.select("image_id", "k", F.posexplode(F.coalesce(F.try_element_at("tiles", F.col("k").cast("long")), blank)).alias("i", "e"))
     x = (F.col("k") % 6 * 8 + F.col("i") % 8).cast("int")
     y = F.expr("cast((k div 6) * 8 + i div 8 as int)")
-    return e.select(F.col("label").cast("long").alias("image_id"), x.alias("x"), y.alias("y"), _gray(F.col("e").cast("double")).alias("v"))
+    return e.select("image_id", x.alias("x"), y.alias("y"), F.when(F.col("e").isNull(), 0).otherwise(_gray(F.col("e").cast("double"))).alias("v"))
 
 
 def blocky(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +118,7 @@ SQL = {
     "gray8": f"SELECT vec_id AS image_id, CAST((i - 1) % 8 AS INTEGER) AS x, CAST((i - 1) // 8 AS INTEGER) AS y, {_V} AS v FROM (SELECT vec_id, embedding, unnest(generate_series(1, 64)) AS i FROM embeddings)",
     "u16": "SELECT vec_id AS image_id, CAST((i - 1) % 8 AS INTEGER) AS x, CAST((i - 1) // 8 AS INTEGER) AS y, CAST(greatest(0, least(65535, floor((CAST(embedding[i] AS DOUBLE) + 0.6) * 54612.0))) AS INTEGER) AS v FROM (SELECT vec_id, embedding, unnest(generate_series(1, 64)) AS i FROM embeddings)",
     "rgb8": "SELECT a.image_id // 3 AS image_id, a.x, a.y, a.v AS r, b.v AS g, c.v AS b FROM gray8 a JOIN gray8 b ON b.image_id = a.image_id + 1 AND b.x = a.x AND b.y = a.y JOIN gray8 c ON c.image_id = a.image_id + 2 AND c.x = a.x AND c.y = a.y WHERE a.image_id % 3 = 0",
-    "mosaic": f"SELECT CAST(label AS BIGINT) AS image_id, CAST(8 * (k % 6) + (i - 1) % 8 AS INTEGER) AS x, CAST(8 * (k // 6) + (i - 1) // 8 AS INTEGER) AS y, {_V} AS v FROM (SELECT label, embedding, k, unnest(generate_series(1, 64)) AS i FROM (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k FROM embeddings) WHERE k < 36)",
+    "mosaic": f"SELECT c.image_id, CAST(8 * (c.k % 6) + (i - 1) % 8 AS INTEGER) AS x, CAST(8 * (c.k // 6) + (i - 1) // 8 AS INTEGER) AS y, CASE WHEN vec_id IS NULL THEN 0 ELSE {_V} END AS v FROM (SELECT image_id, k, unnest(generate_series(1, 64)) AS i FROM (SELECT image_id, unnest(generate_series(0, 35)) AS k FROM (SELECT DISTINCT vec_id // 36 AS image_id FROM embeddings))) c LEFT JOIN embeddings ON vec_id = 36 * c.image_id + c.k",
     "blocky": "SELECT m.image_id, m.x, m.y, c.v FROM mosaic m JOIN mosaic c ON c.image_id = m.image_id AND c.x = m.x - m.x % 4 AND c.y = m.y - m.y % 4",
     "label_raster": "SELECT image_id, x, y, CAST(greatest(0, least(3, (v - 96) // 16)) AS INTEGER) AS color FROM mosaic",
     "sparse": "SELECT CAST(l_linenumber AS BIGINT) AS image_id, CAST(l_partkey % 64 AS INTEGER) AS x, CAST(l_orderkey % 64 AS INTEGER) AS y, CAST(sum(l_quantity) AS BIGINT) % 256 AS v FROM lineitem GROUP BY 1, 2, 3",

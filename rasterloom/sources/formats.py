@@ -530,7 +530,8 @@ def exif_tags(data: bytes) -> dict[str, str]:
 # ------------------------------------------------------------------ masks
 
 BIT_MAGIC, TREE_MAGIC, MAPPED_MAGIC = b"RMASK", b"QMASK", b"MQMASK"
-WHITE, BLACK, GRAY = 1, 0, 2
+#: Node codes of a quadtree dump, as files hold them.
+WHITE, BLACK, GRAY = 0, 1, 2
 
 
 def bitmask_dump(mask: np.ndarray) -> bytes:
@@ -607,13 +608,17 @@ def treemask_load(data: bytes) -> np.ndarray:
 
 
 def mappedmask_dump(mask: np.ndarray, depth: int | None = None, x: int = 0, y: int = 0, start: int = 0) -> bytes:
-    """A pointer-free tree of a mask, or of its quad (depth, x, y); places are aligned from `start`, the stream's position."""
+    """A pointer-free tree of a mask, or of its quad (depth, x, y); places are aligned from `start`, the stream's position.
+
+    Header: magic, two bytes of 0, the depth (u8; the side is 1 << depth) and the tree's bytes (u32).
+    """
     square = _square(mask)
     if depth:
         side = len(square) >> depth
         square = square[y * side : (y + 1) * side, x * side : (x + 1) * side] if side and 0 <= x < 1 << depth and 0 <= y < 1 << depth else np.zeros((0, 0), bool)
     levels = max(0, len(square).bit_length() - 1)
-    out = bytearray(MAPPED_MAGIC + b"\0\0" + struct.pack("<BI", levels, len(square)))
+    out = bytearray(MAPPED_MAGIC + b"\0\0" + struct.pack("<BI", levels, 0))
+    tree = len(out)
 
     def node(m):
         place, grays, code = len(out), [], 0
@@ -638,6 +643,7 @@ def mappedmask_dump(mask: np.ndarray, depth: int | None = None, x: int = 0, y: i
         out.append(0xFF)
     else:
         node(square)
+    out[tree - 4 : tree] = struct.pack("<I", len(out) - tree)
     return bytes(out)
 
 
@@ -648,7 +654,8 @@ def mappedmask_leaves(data: bytes, most_depth: int | None = None, extents: tuple
     """
     if data[:6] != MAPPED_MAGIC:
         raise FormatError("not a mapped mask")
-    levels, side = struct.unpack("<BI", data[8:13])
+    levels, size = struct.unpack("<BI", data[8:13])
+    data, side = data[: 13 + size], 1 << levels
     out: list[tuple] = []
     met = lambda x, y, s: extents is None or not (x > extents[2] or y > extents[3] or x + s <= extents[0] or y + s <= extents[1])
 

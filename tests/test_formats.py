@@ -151,6 +151,22 @@ def test_masks(shape):
         fm.treemask_load(b"XMASK")
 
 
+def test_masks_by_hand():
+    """Bytes written down from the formats: node codes 0 set, 1 not set, 2 mixed; a mapped tree's header holds depth and tree bytes."""
+    tree = b"QMASK\0\0\0" + bytes([3, 0, 0, 0, 2, 0, 0, 0, 4, 0, 0, 0, 5, 0, 0, 0]) + bytes([2, 0, 2, 0, 1, 1, 1, 1, 1])
+    want = np.array([[1, 1, 1], [1, 1, 0]], bool)
+    assert (fm.treemask_load(tree) == want).all()
+    assert fm.treemask_dump(want)[24:] == tree[24:]
+    assert fm.treemask_dump(np.ones((2, 2), bool))[24:] == b"\0" and fm.treemask_dump(np.zeros((2, 2), bool))[24:] == b"\1"
+    # root: set, mixed, not set, not set; two bytes to the next multiple of four, jump 1, the mixed quarter's byte: its upper left is set
+    mapped = b"MQMASK\0\0" + bytes([2, 8, 0, 0, 0]) + bytes([0b11010000, 0, 0, 1, 0, 0, 0, 0b11000000])
+    full = np.zeros((4, 4), bool)
+    full[:2, :2] = full[0, 2] = True
+    assert fm.mappedmask_dump(full) == mapped
+    assert {(x, y, s) for _, x, y, s, white in fm.mappedmask_leaves(mapped) if white} == {(0, 0, 2), (2, 0, 1)}
+    assert fm.mappedmask_dump(np.ones((4, 4), bool)) == b"MQMASK\0\0" + bytes([2, 1, 0, 0, 0, 255])
+
+
 def test_random_mask_inverted(spark):
     """A large random mask and its inverse differ everywhere."""
     from rasterloom.operators import masks
