@@ -12,15 +12,12 @@ from .common import connected_components, cut, merged, mix, raw_bytes, shingle_h
 
 #: Words of a shingle, and the least share of common shingles, in percent.
 SHINGLE, PERCENT = 5, 80
-#: Smallest hashes that a document shows for the grouping.
-SHOWN = 64
-#: A token that more sets than this show is hot. The HOTTEST most frequent of these come last in the order of tokens.
+#: A token counted more often than this within blocks is hot. The HOTTEST most frequent of these come last in the order of tokens.
 HOT, HOTTEST = 64, 100_000
-#: Keys of the first grouping, and members of a group (its row of the matrix is bounded by it).
-GROUP_KEYS, GROUP_SIZE = 4, 64
-#: Rounds in which classes with hot tokens are compared with the plainest class there, and tokens by which each is dealt.
-PLAIN_ROUNDS, PLAIN_KEYS = 1, 4
-SALTS = mix(np.arange(1, GROUP_KEYS + 1, dtype=np.uint64))
+#: Shingles of a block of documents within which a task counts repeated tokens (16 MB of hashes).
+BLOCK = 1 << 21
+#: Members of a group (its row of the matrix is bounded by it).
+GROUP_SIZE = 64
 
 
 def shingle_set(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -28,23 +25,40 @@ def shingle_set(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return np.unique(shingle_hashes(words, size))
 
 
-def prefix(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """The first n - ceil(0.8 n) + 1 of a set's sorted tokens, those in hot (sorted) after all others.
+def places(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Where each token stands in hot (sorted), -1 where it does not."""
+    if not len(hot):
+        return np.full(len(tokens), -1)
+    at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
+    return np.where(hot[at] == tokens, at, -1)
+
+
+def prefix(tokens: np.ndarray, hot: np.ndarray, rank: np.ndarray | None = None) -> np.ndarray:
+    """The first n - ceil(0.8 n) + 1 of a set's sorted tokens, those in hot (sorted) after all others, by rank if given.
 
     All tokens of all sets stand in this one order, so two sets of similarity 0.8 always have a token of their prefixes
     in common, whatever hot holds.
     """
     n = len(tokens)
     if n and len(hot):
-        late = hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens
-        tokens = np.concatenate([tokens[~late], tokens[late]])
+        at = places(tokens, hot)
+        late = at >= 0
+        last = tokens[late]
+        tokens = np.concatenate([tokens[~late], last if rank is None else last[np.argsort(rank[at[late]])]])
     return tokens[: n - (n * PERCENT + 99) // 100 + 1] if n else tokens
 
 
 def hottest(counts: DataFrame) -> np.ndarray:
     """Sorted tokens of the HOTTEST most frequent rows of counts (tok, df) over HOT."""
+    return ranked_hottest(counts)[0]
+
+
+def ranked_hottest(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, rank): as hottest, with each token's rank from the less frequent to the most frequent one."""
     rows = counts.filter(F.col("df") > HOT).orderBy(F.desc("df"), "tok").limit(HOTTEST).select("tok").toArrow()
-    return np.sort(rows.column("tok").to_numpy().astype(np.int64).view(np.uint64))
+    tokens = rows.column("tok").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], (len(tokens) - 1 - order).astype(np.int64)
 
 
 def set_of_text(raw: bytes) -> np.ndarray:
@@ -67,8 +81,88 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-def _sets(docs: DataFrame, full: bool) -> DataFrame:
-    """doc_id, cid (null: empty set), n; if full also shown (smallest hashes), keys (minima) and z (the text, compressed)."""
+def _row_sets(batches) -> Iterator[tuple]:
+    """(batch, row, set, bytes) of each row of Arrow batches with a column text."""
+    for batch in batches:
+        column = batch.column("text")
+        for a, b in text_slices(column):
+            data, ends = raw_bytes(column.slice(a, b - a))
+            hashes, _, _, first = word_hashes(data, ends)
+            for i in range(b - a):
+                yield batch, a + i, shingle_set(hashes[first[i] : first[i + 1]]), data[ends[i] : ends[i + 1]]
+
+
+def _by_batch(batches) -> Iterator[tuple]:
+    """(batch, sets): the sets of each batch's rows, in slices of bounded size."""
+    for batch in batches:
+        column = batch.column("text")
+        for a, b in text_slices(column):
+            part = batch.slice(a, b - a)
+            yield part, [s for _, _, s, _ in _row_sets([part])]
+
+
+def _class(tokens: np.ndarray) -> int | None:
+    return int(set_id(tokens).astype(np.int64)) if len(tokens) else None
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, cid, n) of all documents, cid null for an empty set, and rows (tok, c): tokens that c > 1 sets of a block have."""
+    kind = docs.schema["doc_id"].dataType
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        ids = to_arrow_type(kind)
+
+        def block(sets: dict):
+            tok, c = np.unique(np.concatenate([*sets.values(), np.zeros(0, np.uint64)]), return_counts=True)
+            tok, c = tok[c > 1], c[c > 1]
+            none = [pa.nulls(len(tok), t) for t in (ids, pa.int64(), pa.int64())]
+            return pa.RecordBatch.from_arrays([*none, pa.array(signed(tok)), pa.array(c.astype(np.int64))], names=["doc_id", "cid", "n", "tok", "c"])
+
+        held: dict[int, np.ndarray] = {}
+        size = 0
+        for part, sets in _by_batch(batches):
+            cids = [_class(s) for s in sets]
+            none = [pa.nulls(len(sets), pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(ids), pa.array(cids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *none], names=["doc_id", "cid", "n", "tok", "c"])
+            for k, s in zip(cids, sets, strict=True):
+                if k is not None and k not in held:
+                    held[k] = s
+                    size += len(s)
+                    if size >= BLOCK:
+                        yield block(held)
+                        held, size = {}, 0
+        yield block(held)
+
+    return docs.mapInArrow(run, f"doc_id {kind.simpleString()}, cid long, n long, tok long, c long")
+
+
+def _prefixes(docs: DataFrame, hot: np.ndarray, rank: np.ndarray) -> DataFrame:
+    """(cid, n, cold, warm) of each row with a set: its prefix, the tokens that are not hot and those that are."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for _, sets in _by_batch(batches):
+            cid, n, cold, warm = [], [], [], []
+            for s in sets:
+                if len(s):
+                    first = prefix(s, hot, rank)
+                    late = places(first, hot) >= 0
+                    cid.append(_class(s))
+                    n.append(len(s))
+                    cold.append(signed(first[~late]))
+                    warm.append(signed(first[late]))
+            arrays = [pa.array(cid, pa.int64()), pa.array(n, pa.int32()), pa.array(cold, pa.list_(pa.int64())), pa.array(warm, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["cid", "n", "cold", "warm"])
+
+    return docs.select("text").mapInArrow(run, "cid long, n int, cold array<long>, warm array<long>")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """(cid, n, z) of each row with a set: the text, compressed."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -76,28 +170,25 @@ def _sets(docs: DataFrame, full: bool) -> DataFrame:
 
         packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            ids, column = batch.column("doc_id"), batch.column("text")
-            for a, b in text_slices(column):
-                data, ends = raw_bytes(column.slice(a, b - a))
-                hashes, _, _, first = word_hashes(data, ends)
-                cid, n, shown, keys, z = [], [], [], [], []
-                for i in range(b - a):
-                    s = shingle_set(hashes[first[i] : first[i + 1]])
-                    n.append(len(s))
-                    cid.append(int(set_id(s).astype(np.int64)) if len(s) else None)
-                    if full:
-                        shown.append(signed(s[:SHOWN]).tolist())
-                        keys.append([int(s[(s ^ c).argmin()].astype(np.int64)) for c in SALTS] if len(s) else [])
-                        z.append(packer.compress(data[ends[i] : ends[i + 1]].tobytes()))
-                arrays = [ids.slice(a, b - a), pa.array(cid, pa.int64()), pa.array(n, pa.int64())]
-                names = ["doc_id", "cid", "n"]
-                if full:
-                    arrays += [pa.array(shown, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(z, pa.binary())]
-                    names += ["shown", "keys", "z"]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, cid long, n long" + ", shown array<long>, keys array<long>, z binary" * full)
+            rows = [(_class(s), len(s), packer.compress(raw.tobytes())) for _, _, s, raw in _row_sets([batch]) if len(s)]
+            cid, n, z = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(n, pa.int32()), pa.array(z, pa.binary())], names=["cid", "n", "z"])
+
+    return docs.select("text").mapInArrow(run, "cid long, n int, z binary")
+
+
+def _shared(rows: DataFrame, hot: bool) -> DataFrame:
+    """The rows (tok, cid, n, i) whose token another class has too, where sizes and places allow a similar pair.
+
+    A class that holds the token first in common with another one needs an overlap of 0.8 / 1.8 (a + b) from there on.
+    Tokens that are not hot are moved once, for counting and for the join; hot ones are counted map-side before.
+    """
+    rows = rows if hot else rows.repartition("tok")
+    left = F.col("n") - F.col("i")
+    ends = rows.groupBy("tok").agg(F.min("cid").alias("c0"), F.max("cid").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.max(left).alias("most")).filter("c0 < c1")
+    fits = (F.col("n") * 100 >= F.col("n0") * PERCENT) & (F.col("n1") * 100 >= F.col("n") * PERCENT)
+    fits = fits & (F.least(left, "most") * (100 + PERCENT) >= (F.col("n") + F.col("n0")) * PERCENT)
+    return rows.join(ends, "tok").filter(fits).select("tok", "cid", "n", "i")
 
 
 def _unpacked(value: bytes, cache: dict, key: int) -> np.ndarray:
@@ -129,25 +220,6 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(side, "a").join(other, "b").filter(fits).select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
 
 
-def _prefixes(texts: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(cid, n, i, tok): each class's prefix, i the place of a token in the class's order."""
-
-    def run(batches) -> Iterator:
-        import pyarrow as pa
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            found = [prefix(set_of_text(unpack(z.as_py())), hot) for z in batch.column("z")]
-            sizes = np.array([len(f) for f in found], dtype=np.int64)
-            at = np.repeat(np.arange(len(found)), sizes)
-            i = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            tok = signed(np.concatenate([*found, np.zeros(0, np.uint64)]))
-            yield pa.RecordBatch.from_arrays([batch.column("cid").take(pa.array(at)), batch.column("n").take(pa.array(at)), pa.array(i), pa.array(tok)], names=["cid", "n", "i", "tok"])
-
-    return texts.select("cid", "n", "z").mapInArrow(run, "cid long, n long, i long, tok long")
-
-
 def _within_bound(queries: DataFrame) -> DataFrame:
     """(cid, gid) of the rows (cid, gid, z, union) whose group's union holds enough of the query's shingles."""
 
@@ -192,77 +264,68 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     names none; repeated rows come back each. An empty table gives an empty result.
 
     1. Equal sets become one class, by a 64-bit id of the set.
-    2. Groups: classes with a common minimum of their hashes are compared with the least class there; the links'
-       components, cut to GROUP_SIZE members, are the groups of similar documents.
-       Classes that show hot tokens are compared with the plainest class of these too.
-    3. Token-group matrix: each class has its whole prefix, n - ceil(0.8 n) + 1 tokens in one order of all tokens (the
-       hottest last, then by hash), so two similar sets always share a token there. A token within only one component
-       needs no work. The first common token of a similar pair stands early enough in both for the rest to hold the
-       overlap; only such pairs of class and group count.
-    4. A class that shares such a token with a group of another component is bounded by its overlap with the group's
+    2. Prefixes: each class has the first n - ceil(0.8 n) + 1 tokens of its set in one order of all tokens (hot ones last,
+       the hottest at the very end, others by hash), so two similar sets always share a token there. Hot tokens are those
+       that recur within blocks of documents; which tokens count as hot changes the work, never the result.
+    3. Groups: of each shared token, all classes are compared with the one in which it stands earliest (for near copies
+       of one text, the plainest copy); the links' components, cut to GROUP_SIZE members, are the groups of similar
+       documents. A group of copies costs one comparison each.
+    4. Token-group matrix: a token within only one component needs no more work. The first common token of a similar
+       pair stands early enough in both for the rest to hold the overlap; only such pairs of class and group count. A
+       class that shares such a token with a group of another component is bounded by its overlap with the group's
        token union; only groups that qualify are opened, and their members compared exactly.
 
-    Hot tokens meet no single task: they are counted map-side, and all joins have plain shuffled sides. The compressed
-    text of each class is moved once and lies partitioned by class.
+    No link is missed up to clashes of 64-bit hashes. Rows of hot tokens are counted map-side and joined by plain shuffles,
+    which adaptive execution splits. Texts move only for classes that share a fitting token, once.
     """
     docs = docs.select("doc_id", F.col(text).alias("text"))
-    base = cut(_sets(docs, full=False))
-    some = _sets(docs, full=True).filter("cid is not null")
-    classes = cut(some.groupBy("cid").agg(*[F.first(c).alias(c) for c in ("n", "shown", "keys", "z")]))
-    texts = classes.select("cid", "n", "z")
-
-    key = classes.select("cid", F.posexplode("keys").alias("j", "key"))
-    lead = written(key.groupBy("j", "key").agg(F.min("cid").alias("b"), F.count("*").alias("m")).filter("m > 1").drop("m"))
-    pairs = key.join(lead, ["j", "key"]).filter("cid <> b").select(F.col("cid").alias("a"), "b").distinct()
+    found = written(_counted(docs))
+    base = found.filter("n is not null").select("doc_id", "cid", "n")
+    hot, rank = ranked_hottest(found.filter("tok is not null").groupBy("tok").agg(F.sum("c").alias("df")))
+    classes = written(_prefixes(docs, hot, rank).groupBy("cid").agg(*[F.first(c).alias(c) for c in ("n", "cold", "warm")]))
+    cold = _shared(classes.select("cid", "n", F.posexplode("cold").alias("i", "tok")), False)
+    warm = classes.select("cid", "n", F.size("cold").alias("before"), F.posexplode("warm").alias("i", "tok"))
+    warm = _shared(warm.select("cid", "n", (F.col("i") + F.col("before")).alias("i"), "tok"), True)
+    probe = written(cold.select("tok", "cid", "n", "i").unionByName(warm))
+    wanted = written(probe.select("cid").distinct())
+    texts = cut(_texts(docs).join(wanted, "cid").groupBy("cid").agg(F.first("n").alias("n"), F.first("z").alias("z")))
+
+    lead = probe.groupBy("tok").agg(F.min(F.struct("i", "n", "cid")).alias("b"))
+    fits = (F.col("n") * 100 >= F.col("b.n") * PERCENT) & (F.col("b.n") * 100 >= F.col("n") * PERCENT)
+    fits = fits & (F.least(F.col("n") - F.col("i"), F.col("b.n") - F.col("b.i")) * (100 + PERCENT) >= (F.col("n") + F.col("b.n")) * PERCENT)
+    pairs = probe.join(lead, "tok").filter(fits & (F.col("cid") != F.col("b.cid")))
+    pairs = pairs.select(F.least("cid", "b.cid").alias("a"), F.greatest("cid", "b.cid").alias("b")).distinct()
     comps = connected_components(_links(pairs, texts))
 
-    shown = classes.select("cid", F.size("shown").alias("many"), F.explode("shown").alias("tok"))
-    counts = written(shown.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1"))
-    common = counts.select("tok", (F.col("df") > HOT).alias("hot"))
-    met = cut(shown.join(common, "tok"))
-    # the plainest class of a hot token shows little but hot tokens: what near copies were copied from
-    plain = met.groupBy("cid").agg((F.count_if("hot") / F.first("many")).alias("plain"), F.slice(F.array_sort(F.collect_list(F.when(F.col("hot"), F.col("tok")))), 1, PLAIN_KEYS).alias("toks"))
-    dealt = written(plain.select("cid", "plain", F.explode("toks").alias("tok")))
-    for _ in range(PLAIN_ROUNDS):
-        # a leader that leads its component already is passed over in the next round
-        own = cut(dealt.join(comps.select(F.col("id").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid")))
-        sides = own.groupBy("tok", "comp").agg(F.count("*").alias("m"), F.max(F.struct("plain", "cid")).alias("best"))
-        lead = written(sides.groupBy("tok").agg(F.max_by("best", F.struct("best.plain", "m")).alias("best"), F.count("*").alias("k")).filter("k > 1").select("tok", F.col("best.cid").alias("b")))
-        lead_comp = lead.join(own.select("tok", F.col("cid").alias("b"), F.col("comp").alias("cb")), ["tok", "b"])
-        pairs = own.join(written(lead_comp), "tok").filter("comp <> cb").select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")).distinct()
-        comps = merged(comps, _links(pairs, texts))
-
     sizes = comps.groupBy("comp").agg(F.count("*").alias("size"))
     label = comps.join(written(sizes), "comp").select(F.col("id").alias("cid"), "comp", "size")
     part = F.pmod(F.col("cid"), F.expr(f"(size + {GROUP_SIZE - 1}) div {GROUP_SIZE}"))
     gid = F.when(F.col("size").isNull(), F.col("cid")).otherwise(F.xxhash64("comp", part))
-    named = cut(classes.select("cid").join(label, "cid", "left").select("cid", F.coalesce("comp", "cid").alias("comp"), gid.alias("gid"), F.col("size").isNotNull().alias("many")))
-
-    tokens = cut(_prefixes(texts, hottest(counts)))
-    several = tokens.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1").select("tok")
-    in_comp = cut(tokens.join(written(several), "tok").join(named, "cid"))
-    wide = written(in_comp.groupBy("tok").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("tok"))
-    probe = cut(in_comp.join(wide, "tok").select("tok", "cid", "comp", "gid", "many", "n", (F.col("n") - F.col("i")).alias("rest")))
-    matrix = cut(probe.groupBy("tok", "gid", F.col("comp").alias("gcomp"), F.col("many").alias("gmany")).agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("rest").alias("grest")))
-    # n0 and n1 are of the members with this token; sizes a and b need an overlap of 0.8 / 1.8 (a + b)
+    named = written(wanted.join(label, "cid", "left").select("cid", F.coalesce("comp", "cid").alias("comp"), gid.alias("gid"), F.col("size").isNotNull().alias("many")))
+
+    in_comp = written(probe.join(named, "cid"))
+    wide = in_comp.groupBy("tok").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("tok")
+    open_ = written(in_comp.join(written(wide), "tok").select("tok", "cid", "comp", "gid", "many", "n", (F.col("n") - F.col("i")).alias("rest")))
+    matrix = written(open_.groupBy("tok", "gid", F.col("comp").alias("gcomp"), F.col("many").alias("gmany")).agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("rest").alias("grest")))
+    # n0 and n1 are of the members with this token
     fits = (F.col("comp") > F.col("gcomp")) & (F.col("n") * 100 >= F.col("n0") * PERCENT) & (F.col("n1") * 100 >= F.col("n") * PERCENT)
     fits = fits & (F.least("rest", "grest") * (100 + PERCENT) >= (F.col("n") + F.col("n0")) * PERCENT)
-    near = cut(probe.drop("gid", "many").join(matrix, "tok").filter(fits).select("cid", "gid", "gmany").distinct())
+    near = written(open_.drop("gid", "many").join(matrix, "tok").filter(fits).select("cid", "gid", "gmany").distinct())
     single = near.filter("not gmany").select(F.col("cid").alias("a"), F.col("gid").alias("b"))
     grouped = near.filter("gmany").select("cid", "gid")
     if grouped.isEmpty():
         opened = single
     else:
-        members = cut(named.filter("many").select(F.col("cid").alias("b"), "gid").join(grouped.select("gid").distinct(), "gid"))
+        members = written(named.filter("many").select(F.col("cid").alias("b"), "gid").join(grouped.select("gid").distinct(), "gid"))
         union = _unions(members.join(texts.select(F.col("cid").alias("b"), "z"), "b").select("gid", "z"))
-        open_ = cut(_within_bound(grouped.join(texts, "cid").join(cut(union), "gid")))
-        opened = single.unionByName(open_.join(members, "gid").select(F.col("cid").alias("a"), "b"))
+        qualify = written(_within_bound(grouped.join(texts, "cid").join(written(union), "gid")))
+        opened = single.unionByName(qualify.join(members, "gid").select(F.col("cid").alias("a"), "b"))
     comps = merged(comps, _links(opened.distinct(), texts))
 
     own = base.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"))
-    own = cut(own.join(comps.select(F.col("id").alias("cid"), "comp"), "cid", "left").select("cid", F.coalesce("comp", "cid").alias("comp"), "least"))
-    first = cut(own.groupBy("comp").agg(F.min("least").alias("component_id")))
-    named_comp = cut(own.join(first, "comp").select("cid", "component_id"))
+    own = written(own.join(comps.select(F.col("id").alias("cid"), "comp"), "cid", "left").select("cid", F.coalesce("comp", "cid").alias("comp"), "least"))
+    first = own.groupBy("comp").agg(F.min("least").alias("component_id"))
+    named_comp = written(own.join(first, "comp").select("cid", "component_id"))
     return base.join(named_comp, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
