@@ -38,8 +38,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, text: str
 
     The benchmark's words are counted over all documents by map-side sums. Both small tables are broadcast up to
     BROADCAST_ROWS rows, which is counted first; a larger benchmark joins by a shuffle of the words with the window's
-    reach around each. Null or empty texts have no words; null item ids count as an item of the empty name; repeated
-    items or documents are counted as they come; empty tables give empty hits.
+    reach around each, of the windows' prefix words only where these can be broadcast. Null or empty texts have no words;
+    null item ids count as an item of the empty name; repeated items or documents are counted as they come; empty tables
+    give empty hits. Other columns of docs come back whatever their names; n_words, hits and items are replaced.
     """
     windows = cut(windows_of(items.select("item_id", "text"), window).groupBy("w", "n").agg(F.array_sort(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit("")))).alias("ids")))
     vocabulary = cut(windows.select(F.explode("w").alias("word")).distinct())
@@ -53,26 +54,30 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, text: str
     prefix = rarest.select(F.col("least.word").alias("prefix"), "w", F.col("n").cast("int").alias("n"), F.col("least.at").cast("int").alias("at"), "ids")
     mark = docs.sparkSession.range(1).select(F.lit("").alias("prefix"), F.array(F.lit("")).alias("w"), F.lit(1).alias("n"), F.lit(0).alias("at"), F.array(F.lit("")).alias("ids"))
     prefix = cut(prefix.unionByName(mark))
-    columns = [c for c in docs.columns if c not in ("_id", "_ws", "_i", "_n")]
-    keep = [F.col(f"`{c}`") for c in columns if c != text]
+    # the other columns travel as one, so no name of theirs meets one used here
+    columns = [c for c in docs.columns if c not in (text, "n_words", "hits", "items")]
+    row = F.struct(F.lit(True).alias("f"), *[F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(columns)])
     # no lambda from here to the aggregation, so scan, explosion, join and comparison compile to one loop over the words
-    rows = docs.select(F.monotonically_increasing_id().alias("_id"), *keep, F.concat(words_of(F.col(f"`{text}`")), F.array(F.lit(""))).alias("_ws"))
+    rows = docs.select(F.monotonically_increasing_id().alias("_id"), row.alias("_row"), F.concat(words_of(F.col(f"`{text}`")), F.array(F.lit(""))).alias("_ws"))
     at = rows.select("*", (F.size("_ws") - 1).alias("_n"), F.posexplode("_ws").alias("_i", "_word"))
     if broadcast:
         near, place = F.col("_ws"), F.col("_i")
     else:
         # the words that a window can reach from this one travel with it
+        some = prefix.select(F.col("prefix").alias("_word")).distinct()
+        if some.count() <= 4 * BROADCAST_ROWS:
+            at = at.join(F.broadcast(some), "_word", "left_semi")
         begin = F.greatest(F.col("_i") - (window - 1), F.lit(0))
-        at = at.select("_id", *keep, "_n", "_i", "_word", F.slice("_ws", begin + 1, F.lit(2 * window - 1)).alias("_near"), begin.alias("_begin"))
+        at = at.select("_id", "_row", "_n", "_i", "_word", F.slice("_ws", begin + 1, F.lit(2 * window - 1)).alias("_near"), begin.alias("_begin"))
         near, place = F.col("_near"), F.col("_i") - F.col("_begin")
     first = place - F.col("at")
     whole = (first >= 0) & (first + F.col("n") <= F.size(near)) & (F.slice(near, F.greatest(first, F.lit(0)) + 1, F.col("n")) == F.col("w"))
-    kept = [F.first(f"`{c}`").alias(c) for c in columns if c != text]
     met = at.join(hint(prefix), (F.col("_word") == F.col("prefix")) & whole)
     run = F.when(F.col("prefix") != "", F.struct((F.col("_i") - F.col("at")).alias("i"), F.col("n"), F.col("ids")))
-    out = met.groupBy("_id").agg(*kept, F.first("_n").alias("n_words"), F.collect_list(run).alias("runs"))
+    out = met.groupBy("_id").agg(F.first("_row").alias("_row"), F.first("_n").alias("n_words"), F.collect_list(run).alias("runs"))
     spread = F.flatten(F.transform("runs", lambda r: F.sequence(r["i"], r["i"] + r["n"] - 1)))
     names = F.flatten(F.transform("runs", lambda r: r["ids"]))
+    keep = [F.col("_row")[f"f{i}"].alias(c) for i, c in enumerate(columns)]
     return out.select(*keep, "n_words", F.array_sort(F.array_distinct(spread)).alias("hits"), F.array_sort(F.array_distinct(names)).alias("items"))
 
 

@@ -14,8 +14,10 @@ from .common import BYTE, LOWER, RADIX, RADIX_INV, crc_mod, mix, powers, raw_byt
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Documents of each language, about, from which the piece probabilities are learned.
 SAMPLE_DOCS = 1000
-#: Bytes of the longest piece that counts, and of the part of a word that is segmented at once; longer words are cut there.
-MOST_PIECE, MOST_WORD = 12, 32
+#: Bytes of words whose pieces are looked up at once; a longer word is worked through in such steps.
+BLOCK = 1 << 18
+#: Bytes from which a part is rescaled while it is summed, and after which such a part is cut while learning.
+LONG, LEARN_PART = 32, 32
 #: Added to each piece's expected count.
 SMOOTHING = 0.02
 
@@ -30,7 +32,7 @@ def load_pieces(path: str = VOCABULARY) -> list[bytes]:
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
             piece = model.id_to_piece(i).replace("▁", " ").encode()
             piece = bytes(LOWER[np.frombuffer(piece, dtype=np.uint8)])
-            if 0 < len(piece) <= MOST_PIECE and b" " not in piece[1:]:
+            if piece and b" " not in piece[1:]:  # a blank within occurs in no word
                 out.add(piece)
     return sorted(out)
 
@@ -74,27 +76,58 @@ class Lattice:
             at, h = at[maybe], h[maybe]
             place = np.minimum(np.searchsorted(known, h), len(known) - 1)
             hit = known[place] == h
+            if not hit.any():
+                continue
             arc = np.full(len(data), self.n, dtype=np.int32)
             arc[at[hit]] = own[place[hit]]
             out[size] = arc
         return out
 
-    def forward(self, p: np.ndarray, starts, sizes, arcs) -> np.ndarray:
-        """Sum over the segmentations of the first t bytes of each word, at start + t (+ the word's number); p: pieces x languages, 0 in the last row."""
+    def parts(self, starts, sizes, arcs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, sizes, word) of the words' parts: cut wherever no piece lies across, as all segmentations are there."""
+        n = int(sizes.sum())
+        change = np.zeros(n + 1, dtype=np.int32)
+        for size, arc in arcs.items():
+            if size > 1:
+                at = np.flatnonzero(arc < self.n)
+                change[at + 1] += 1
+                change[at + size] -= 1
+        free = np.cumsum(change)[:n] == 0
+        free[starts] = True
+        at = np.flatnonzero(free)
+        return at, np.diff(np.append(at, n)), np.searchsorted(starts, at, side="right") - 1
+
+    def forward(self, p: np.ndarray, starts, sizes, arcs, logs: np.ndarray | None = None) -> np.ndarray:
+        """Sum over the segmentations of the first t bytes of each part, at start + t (+ the part's number); p: pieces x languages, 0 in the last row.
+
+        With logs (parts x languages), the sums within parts of over LONG bytes are divided by their last value every few bytes,
+        and the logarithms of the divisors are added there; without, they are as they are.
+        """
         number = np.arange(len(starts))
         base = starts + number
         total = np.zeros((int(sizes.sum()) + len(starts), p.shape[1]))
         total[base] = 1
-        for t in range(1, int(sizes.max(initial=0)) + 1):
-            live = sizes >= t
-            s, b = starts[live], base[live]
-            here = np.zeros((len(s), p.shape[1]))
+        reach = max(arcs, default=1)
+        order = np.argsort(-sizes, kind="stable")  # the longest first: those that go on are a prefix
+        starts, base = starts[order], base[order]
+        going = np.searchsorted(-sizes[order], -np.arange(1, int(sizes.max(initial=0)) + 1), side="right")
+        many = int((sizes > LONG).sum())
+        for t, k in enumerate(going.tolist(), 1):
+            s, b = starts[:k], base[:k]
+            here = np.zeros((k, p.shape[1]))
             for size, arc in arcs.items():
                 if size <= t:
                     piece = arc[s + t - size]
                     on = np.flatnonzero(piece < self.n)
-                    here[on] += total[b[on] + t - size] * p[piece[on]]
+                    if len(on):
+                        here[on] += total[b[on] + t - size] * p[piece[on]]
             total[b + t] = here
+            if logs is not None and many and t % 4 == 0:
+                some = b[: min(k, many)]
+                by = total[some + t].copy()
+                logs[order[: len(some)]] += np.log(by)
+                for d in range(min(reach, t) + 1):
+                    total[some + t - d] /= by
         return total
 
     def expected(self, p: np.ndarray, counts, starts, sizes, arcs) -> np.ndarray:
@@ -124,19 +157,14 @@ class Lattice:
         return out[: self.n]
 
 
-def cut_words(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words as lower-case bytes behind a blank, cut every MOST_WORD bytes: (bytes, starts, sizes, word of each part)."""
+def lay_out(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words as lower-case bytes, each behind a blank: (bytes, starts, sizes)."""
     sizes = stops - starts + 1
-    parts = -(-sizes // MOST_WORD)
     total = int(sizes.sum())
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(sizes) else np.zeros(0, np.int64)
     offset = np.arange(total) - np.repeat(begin, sizes)
     source = np.repeat(starts, sizes) + offset - 1
-    out = np.where(offset == 0, np.uint8(0x20), LOWER[data[np.maximum(source, 0)]]) if total else np.zeros(0, np.uint8)
-    word = np.repeat(np.arange(len(sizes)), parts)
-    nth = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
-    at = begin[word] + nth * MOST_WORD
-    return out, at, np.minimum(MOST_WORD, sizes[word] - nth * MOST_WORD), word
+    return np.where(offset == 0, np.uint8(0x20), LOWER[data[np.maximum(source, 0)]]) if total else np.zeros(0, np.uint8), begin, sizes
 
 
 class LanguageModel:
@@ -158,26 +186,42 @@ class LanguageModel:
     def word_scores(self, data, starts, stops) -> np.ndarray:
         """Log probability of each word in each language, summed over all its segmentations."""
         out = np.zeros((len(starts), len(self.langs)))
-        for i in range(0, len(starts), 20_000):  # bounds the lattice's memory
-            text, at, sizes, word = cut_words(data, starts[i : i + 20_000], stops[i : i + 20_000])
-            if len(text) > 4_000_000 and len(word) > 1:  # a very long word among others: one by one
-                for j in range(i, min(i + 20_000, len(starts))):
-                    out[j] = self._whole(data, starts[j : j + 1], stops[j : j + 1])
-                continue
-            arcs = self.lattice.arcs(text, at, sizes)
-            total = self.lattice.forward(self.p, at, sizes, arcs)[at + np.arange(len(at)) + sizes]
-            np.add.at(out, i + word, np.log(np.maximum(total, 1e-300)))
+        ends = np.cumsum(stops - starts + 1)
+        i = 0
+        while i < len(starts):  # blocks bound the lattice's memory
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BLOCK, side="right")))
+            if stops[i] - starts[i] >= BLOCK:
+                out[i] = self._long(lay_out(data, starts[i : i + 1], stops[i : i + 1])[0])
+                j = i + 1
+            else:
+                text, at, sizes = lay_out(data, starts[i:j], stops[i:j])
+                arcs = self.lattice.arcs(text, at, sizes)
+                at, sizes, word = self.lattice.parts(at, sizes, arcs)
+                logs = np.zeros((len(at), len(self.langs)))
+                total = self.lattice.forward(self.p, at, sizes, arcs, logs)[at + np.arange(len(at)) + sizes]
+                np.add.at(out, i + word, logs + np.log(total))
+            i = j
         return out
 
-    def _whole(self, data, starts, stops) -> np.ndarray:
-        text, at, sizes, _ = cut_words(data, starts, stops)
-        done = np.zeros(len(self.langs))
-        for i in range(0, len(at), 20_000):
-            a, n = at[i : i + 20_000], sizes[i : i + 20_000]
-            own = text[a[0] : a[-1] + n[-1]]
-            arcs = self.lattice.arcs(own, a - a[0], n)
-            done += np.log(self.lattice.forward(self.p, a - a[0], n, arcs)[a - a[0] + np.arange(len(a)) + n]).sum(axis=0)
-        return done
+    def _long(self, text: np.ndarray) -> np.ndarray:
+        """One word of any length, step by step: the sums of the last bytes are carried from block to block."""
+        lattice = self.lattice
+        reach = max(lattice.table)
+        last, done = [np.ones(len(self.langs))], np.zeros(len(self.langs))  # last[-d]: the sum d - 1 bytes ago
+        for a in range(0, len(text), BLOCK):
+            from_ = max(0, a - reach)
+            part = text[from_ : a + BLOCK]
+            arcs = lattice.arcs(part, np.zeros(1, np.int64), np.array([len(part)]))
+            for t in range(a - from_ + 1, len(part) + 1):
+                here = np.zeros(len(self.langs))
+                for size, arc in arcs.items():
+                    if size <= min(t, len(last)) and arc[t - size] < lattice.n:
+                        here += last[-size] * self.p[arc[t - size]]
+                last = [*last[-reach:], here]
+                if t % 4 == 0:
+                    done += np.log(here)
+                    last = [x / here for x in last]
+        return done + np.log(last[-1])
 
     def score(self, column) -> np.ndarray:
         data, ends = raw_bytes(column)
@@ -203,7 +247,12 @@ def learn(counts: dict[str, dict[bytes, int]], pieces: list[bytes], rounds: int
         data = np.frombuffer(b"".join(words), dtype=np.uint8)
         sizes = np.array([len(w) for w in words], dtype=np.int64)
         stops = np.cumsum(sizes)
-        text, at, size, word = cut_words(data, stops - sizes, stops)
+        text, at, size = lay_out(data, stops - sizes, stops)
+        arcs = lattice.arcs(text, at, size)
+        at, size, word = lattice.parts(at, size, arcs)
+        over = -(-size // LEARN_PART)
+        nth = np.arange(int(over.sum())) - np.repeat(np.cumsum(over) - over, over)
+        at, size, word = np.repeat(at, over) + nth * LEARN_PART, np.minimum(LEARN_PART, np.repeat(size, over) - nth * LEARN_PART), np.repeat(word, over)
         arcs = lattice.arcs(text, at, size)
         own = np.full((len(pieces) + 1, 1), 1.0 / len(pieces))
         own[-1] = 0

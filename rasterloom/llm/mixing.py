@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from .common import cut
 
 #: Buckets of a source's documents in hash order; only the one in which the mix ends is sorted.
-BUCKETS = 4096
+BUCKETS = 1 << 16
 #: Sources up to which their targets (about 60 bytes each) are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_SOURCES = 20_000
 
@@ -70,12 +70,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     The documents are cut into BUCKETS by the hash, and sums by source and bucket tell in which bucket the source ends;
     only that bucket's documents are sorted, so a source that holds most rows is no single task. Null source: one
     source, the last. Null or empty texts: size 0, taken never. Equal rows share a hash and are taken in any order among
-    themselves. An empty table gives an empty result. Equal input gives equal results.
+    themselves. An empty table gives an empty result. Equal input gives equal results. Other columns may have any names.
     """
-    docs = docs.drop("size", "source_size", "target", "whole", "part")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # the columns travel as one, so no name of theirs meets one used here
+    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "whole", "part")]
+    row = F.struct(*[F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(names)]).alias("_row")
+    back = [F.col("_row")[f"f{i}"].alias(c) for i, c in enumerate(names)]
     key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col(f"`{text}`"))
-    sized = docs.select(*columns, n_words(F.col(f"`{text}`")).alias("size"), key.alias("_h"), F.pmod(F.shiftrightunsigned(key, 20), F.lit(BUCKETS)).alias("_b"), F.col(f"`{source}`").alias("_s"))
+    sized = docs.select(row, n_words(F.col(f"`{text}`")).alias("size"), key.alias("_h"), F.pmod(F.shiftrightunsigned(key, 20), F.lit(BUCKETS)).cast("int").alias("_b"), F.col(f"`{source}`").alias("_s"))
     sums = cut(sized.groupBy("_s", "_b").agg(F.sum("size").alias("n")))
     goal = targets(sums.groupBy(F.col("_s").alias("source")).agg(F.sum("n").alias("source_size")), weights, share, most)
     goal = goal.withColumn("words", F.round("target").cast("long"))
@@ -89,12 +91,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     plan = cut(goal.join(end, F.col("source").eqNullSafe(F.col("_e")), "left").select(F.col("source").alias("_g"), "source_size", "target", "whole", "rest", "end", "before"))
     side = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
     joined = sized.join(side, F.col("_s").eqNullSafe(F.col("_g")))
-    out = [*columns, "size", "source_size", "target", F.col("whole").cast("int").alias("whole")]
+    out = [*back, "size", "source_size", "target", F.col("whole").cast("int").alias("whole")]
     at_end = (F.col("rest") > 0) & (F.col("_b") == F.coalesce("end", F.lit(BUCKETS)))
     simple = joined.filter(~at_end).select(*out, F.when((F.col("rest") > 0) & (F.col("_b") < F.coalesce("end", F.lit(BUCKETS))), F.col("size")).otherwise(0).alias("part"))
-    order = Window.partitionBy("_s").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("_s").orderBy("_h", "size").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(order), F.lit(0))
-    last = joined.filter(at_end).select(*columns, "size", "source_size", "target", "whole", F.greatest(F.lit(0), F.least(F.col("size"), left)).alias("part"))
+    last = joined.filter(at_end).select("_row", "size", "source_size", "target", "whole", F.greatest(F.lit(0), F.least(F.col("size"), left)).alias("part"))
     return simple.unionByName(last.select(*out, "part"))
 
 

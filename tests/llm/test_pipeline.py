@@ -75,6 +75,33 @@ def test_mixing_stage(spark, docs, folder):
     assert abs(total - 1.5 * size) < 0.01 * size + 4
 
 
+CLASHES = ("n", "w", "at", "ids", "prefix", "size", "source_size", "target", "whole", "part", "lang_pred", "lang_score", "_id", "_row", "_ws", "_i", "_h", "_b", "_s", "row", "name", "n_words", "hits", "items", "cid", "bucket", "key", "word")
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_any_other_columns(spark, docs, folder, k):
+    """Columns of any name come back as they are from each stage, and change nothing."""
+    stage = corpus_pipeline.STAGES[k][1]
+    plain, wide = stage(spark, docs, folder), stage(spark, docs.withColumns({c: F.lit(f"own {c}") for c in CLASHES}), folder)
+    assert wide.columns == [*COLUMNS, *CLASHES]
+    rows = wide.collect()
+    assert all(r[c] == f"own {c}" for r in rows for c in CLASHES)
+    counted = lambda rows: collections.Counter((r["doc_id"], r["text"], r["n_chars"]) for r in rows)
+    assert counted(rows) == counted(plain.collect())
+
+
+def test_sharding_stage(spark, docs, folder):
+    out = corpus_pipeline.shard(spark, docs.withColumn("slot", F.lit("own")), folder)
+    assert out.columns == [*COLUMNS, "law", "shard", "slot", "grown_shard"] and out.count() == len(fx.texts())
+
+
+def test_two_texts_of_one_id(spark, folder):
+    text = lambda *ws: " ".join(f"word{w}" for w in ws)
+    rows = [(1, text(*range(50)), "en", "a", 1), (1, text(*range(100, 150)), "en", "a", 1), (0, text(*range(100, 150)), "en", "a", 1), (None, text(*range(50)), "en", "a", 1), (1, text(*range(50)), "en", "a", 1)]
+    kept = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, fx.SCHEMA + ", n_chars long"), folder)
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(0, rows[2][1]), (1, rows[0][1])]
+
+
 def test_run(spark, folder, tmp_path):
     out = corpus_pipeline.run(spark, folder)
     assert out.columns == [*COLUMNS, "law", "shard", "slot", "grown_shard"]

@@ -93,6 +93,10 @@ def test_sharding(docs, nothing, bucket_bytes):
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
     assert [r["doc_id"] for r in sorted(rows, key=lambda r: (r["slot"], r["shard"]))] != sorted(r[0] or -1 for r in fx.texts())
     assert sharding.shuffle_to_shards(nothing).count() == 0
+    # rows, buckets and places follow from the rows alone: other layouts and a second run give the same
+    again = sharding.shuffle_to_shards(clash.repartition(7, "text"), 8, bucket_bytes=bucket_bytes).collect()
+    place = lambda rows: collections.Counter((r["doc_id"], r["text"], r["shard"], r["slot"]) for r in rows)
+    assert place(again) == place(rows)
     with pytest.raises(ValueError):
         sharding.shuffle_to_shards(docs, 0)
 
@@ -236,6 +240,34 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(total[at + np.arange(4) + sizes, 0], [brute(w) for w in words])
 
 
+def test_long_words_are_segmented_whole(monkeypatch):
+    import math
+    import random
+    from fractions import Fraction
+
+    import numpy as np
+
+    rng = random.Random(3)
+    pieces = sorted({b" ", b"a", b"b", b"c", b"ab", b" a", b"ba", b"abab", b"bcb", b"cc", b"aaaaaaaaaaaa"})
+    p = np.array([[0.001 * (i + 1), 1e-6 * (len(pieces) - i)] for i in range(len(pieces))] + [[0, 0]])
+    model = langid.LanguageModel(pieces, ["x", "y"], p)
+    words = ["".join(rng.choice("abc") for _ in range(n)) for n in (3, 200, 31, 32, 33, 500, 64)] + ["a" * 300, "c" * 40]
+    text = " ".join(words).encode()
+    ends = np.cumsum([len(w) + 1 for w in words])
+
+    def brute(word, k):
+        word, sums = b" " + word.encode(), [Fraction(1)]
+        for t in range(1, len(word) + 1):
+            sums.append(sum((sums[t - len(q)] * Fraction(p[i, k]) for i, q in enumerate(pieces) if word[:t].endswith(q)), Fraction(0)))
+        return math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+
+    want = [[brute(w, 0), brute(w, 1)] for w in words]
+    for block in (1 << 18, 100, 16):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        got = model.word_scores(np.frombuffer(text, dtype=np.uint8), ends - [len(w) + 1 for w in words], ends - 1)
+        assert np.allclose(got, want, rtol=1e-9)
+
+
 def test_language_id_held_out(spark, sf_dir):
     big = sf_dir.replace("sf0.001", "sf0.01")
     out = langid.op8_language_id(spark, big).join(spark.read.parquet(f"{big}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out")
