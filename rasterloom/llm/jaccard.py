@@ -177,18 +177,37 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "cid long, n int, z binary")
 
 
+def _sizes_fit(n, n0, n1):
+    """Whether a set of n tokens can be similar to one of n0 to n1."""
+    return (F.col(n) * 100 >= F.col(n0) * PERCENT) & (F.col(n1) * 100 >= F.col(n) * PERCENT)
+
+
+def _rest_fits(rest, other, n, m):
+    """Whether sets of n and m tokens can be similar whose first common token leaves `rest` and `other` tokens, itself included."""
+    return F.least(F.col(rest), F.col(other)) * (100 + PERCENT) >= (F.col(n) + F.col(m)) * PERCENT
+
+
+def _count_fits(common, rest, other, n, m):
+    """Whether sets of n and m tokens can be similar that have `common` of their first tokens in common and leave `rest` and `other` after these.
+
+    What else they have in common lies behind the first tokens of the set whose first tokens end earlier in the order.
+    """
+    return (F.col(common) + F.greatest(F.col(rest), F.col(other))) * (100 + PERCENT) >= (F.col(n) + F.col(m)) * PERCENT
+
+
 def _shared(rows: DataFrame, hot: bool) -> DataFrame:
-    """The rows (tok, cid, n, i) whose token another class has too, where sizes and places allow a similar pair.
+    """The rows (tok, cid, n, i, q) whose token another class of fitting size has too; of hot tokens only where places allow a similar pair.
 
     A class that holds the token first in common with another one needs an overlap of 0.8 / 1.8 (a + b) from there on.
     Tokens that are not hot are moved once, for counting and for the join; hot ones are counted map-side before.
     """
     rows = rows if hot else rows.repartition("tok")
-    left = F.col("n") - F.col("i")
-    ends = rows.groupBy("tok").agg(F.min("cid").alias("c0"), F.max("cid").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.max(left).alias("most")).filter("c0 < c1")
-    fits = (F.col("n") * 100 >= F.col("n0") * PERCENT) & (F.col("n1") * 100 >= F.col("n") * PERCENT)
-    fits = fits & (F.least(left, "most") * (100 + PERCENT) >= (F.col("n") + F.col("n0")) * PERCENT)
-    return rows.join(ends, "tok").filter(fits).select("tok", "cid", "n", "i")
+    rest = F.col("n") - F.col("i")
+    ends = rows.groupBy("tok").agg(F.min("cid").alias("c0"), F.max("cid").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.max(rest).alias("most"), F.max("q").alias("q1"))
+    # q1 is asked for so that counting and join read the same columns, and so the same shuffle
+    ends = ends.filter("c0 < c1 and q1 >= 0")
+    joined = rows.join(ends, "tok").withColumn("rest", rest).filter(_sizes_fit("n", "n0", "n1"))
+    return (joined.filter(_rest_fits("rest", "most", "n", "n0")) if hot else joined).select("tok", "cid", "n", "i", "q")
 
 
 def _unpacked(value: bytes, cache: dict, key: int) -> np.ndarray:
@@ -239,6 +258,11 @@ def _within_bound(queries: DataFrame) -> DataFrame:
     return queries.select("cid", "gid", "z", "union").mapInArrow(run, "cid long, gid long")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(cid): the classes of pairs (a, b), once."""
+    return written(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
+
+
 def _unions(members: DataFrame) -> DataFrame:
     """(gid, union): the matrix row of each group, all its members' shingle hashes, sorted."""
 
@@ -267,60 +291,71 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     2. Prefixes: each class has the first n - ceil(0.8 n) + 1 tokens of its set in one order of all tokens (hot ones last,
        the hottest at the very end, others by hash), so two similar sets always share a token there. Hot tokens are those
        that recur within blocks of documents; which tokens count as hot changes the work, never the result.
-    3. Groups: of each shared token, all classes are compared with the one in which it stands earliest (for near copies
-       of one text, the plainest copy); the links' components, cut to GROUP_SIZE members, are the groups of similar
-       documents. A group of copies costs one comparison each.
+    3. Groups: of each shared token, all classes are compared with the plainest one (the fewest tokens before the hot
+       ones, then the least id); the links' components, cut to GROUP_SIZE members, are the groups of similar documents.
+       A group of copies costs one comparison each.
     4. Token-group matrix: a token within only one component needs no more work. The first common token of a similar
-       pair stands early enough in both for the rest to hold the overlap; only such pairs of class and group count. A
-       class that shares such a token with a group of another component is bounded by its overlap with the group's
-       token union; only groups that qualify are opened, and their members compared exactly.
+       pair stands early enough in both for the rest to hold the overlap, and tokens in common among the first ones
+       (hot ones left out) with all that stand behind must reach it; only such pairs of class and group count. The class
+       is then bounded by its overlap with the group's token union; only groups that qualify are opened, and their
+       members compared exactly.
 
     No link is missed up to clashes of 64-bit hashes. Rows of hot tokens are counted map-side and joined by plain shuffles,
-    which adaptive execution splits. Texts move only for classes that share a fitting token, once.
+    which adaptive execution splits. Texts move only for classes that are to be compared.
     """
     docs = docs.select("doc_id", F.col(text).alias("text"))
     found = written(_counted(docs))
     base = found.filter("n is not null").select("doc_id", "cid", "n")
     hot, rank = ranked_hottest(found.filter("tok is not null").groupBy("tok").agg(F.sum("c").alias("df")))
     classes = written(_prefixes(docs, hot, rank).groupBy("cid").agg(*[F.first(c).alias(c) for c in ("n", "cold", "warm")]))
-    cold = _shared(classes.select("cid", "n", F.posexplode("cold").alias("i", "tok")), False)
-    warm = classes.select("cid", "n", F.size("cold").alias("before"), F.posexplode("warm").alias("i", "tok"))
-    warm = _shared(warm.select("cid", "n", (F.col("i") + F.col("before")).alias("i"), "tok"), True)
-    probe = written(cold.select("tok", "cid", "n", "i").unionByName(warm))
-    wanted = written(probe.select("cid").distinct())
-    texts = cut(_texts(docs).join(wanted, "cid").groupBy("cid").agg(F.first("n").alias("n"), F.first("z").alias("z")))
-
-    lead = probe.groupBy("tok").agg(F.min(F.struct("i", "n", "cid")).alias("b"))
-    fits = (F.col("n") * 100 >= F.col("b.n") * PERCENT) & (F.col("b.n") * 100 >= F.col("n") * PERCENT)
-    fits = fits & (F.least(F.col("n") - F.col("i"), F.col("b.n") - F.col("b.i")) * (100 + PERCENT) >= (F.col("n") + F.col("b.n")) * PERCENT)
-    pairs = probe.join(lead, "tok").filter(fits & (F.col("cid") != F.col("b.cid")))
-    pairs = pairs.select(F.least("cid", "b.cid").alias("a"), F.greatest("cid", "b.cid").alias("b")).distinct()
-    comps = connected_components(_links(pairs, texts))
+    rows = classes.withColumn("q", F.size("cold"))
+    cold = _shared(rows.select("cid", "n", "q", F.posexplode("cold").alias("i", "tok")), False)
+    warm = _shared(rows.select("cid", "n", "q", F.posexplode("warm").alias("i", "tok")).withColumn("i", F.col("i") + F.col("q")), True)
+    probe = written(cold.unionByName(warm).withColumn("rest", F.col("n") - F.col("i")))
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        return cut(_texts(docs).join(wanted, "cid").groupBy("cid").agg(F.first("n").alias("n"), F.first("z").alias("z")))
+
+    # a prefix that reaches the hot tokens is the plainer the fewer others stand before
+    whole = F.expr(f"n - (n * {PERCENT} + 99) div 100 + 1")
+    plain = F.when(F.col("q") < whole, F.col("q") / F.col("n") - 1).otherwise(0.0)
+    lead = probe.groupBy("tok").agg(F.min(F.struct(plain.alias("plain"), F.col("cid").alias("b"), F.col("n").alias("m"), F.col("q").alias("p"), F.col("rest").alias("other"))).alias("lead"))
+    pairs = probe.join(lead, "tok").select("*", "lead.*").filter(F.col("cid") != F.col("b")).filter(_sizes_fit("n", "m", "m"))
+    pairs = pairs.groupBy("cid", "b", "n", "m", (F.col("n") - F.col("q")).alias("behind"), (F.col("m") - F.col("p")).alias("after"))
+    pairs = pairs.agg(F.count_if(F.col("i") < F.col("q")).alias("common"), F.max(_rest_fits("rest", "other", "n", "m")).alias("fits"))
+    pairs = written(pairs.filter("fits").filter(_count_fits("common", "behind", "after", "n", "m")).select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")).distinct())
+    comps = connected_components(_links(pairs, texts(_ends(pairs))))
 
     sizes = comps.groupBy("comp").agg(F.count("*").alias("size"))
     label = comps.join(written(sizes), "comp").select(F.col("id").alias("cid"), "comp", "size")
     part = F.pmod(F.col("cid"), F.expr(f"(size + {GROUP_SIZE - 1}) div {GROUP_SIZE}"))
     gid = F.when(F.col("size").isNull(), F.col("cid")).otherwise(F.xxhash64("comp", part))
-    named = written(wanted.join(label, "cid", "left").select("cid", F.coalesce("comp", "cid").alias("comp"), gid.alias("gid"), F.col("size").isNotNull().alias("many")))
+    classes = written(probe.select("cid").distinct())
+    named = written(classes.join(label, "cid", "left").select("cid", F.coalesce("comp", "cid").alias("comp"), gid.alias("gid"), F.col("size").isNotNull().alias("many")))
 
     in_comp = written(probe.join(named, "cid"))
     wide = in_comp.groupBy("tok").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("tok")
-    open_ = written(in_comp.join(written(wide), "tok").select("tok", "cid", "comp", "gid", "many", "n", (F.col("n") - F.col("i")).alias("rest")))
-    matrix = written(open_.groupBy("tok", "gid", F.col("comp").alias("gcomp"), F.col("many").alias("gmany")).agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("rest").alias("grest")))
+    behind = F.col("n") - F.col("q")
+    open_ = written(in_comp.join(written(wide), "tok").select("tok", "cid", "comp", "gid", "many", "n", "rest", behind.alias("behind"), (F.col("i") < F.col("q")).alias("cold")))
+    matrix = open_.groupBy("tok", "gid", F.col("comp").alias("gcomp"), F.col("many").alias("gmany"))
+    matrix = written(matrix.agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("rest").alias("grest"), F.max("behind").alias("gbehind")))
     # n0 and n1 are of the members with this token
-    fits = (F.col("comp") > F.col("gcomp")) & (F.col("n") * 100 >= F.col("n0") * PERCENT) & (F.col("n1") * 100 >= F.col("n") * PERCENT)
-    fits = fits & (F.least("rest", "grest") * (100 + PERCENT) >= (F.col("n") + F.col("n0")) * PERCENT)
-    near = written(open_.drop("gid", "many").join(matrix, "tok").filter(fits).select("cid", "gid", "gmany").distinct())
+    near = open_.drop("gid", "many").join(matrix, "tok").filter(F.col("comp") > F.col("gcomp")).filter(_sizes_fit("n", "n0", "n1"))
+    near = near.groupBy("cid", "gid", "gmany", "n", "behind").agg(
+        F.count_if("cold").alias("common"), F.max(_rest_fits("rest", "grest", "n", "n0")).alias("fits"), F.min("n0").alias("n0"), F.max("gbehind").alias("gbehind")
+    )
+    near = written(near.filter("fits").filter(_count_fits("common", "behind", "gbehind", "n", "n0")).select("cid", "gid", "gmany"))
+    members = written(named.filter("many").select(F.col("cid").alias("b"), "gid").join(near.filter("gmany").select("gid").distinct(), "gid"))
     single = near.filter("not gmany").select(F.col("cid").alias("a"), F.col("gid").alias("b"))
-    grouped = near.filter("gmany").select("cid", "gid")
-    if grouped.isEmpty():
+    asked = near.filter("gmany").select("cid", "gid")
+    left = texts(written(_ends(single).unionByName(asked.select("cid")).unionByName(members.select(F.col("b").alias("cid"))).distinct()))
+    if members.isEmpty():
         opened = single
     else:
-        members = written(named.filter("many").select(F.col("cid").alias("b"), "gid").join(grouped.select("gid").distinct(), "gid"))
-        union = _unions(members.join(texts.select(F.col("cid").alias("b"), "z"), "b").select("gid", "z"))
-        qualify = written(_within_bound(grouped.join(texts, "cid").join(written(union), "gid")))
+        union = _unions(members.join(left.select(F.col("cid").alias("b"), "z"), "b").select("gid", "z"))
+        qualify = written(_within_bound(asked.join(left, "cid").join(written(union), "gid")))
         opened = single.unionByName(qualify.join(members, "gid").select(F.col("cid").alias("a"), "b"))
-    comps = merged(comps, _links(opened.distinct(), texts))
+    comps = merged(comps, _links(opened.distinct(), left))
 
     own = base.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"))
     own = written(own.join(comps.select(F.col("id").alias("cid"), "comp"), "cid", "left").select("cid", F.coalesce("comp", "cid").alias("comp"), "least"))

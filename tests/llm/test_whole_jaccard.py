@@ -1,9 +1,14 @@
 """Similar documents whose common words are all hot, and whose smallest hashes are mostly their own."""
 
+import os
 import random
+import sys
 
 import numpy as np
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+import fixtures as fx
+
 from rasterloom.llm import jaccard
 
 
@@ -42,3 +47,38 @@ def test_near_copies_of_hot_words(spark):
     found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
     got = {r["doc_id"]: r["component_id"] for r in found.collect()}
     assert got[1000] == got[1001] == 1000
+
+
+def test_links_among_hot_passages(spark):
+    """Pairs at 0.80 exactly, of two passages each that a hundred other documents hold: all of them are found."""
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passages = [words(300) for _ in range(16)]
+    rows = [(k * 100 + d, words(100) + passages[k] + words(100)) for k in range(16) for d in range(100)]
+    pairs = [(i, j) for i in range(16) for j in range(i)]
+    for m, (i, j) in enumerate(pairs):
+        rows += [(10_000 + 2 * m + e, passages[i] + words(70) + passages[j]) for e in (0, 1)]
+    rows = [(d, " ".join(w)) for d, w in rows]
+    a, b = (set(jaccard.set_of_text(rows[-k][1].encode()).tolist()) for k in (1, 2))
+    assert 100 * len(a & b) == 80 * len(a | b)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert all(got[10_000 + 2 * m] == got[10_001 + 2 * m] == 10_000 + 2 * m for m in range(len(pairs)))
+    assert all(got[d] == d for d in range(1600))
+
+
+def test_copies_of_a_template_against_brute_force(spark):
+    """Near copies of one text at every distance, among unrelated ones: components as by comparing all pairs."""
+    rng = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    template = [rng.choice(vocabulary) for _ in range(150)]
+    rows = []
+    for d in range(700):
+        text = list(template) if d % 7 else [rng.choice(vocabulary) for _ in range(rng.randint(5, 200))]
+        for _ in range(rng.randint(0, 9)):
+            k = rng.randrange(len(text))
+            text[k : k + rng.randint(0, 2)] = [rng.choice(vocabulary) for _ in range(rng.randint(0, 2))]
+        rows.append((d, " ".join(text[: rng.choice([len(text), 130, 140])])))
+    sets = [fx.word_set(t) for _, t in rows]
+    want = fx.components(fx.similar_pairs(sets), range(len(rows)))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == want
