@@ -125,6 +125,11 @@ def uv_valid(r: dict[str, Column]) -> Column:
     return (r["x0"] <= r["x1"]) & (r["y0"] <= r["y1"])
 
 
+def bounds(x: Column, y: Column) -> list[Column]:
+    """Bounds of points as aggregates: least x, least y, greatest x, greatest y; over a window they are running bounds."""
+    return [F.min(x), F.min(y), F.max(x), F.max(y)]
+
+
 def merge_pays(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """Whether the bounds of both are smaller than the two together."""
     area = lambda r: (r["x1"] - r["x0"]) * (r["y1"] - r["y0"])

@@ -110,6 +110,29 @@ def image_size(content: Column) -> Column:
     return F.when(first == "89", png_size(content)).when(first == "47", gif_size(content)).otherwise(_udf(dimensions)(other))
 
 
+def image_size_by_path(path: Column, content: Column) -> Column:
+    """Size by the extension of the path alone, `.tiff` not among them; an error for others."""
+    from ..sources.formats import exr_dimensions, jp2_dimensions, jpeg_dimensions, tiff_dimensions
+
+    ext = path_type(path)
+    out = F.when(ext == ".png", png_size(content)).when(ext == ".gif", gif_size(content))
+    for kinds, f in (((".jpg", ".jpeg"), jpeg_dimensions), ((".tif",), tiff_dimensions), ((".exr",), exr_dimensions), ((".jp2",), jp2_dimensions)):
+        out = out.when(ext.isin(*kinds), _udf(f)(F.when(ext.isin(*kinds), content)))
+    return out.otherwise(F.raise_error(F.concat(F.lit("unknown file format: "), path)).cast("struct<width:int,height:int>"))
+
+
+def exif_tags(content: Column) -> Column:
+    """All tags of an EXIF block (of a JPEG, or a TIFF itself) as a map of texts by number in hexadecimal."""
+    from ..sources.formats import exif_tags as read
+
+    @F.pandas_udf("map<string,string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([read(bytes(c)) if c is not None else None for c in s], index=s.index, dtype=object)
+
+    return run(content)
+
+
 # Names of the eight orientations, and lengths of resolution units in metres as fractions.
 ORIENTATIONS = ("TopLeft", "TopRight", "BottomRight", "BottomLeft", "LeftTop", "RightTop", "RightBottom", "LeftBottom")
 UNITS = {1: (1, 1), 2: (254, 10000), 3: (1, 100)}

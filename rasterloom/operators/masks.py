@@ -25,16 +25,34 @@ def check_sizes(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(other, "mask_id").withColumn("checked", same).filter("checked is null").select("mask_id", "width", "height")
 
 
-def union(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.select(KEY).union(b.select(KEY)).distinct()
+def create(sizes: DataFrame, source: DataFrame | None = None, full: bool = False) -> DataFrame:
+    """Masks of the sizes (mask_id, width, height): full, or a copy of the source's pixels within, or empty."""
+    if full:
+        return grid(sizes)
+    if source is None:
+        return sizes.select("mask_id", F.lit(0).alias("x"), F.lit(0).alias("y")).filter(F.lit(False))
+    inside = F.col("x").between(0, F.col("width") - 1) & F.col("y").between(0, F.col("height") - 1)
+    return source.select(KEY).join(sizes, "mask_id").filter(inside).select(KEY)
 
 
-def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.select(KEY).join(b.select(KEY), KEY, "left_semi").distinct()
+def _alike(a: DataFrame, sizes: tuple[DataFrame, DataFrame] | None) -> DataFrame:
+    """The pixels of a; if the sizes of both sides are given, an error where they differ for a mask."""
+    return a.select(KEY) if sizes is None else a.select(KEY).join(check_sizes(*sizes).select("mask_id"), "mask_id", "left_semi")
 
 
-def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.select(KEY).join(b.select(KEY), KEY, "left_anti").distinct()
+def union(a: DataFrame, b: DataFrame, sizes: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Pixels of either mask. With sizes (of a, of b) as (mask_id, width, height), masks of different size are an error."""
+    return _alike(a, sizes).union(_alike(b, sizes)).distinct()
+
+
+def intersect(a: DataFrame, b: DataFrame, sizes: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Pixels of both masks; sizes as for union."""
+    return _alike(a, sizes).join(b.select(KEY), KEY, "left_semi").distinct()
+
+
+def subtract(a: DataFrame, b: DataFrame, sizes: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Pixels of the first mask alone; sizes as for union."""
+    return _alike(a, sizes).join(b.select(KEY), KEY, "left_anti").distinct()
 
 
 def grid(sizes: DataFrame, key: str = "mask_id") -> DataFrame:
@@ -109,16 +127,18 @@ def roll_up(mask: DataFrame, width: int, height: int, size: int) -> DataFrame:
 def resize(mask: DataFrame, src: tuple[int, int], dst: tuple[int, int], clamp: bool = False) -> DataFrame:
     """Nearest pixel by round(x * scale), half away from zero; an index at the far edge is unset unless clamped.
 
-    The destination's columns and rows are numbered by the source's, small ranges, so no grid of images is built.
+    Each source pixel is sent to the few destination ones around its scaled place that round back to it, by arithmetic,
+    so neither a grid of images nor a table of columns is built.
     """
     def axis(n_src: int, n_dst: int, name: str) -> Column:
-        at = [int(i * n_src / n_dst + 0.5) for i in range(n_dst)]
-        at = [min(a, n_src - 1) for a in at] if clamp else at
-        by: dict[int, list[int]] = {}
-        for i, a in enumerate(at):
-            by.setdefault(a, []).append(i)
-        pairs = [x for a in range(n_src) for x in (F.lit(a), F.array(*[F.lit(i) for i in by.get(a, [])]).cast("array<int>"))]
-        return F.explode(F.create_map(*pairs)[F.col(name)])
+        c, s = F.col(name), n_src / n_dst
+        back = lambda i: F.floor(i * F.lit(float(n_src)) / F.lit(float(n_dst)) + 0.5)
+        low = F.greatest(F.lit(0), F.floor((c - 0.5) / s)).cast("int") - 1
+        high = F.least(F.lit(n_dst - 1), F.ceil((c + 0.5) / s).cast("int") + 1)
+        if clamp:
+            high = F.when(c == n_src - 1, n_dst - 1).otherwise(high)
+        at = F.sequence(F.greatest(low, F.lit(0)), F.greatest(high, F.lit(0)))
+        return F.explode(F.filter(at, lambda i: (F.least(back(i), F.lit(n_src - 1)) if clamp else back(i)) == c))
 
     x = mask.select("mask_id", "y", axis(src[0], dst[0], "x").alias("x"))
     return x.select("mask_id", "x", axis(src[1], dst[1], "y").alias("y"))

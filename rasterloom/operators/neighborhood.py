@@ -47,21 +47,22 @@ def spread_filter(px: DataFrame, weights: list[float], size: tuple[int, int], al
     edge: reflect101, replicate, or none (what is outside counts 0). weights are centred.
     """
     r, n = len(weights) // 2, size[0] if along == "x" else size[1]
-    reach: dict[int, list[tuple[int, float]]] = {i: [] for i in range(n)}
-    for i in range(n):
-        for k, w in enumerate(weights):
-            s = i + k - r
-            if edge == "replicate":
-                s = min(max(s, 0), n - 1)
-            elif edge == "reflect101" and n > 1:
-                while not 0 <= s < n:
-                    s = -s if s < 0 else 2 * (n - 1) - s
-            if 0 <= s < n:
-                reach[s].append((i, w))
-    table = F.create_map(*[x for s, to in reach.items() for x in (F.lit(s), F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(w)).alias("w")) for i, w in to]))])
-    told = px.select("*", F.explode(table[F.col(along)]).alias("t"))
+    # a place that a window may ask for, from -r to n - 1 + r, is one of these images of the pixel
+    at = F.col(along)
+    images = F.array(at)
+    if edge == "replicate":
+        images = F.when(at == 0, F.sequence(F.lit(-r), F.lit(0))).otherwise(images)
+        images = F.when(at == n - 1, F.concat(images, F.when(F.lit(r > 0), F.sequence(F.lit(n), F.lit(n - 1 + r))).otherwise(F.array().cast("array<int>")))).otherwise(images)
+    elif edge == "reflect101" and n > 1:
+        turns = range(-(r // (2 * n - 2)) - 1, r // (2 * n - 2) + 2)
+        images = F.array_distinct(F.array(*[F.lit(2 * (n - 1) * k) + s for k in turns for s in (at, -at)]))
+    elif edge == "reflect101":
+        images = F.sequence(F.lit(-r), F.lit(r))
+    taps = F.array(*[F.struct(F.lit(k - r).alias("k"), F.lit(float(w)).alias("w")) for k, w in enumerate(weights)])
+    told = px.select("*", F.explode(images).alias("place")).filter(F.col("place").between(-r, n - 1 + r))
+    told = told.withColumn("t", F.explode(taps)).withColumn("to", F.col("place") - F.col("t.k")).filter(F.col("to").between(0, n - 1))
     other = "y" if along == "x" else "x"
-    out = told.groupBy("image_id", other, F.col("t.i").alias(along)).agg(F.sum(F.col(value) * F.col("t.w")).alias(value))
+    out = told.groupBy("image_id", other, F.col("to").cast("int").alias(along)).agg(F.sum(F.col(value) * F.col("t.w")).alias(value))
     return out.select("image_id", "x", "y", value)
 
 
@@ -96,6 +97,43 @@ def sharpen(px: DataFrame, size: tuple[int, int], kernel: int = 3, sigma: float
     return px.join(soft, ["image_id", "x", "y"]).select("image_id", "x", "y", out.cast("int").alias("v"))
 
 
+# Weights of luma and of the differences from it, in 1 / 16384, as 8-bit images are converted.
+LUMA, CHROMA, BACK = (4899, 9617, 1868), (11682, 9241), (22987, -11698, -5636, 29049)
+
+
+def _scaled(v: Column) -> Column:
+    """Sums of 1 / 16384 to whole values, half up."""
+    return F.shiftright(v + 8192, 14)
+
+
+def _byte(v: Column) -> Column:
+    return F.greatest(F.lit(0), F.least(F.lit(255), v)).cast("int")
+
+
+def sharpen_color(px: DataFrame, size: tuple[int, int], ycrcb: bool = False, **params) -> DataFrame:
+    """Sharpening of colour pixels (r, g, b, and `a` if there is one) by their luma; alpha stays as it is.
+
+    ycrcb: the three channels are luma and chroma already (y in r), and chroma stays. Else whole-valued conversion to
+    luma and chroma and back. params as for sharpen.
+    """
+    c = {k: F.col(k).cast("int") for k in "rgb"}
+    if ycrcb:
+        parts = {"l": c["r"], "cr": c["g"], "cb": c["b"]}
+    else:
+        luma = _scaled(c["r"] * LUMA[0] + c["g"] * LUMA[1] + c["b"] * LUMA[2])
+        parts = {"l": luma, "cr": _byte(_scaled((c["r"] - luma) * CHROMA[0]) + 128), "cb": _byte(_scaled((c["b"] - luma) * CHROMA[1]) + 128)}
+    keep = ["a"] if "a" in px.columns else []
+    own = px.select("image_id", "x", "y", *keep, *[v.alias(k) for k, v in parts.items()])
+    sharp = sharpen(own.select("image_id", "x", "y", F.col("l").alias("v")), size, **params)
+    both = own.join(sharp, ["image_id", "x", "y"])
+    y, cr, cb = F.col("v"), F.col("cr") - 128, F.col("cb") - 128
+    if ycrcb:
+        out = {"r": y, "g": F.col("cr"), "b": F.col("cb")}
+    else:
+        out = {"r": _byte(y + _scaled(cr * BACK[0])), "g": _byte(y + _scaled(cr * BACK[1] + cb * BACK[2])), "b": _byte(y + _scaled(cb * BACK[3]))}
+    return both.select("image_id", "x", "y", *[v.alias(k) for k, v in out.items()], *keep)
+
+
 def cell_codes(mask: DataFrame, key: str = "mask_id") -> DataFrame:
     """(key, i, j, code) of the marching-squares cells that touch a set pixel: UL 8, UR 4, LR 2, LL 1.
 

@@ -81,24 +81,24 @@ def reconstruct_default(px: DataFrame, points: DataFrame, kernel: Kernel, dst: t
     return both.select("image_id", F.col("dx").alias("x"), F.col("dy").alias("y"), F.when(F.col("total") > 1e-15, v).otherwise(0.0).alias("v"))
 
 
-def reconstruct_valid(px: DataFrame, points: DataFrame, kernel: Kernel, dst: tuple[int, int]) -> DataFrame:
+def reconstruct_valid(px: DataFrame, points: DataFrame, kernel: Kernel, dst: tuple[int, int], values: tuple[str, ...] = ("v",)) -> DataFrame:
     """(image_id, x, y, v) from valid pixels alone; destination pixels that are undefined have no row.
 
-    With all of the window valid, all weights count; else those that are not negative. A sum under 1e-15 is undefined.
+    values: the channels, any number of them, each of which comes back under its name; weights are summed once. With all of the window valid, all weights count; else those that are not negative. A sum under 1e-15 is undefined.
     """
     taps = window(points, kernel)
     n = taps.groupBy("dx", "dy").agg(F.count("*").alias("n"))
-    w, v = F.col("w"), F.col("v")
+    w = F.col("w")
     up = w >= 0
+    channels = [s for c in values for s in (F.sum(F.when(up, w * F.col(c)).otherwise(0.0)).alias(f"{c}0"), F.sum(F.when(up, 0.0).otherwise(w * F.col(c))).alias(f"{c}1"))]
     sums = _joined(px, taps, _taps(dst, kernel)).groupBy("image_id", "dx", "dy").agg(
-        F.count("*").alias("k"), F.sum(F.when(up, w).otherwise(0.0)).alias("w0"), F.sum(F.when(up, 0.0).otherwise(w)).alias("w1"),
-        F.sum(F.when(up, w * v).otherwise(0.0)).alias("v0"), F.sum(F.when(up, 0.0).otherwise(w * v)).alias("v1"),
+        F.count("*").alias("k"), F.sum(F.when(up, w).otherwise(0.0)).alias("w0"), F.sum(F.when(up, 0.0).otherwise(w)).alias("w1"), *channels
     )
     both = sums.join(F.broadcast(n) if dst[0] * dst[1] <= BROADCAST_TAPS else n, ["dx", "dy"])
     part = F.col("k") < F.col("n")
     weight = F.when(part, F.col("w0")).otherwise(F.col("w0") + F.col("w1"))
-    value = F.when(part, F.col("v0")).otherwise(F.col("v0") + F.col("v1"))
-    return both.filter(weight >= 1e-15).select("image_id", F.col("dx").alias("x"), F.col("dy").alias("y"), (value / weight).alias("v"))
+    out = [(F.when(part, F.col(f"{c}0")).otherwise(F.col(f"{c}0") + F.col(f"{c}1")) / weight).alias(c) for c in values]
+    return both.filter(weight >= 1e-15).select("image_id", F.col("dx").alias("x"), F.col("dy").alias("y"), *out)
 
 
 def clamp8(v: Column) -> Column:

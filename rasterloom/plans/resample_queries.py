@@ -106,7 +106,6 @@ def reconstruct_masked(spark, sf):
     return rs.reconstruct_valid(src.sparse(spark, sf), p, rs.hat(2.0, 2.0), (64, 64)).withColumn("v", fixed(C("v")))
 
 
-@query("scale_sinc")
 def scale_sinc(spark, sf):
     return rs.scale(src.gray8(spark, sf), (8, 8), (12, 12)).withColumn("v", rs.clamp8(C("v")))
 
@@ -233,6 +232,12 @@ def ahe(spark, sf):
     return cl.clahe(src.mosaic(spark, sf), (48, 48), (16, 16))
 
 
-@query("clahe_clip")
+def _clip_sql() -> str:
+    from .row_queries import _recursive, clipped_sql
+
+    counted = "SELECT image_id, x // 16 AS rx, y // 16 AS ry, v, count(*) AS n FROM mosaic GROUP BY 1, 2, 3, 4"
+    return _recursive(with_sql("mosaic", clipped_sql("mosaic", 16, 4) + _AHE.replace(counted, "SELECT * FROM t").replace(", t AS (SELECT q.*", ", tt AS (SELECT q.*").replace("\nt AS (SELECT q.*", "\ntt AS (SELECT q.*").replace("FROM t JOIN m", "FROM tt t JOIN m")))
+
+
 def clahe_clip(spark, sf):
     return cl.clahe(src.mosaic(spark, sf), (48, 48), (16, 16), 4.0)

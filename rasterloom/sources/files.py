@@ -86,19 +86,43 @@ def pixels(rasters: DataFrame, key: str) -> DataFrame:
     return rasters.select(key, "width", "height", "channels", "depth", "data").mapInPandas(run, f"`{key}` {kind}, x int, y int, px array<int>")
 
 
-def images(px: DataFrame, encode: Callable[[np.ndarray], bytes], key: str = "image_id") -> DataFrame:
-    """(key, content): dense 8-bit pixels (key, x, y, v) encoded, one group for each image."""
+def arrays(px: DataFrame, values: list[str], width: int, height: int, key: str = "image_id") -> DataFrame:
+    """(key, data): each image as one flat array, row after row, pixel after pixel, the values of a pixel side by side.
+
+    Missing pixels are 0. Numpy takes it by reshape(height, width, len(values)).
+    """
+    at = (F.col("y").cast("long") * width + F.col("x")).alias("at")
+    own = px.filter(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)).select(key, at, F.array(*values).alias("v"))
+    held = own.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("held"))
+    blank = F.array(*[F.lit(0) for _ in values])
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(width * height - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("held", i), blank))
+    return held.select(key, F.flatten(cells).alias("data"))
+
+
+def images(px: DataFrame, encode: Callable[[np.ndarray], bytes], key: str = "image_id", size: tuple[int, int] | None = None, depth: str = "uint8") -> DataFrame:
+    """(key, content): dense pixels (key, x, y, v) encoded, one group for each image; its size is (width, height), or where pixels end."""
 
     def run(k, pdf):
-        image = np.zeros((pdf["y"].max() + 1, pdf["x"].max() + 1), dtype=np.uint8)
+        w, h = size or (pdf["x"].max() + 1, pdf["y"].max() + 1)
+        image = np.zeros((h, w), dtype=depth)
         image[pdf["y"], pdf["x"]] = pdf["v"]
         return pd.DataFrame({key: [k[0]], "content": [encode(image)]})
 
     return px.select(key, "x", "y", "v").groupBy(key).applyInPandas(run, f"{key} {px.schema[key].dataType.simpleString()}, content binary")
 
 
-def encode_png(px: DataFrame, level: int = -1, key: str = "image_id") -> DataFrame:
-    return images(px, lambda image: fm.png_encode(image, level), key)
+def encode_png(px: DataFrame, level: int = -1, key: str = "image_id", size: tuple[int, int] | None = None) -> DataFrame:
+    return images(px, lambda image: fm.png_encode(image, level), key, size)
+
+
+def encode_png_raw(rasters: DataFrame, level: int = -1) -> DataFrame:
+    """Rows with width, height, channels and data (interleaved bytes) with `content`, a PNG; an error where data has another length."""
+
+    @F.pandas_udf("binary")
+    def run(data: pd.Series, w: pd.Series, h: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([fm.png_encode_raw(bytes(d), int(i), int(j), int(k), level) for d, i, j, k in zip(data, w, h, c, strict=True)])
+
+    return rasters.withColumn("content", run("data", "width", "height", "channels"))
 
 
 MASK_DUMPS = {"bits": fm.bitmask_dump, "tree": fm.treemask_dump, "mapped": fm.mappedmask_dump}
@@ -234,15 +258,60 @@ class ContainerReader(DataSourceReader):
             yield partition.value, name, fm.container_read(data, name)
 
 
-class ContainerWriter(DataSourceWriter):
+class FileMessage(WriterCommitMessage):
+    """What a task has written: (temporary name, name) of each file."""
+
+    def __init__(self, files: list[tuple[str, str]]):
+        self.files = files
+
+
+class FileWriter(DataSourceWriter):
+    """Whole files under names of their own, renamed when all tasks are done and removed if the job fails.
+
+    A task that runs again, or twice at once, leaves nothing half written at the final path.
+    """
+
+    def contents(self, iterator) -> Iterator[tuple[str, bytes]]:
+        raise NotImplementedError
+
     def write(self, iterator):
+        import uuid
+
+        done = []
+        for path, content in self.contents(iterator):
+            temporary = f"{path}.{uuid.uuid4().hex}.part"
+            with open(temporary, "wb") as f:
+                f.write(content)
+            done.append((temporary, path))
+        return FileMessage(done)
+
+    def commit(self, messages):
+        import os
+
+        files = [x for m in messages if m is not None for x in m.files]
+        names = [path for _, path in files]
+        if len(set(names)) < len(names):
+            self.abort(messages)
+            raise ValueError("two tasks wrote one path: rows of one file must lie in one partition")
+        for temporary, path in files:
+            os.replace(temporary, path)
+
+    def abort(self, messages):
+        import contextlib
+        import os
+
+        for temporary, _ in [x for m in messages if m is not None for x in m.files]:
+            with contextlib.suppress(FileNotFoundError):
+                os.remove(temporary)
+
+
+class ContainerWriter(FileWriter):
+    def contents(self, iterator):
         held: dict[str, dict[str, bytes]] = {}
         for row in iterator:
             held.setdefault(row["path"], {})[row["name"]] = bytes(row["content"])
         for path, entries in held.items():
-            with open(path, "wb") as f:
-                f.write(fm.container_write(entries))
-        return WriterCommitMessage()
+            yield path, fm.container_write(entries)
 
 
 class ImageSink(DataSource):
@@ -259,12 +328,10 @@ class ImageSink(DataSource):
         return ImageWriter()
 
 
-class ImageWriter(DataSourceWriter):
-    def write(self, iterator):
+class ImageWriter(FileWriter):
+    def contents(self, iterator):
         for row in iterator:
-            with open(row["path"], "wb") as f:
-                f.write(bytes(row["content"]))
-        return WriterCommitMessage()
+            yield row["path"], bytes(row["content"])
 
 
 def register(spark: SparkSession) -> None:
@@ -272,6 +339,16 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(ImageSink)
 
 
+def containers(entries: DataFrame) -> DataFrame:
+    """(path, content): one TIFF container for each path of the entries (path, name, content), names in order."""
+
+    def run(k, pdf):
+        pdf = pdf.sort_values("name", kind="stable")
+        return pd.DataFrame({"path": [k[0]], "content": [fm.container_write({n: bytes(c) for n, c in zip(pdf["name"], pdf["content"], strict=True)})]})
+
+    return entries.select("path", "name", "content").groupBy("path").applyInPandas(run, "path string, content binary")
+
+
 def container_entries(files: DataFrame) -> DataFrame:
     """(path, name, content): as the data source, over files that any Spark reader loaded."""
 
