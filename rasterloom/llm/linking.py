@@ -8,52 +8,82 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import connected_components, cut, merged, written
+from .common import connected_components, merged, written
 
 #: Members up to which a key's pairs are compared at once, and leaders of one round of a larger key.
 SMALL = 64
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
-    """Distinct (key, id) of the keys that have several ids: least and greatest id are summed map-side, then joined back."""
+    """Distinct (key, id, lead) of the keys that have several ids: least and greatest id are summed map-side, then joined back."""
     ends = rows.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("top"))
-    several = cut(ends.filter("lead < top").select("key", "lead"))
-    return cut(rows.join(several, "key").select("key", "id", "lead").distinct())
+    several = written(ends.filter("lead < top").select("key", "lead"))
+    return written(rows.join(several, "key").select("key", "id", "lead").distinct())
 
 
-def link_by_keys(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _bounded(members: DataFrame, elements: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(key, id, n, s) of the members (key, id) that can be similar to another one of their key.
+
+    n: an id's elements; s: those of them that another id of the key has too, so no pair has more in common. At least
+    `percent` of an id's elements are common if it is similar to anything.
+    """
+    found = written(elements(members.select("id").distinct()))
+    sizes = found.groupBy("id").agg(F.count("*").alias("n"))
+    held = members.select("key", "id").join(found, "id")
+    often = held.groupBy("key", "e").agg(F.count("*").alias("df")).filter("df > 1").select("key", "e")
+    own = held.join(often, ["key", "e"]).groupBy("key", "id").agg(F.count("*").alias("s"))
+    return written(own.join(sizes, "id").filter(F.col("s") * 100 >= F.col("n") * percent).select("key", "id", "n", "s"))
+
+
+def link_by_keys(members: DataFrame, verify: Callable[[DataFrame], DataFrame], elements: Callable[[DataFrame], DataFrame], percent: int = 80) -> DataFrame:
     """(id, comp) over all verified links between ids that share a key; members: (key, id, lead), see shared_keys.
 
-    verify(pairs) returns the pairs (a, b) that link. First each id is compared with its keys' least ids. From then on
-    only keys that still hold several components count, and of these only pairs across components, so a large group of
-    copies costs no more than one comparison each. Keys of at most SMALL ids are done at once; of a larger one each round
-    compares at most SMALL leaders with all ids, until its ids are one component or all have led. No pair is given up,
-    and a round's pairs are at most SMALL for each member.
+    verify(pairs) returns the pairs (a, b) that link, those with `percent` percent of their elements in common;
+    elements(ids) returns (id, e), the distinct elements of the ids.
+
+    First each id is compared with its keys' least ids. From then on only keys that still hold several components count,
+    and of these only pairs across components that were not compared before, so a large group of copies costs no more
+    than one comparison each. Keys of at most SMALL ids are done at once. Of a larger one, elements that one id alone has
+    first bound what each pair can have in common, which leaves little of a group whose members all differ in something
+    of their own; then each round compares at most SMALL leaders with all ids, until its ids are one component or all
+    have led. No pair is given up unless a bound rules it out.
     """
-    pairs = members.filter("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-    comps = connected_components(verify(pairs))
-    ranked, turn, last = None, 0, 0
-    while True:
-        named = cut(members.select("key", "id").join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")))
-        wide = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).filter("c0 < c1")
-        wide = written(wide.select("key", "m"))
-        rest = cut(named.join(wide, "key"))
-        if turn == 0:
-            leaders = rest = rest.filter(F.col("m") <= SMALL)
-            salt = F.pmod(F.xxhash64("id"), F.lit(SMALL))
-            order = Window.partitionBy("key", salt).orderBy("id")
-            large = named.join(wide.filter(F.col("m") > SMALL), "key")
-            ranked = cut(large.select("key", "id", F.row_number().over(order).alias("turn")))
-            last = ranked.agg(F.max("turn")).first()[0] or 0
-        else:
-            rest = rest.filter(F.col("m") > SMALL)
-            leaders = rest.join(ranked.filter(F.col("turn") == turn), ["key", "id"], "left_semi")
-        other = leaders.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"))
-        pairs = rest.join(other, "key").filter("comp <> cb")
-        pairs = pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-        links = written(verify(pairs))
-        if not links.isEmpty():
-            comps = merged(comps, links)
-        turn += 1
-        if turn > last:
-            return comps
+    tried = written(members.filter("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct())
+    comps = connected_components(verify(tried))
+    # small keys
+    wide = _wide(members.select("key", "id"), comps)
+    small = wide.filter(F.col("m") <= SMALL)
+    other = small.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"))
+    comps = _compared(small.join(other, "key").filter("comp <> cb and id < b").select(F.col("id").alias("a"), "b"), tried, comps, verify)[0]
+    # large keys
+    large = written(wide.filter(F.col("m") > SMALL).select("key", "id"))
+    if large.isEmpty():
+        return comps
+    bounded = _bounded(large, elements, percent)
+    salt = F.pmod(F.xxhash64("id"), F.lit(SMALL))
+    ranked = written(bounded.select("*", F.row_number().over(Window.partitionBy("key", salt).orderBy("id")).alias("turn")))
+    last = ranked.agg(F.max("turn")).first()[0] or 0
+    for turn in range(1, last + 1):
+        rest = _wide(ranked, comps)
+        if rest.isEmpty():
+            break
+        other = rest.filter(F.col("turn") == turn).select("key", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("s").alias("sb"))
+        fits = F.least("s", "sb") * (100 + percent) >= (F.col("n") + F.col("nb")) * percent
+        pairs = rest.join(other, (rest["key"] == other["key"]) & (F.col("comp") != F.col("cb")) & fits)
+        pairs = pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
+        comps, tried = _compared(pairs, tried, comps, verify)
+    return comps
+
+
+def _wide(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """rows (key, id, ...) of keys with several components, with comp and m, the key's number of rows."""
+    named = written(rows.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+    wide = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).filter("c0 < c1")
+    return written(named.join(wide.select("key", "m"), "key"))
+
+
+def _compared(pairs: DataFrame, tried: DataFrame, comps: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """comps with the links among the pairs that were not tried before, and all pairs tried."""
+    new = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
+    links = written(verify(new))
+    return (comps if links.isEmpty() else merged(comps, links)), tried.unionByName(new)

@@ -8,107 +8,129 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, raw_bytes, shingle_hashes, signed, text_slices, winnow, word_hashes
-from .jaccard import hottest, prefix, similar
+from .common import PLACE, RADIX, cut, merged, mix, powers, raw_bytes, shingle_hashes, signed, text_slices, winnow, word_hashes, written
+from .jaccard import similar
 from .linking import link_by_keys, shared_keys
 
 #: Words of a shingle; of a paragraph at least where nothing else is said, and of a passage that two paragraphs or documents share.
 SHINGLE, LEAST, PASSAGE = 5, 50, 50
-#: Paragraphs of up to SHORT distinct shingles are found by their whole prefixes; it is more than those under PASSAGE words are similar to.
-SHORT = 57
 #: Bands of ROWS minima each: two paragraphs with Jaccard similarity 0.8 miss each other with a chance of 0.003.
 BANDS, ROWS = 8, 3
 #: Shingles of a window that picks one; PASSAGE words hold so many windows that three picks in a row are common.
 WINDOW = 14
 SALTS = mix(np.arange(51, 51 + BANDS * ROWS, dtype=np.uint64))
-
-
-def _keys(shingles: np.ndarray) -> np.ndarray:
-    """Bands of minima, and hashes of three neighbouring picks."""
-    minima = np.array([(shingles ^ s).min() for s in SALTS], dtype=np.uint64).reshape(BANDS, ROWS)
-    bands = mix(minima[:, 0] * np.uint64(5) + minima[:, 1] * np.uint64(3) + minima[:, 2] + SALTS[:BANDS])
-    picks = shingles[winnow(shingles, WINDOW)]
-    return np.unique(np.concatenate([bands, mix(picks[:-2] * np.uint64(9) + picks[1:-1] * np.uint64(3) + picks[2:])]))
-
-
-def _paragraphs(docs: DataFrame, full: bool, least: int) -> DataFrame:
-    """Paragraphs (lines) of `least` words or more: doc_id, paragraph, begin, end (bytes), n_words, pid; if full pid, keys, short (prefix), z only."""
+NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def line_ids(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """64 bits that stand for each line's words; lines are words[first[k]:first[k + 1]], none of them empty."""
+    if len(first) < 2:
+        return np.zeros(0, np.uint64)
+    sizes = np.diff(first)
+    place = np.arange(len(words)) - np.repeat(first[:-1], sizes)
+    return mix(np.add.reduceat(mix(words) * powers(RADIX, int(sizes.max()))[place], first[:-1]) + sizes.astype(np.uint64))
+
+
+def line_bands(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(lines, BANDS): hashes of ROWS minima each over the shingles of every line, all lines at once."""
+    sizes = np.diff(first)
+    if not len(sizes):
+        return np.zeros((0, BANDS), np.uint64)
+    shingles = np.full(len(words), NEVER)
+    for k in range(1, SHINGLE + 1):
+        # lines of fewer words are one shingle
+        lines = np.flatnonzero(sizes >= SHINGLE) if k == SHINGLE else np.flatnonzero(sizes == k)
+        count = sizes[lines] - k + 1
+        at = np.repeat(first[:-1][lines], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        total = np.full(len(at), k, dtype=np.uint64)
+        for j in range(k):
+            total += words[at + j] * PLACE[j]
+        shingles[at] = mix(total)
+    none = shingles == NEVER
+    out = np.zeros((len(sizes), BANDS), np.uint64)
+    for k, salt in enumerate(SALTS):
+        value = shingles ^ salt
+        value[none] = NEVER
+        out[:, k // ROWS] += np.minimum.reduceat(value, first[:-1]) * PLACE[k % ROWS]
+    return mix(out + SALTS[:BANDS])
+
+
+def _lines(batches, least: int) -> Iterator[tuple]:
+    """(rows, first line by row, bytes, line begins and ends, word hashes, first word of each line) of slices of Arrow batches.
+
+    Only lines of `least` words or more are told; row and line numbers of these come as (row, line in it).
+    """
+    for batch in batches:
+        column = batch.column("text")
+        for a, b in text_slices(column):
+            data, ends = raw_bytes(column.slice(a, b - a))
+            # a line is a row of its own for the words' hashes
+            cuts = np.unique(np.concatenate([ends, np.flatnonzero(data == 10) + 1]))
+            hashes, _, _, first = word_hashes(data, cuts)
+            sizes = np.diff(first)
+            kept = np.flatnonzero(sizes >= max(least, 1))
+            row = np.searchsorted(ends, cuts[:-1], side="right")[kept] - 1 if len(kept) else kept
+            line = kept - np.searchsorted(cuts, ends[row])
+            words = hashes if len(kept) == len(sizes) else hashes[np.repeat(sizes >= max(least, 1), sizes)]
+            own = np.concatenate([[0], np.cumsum(sizes[kept])]).astype(np.int64)
+            yield batch.slice(a, b - a), data, row, line, cuts[kept], cuts[kept + 1], ends, words, own
+
+
+def _paragraphs(docs: DataFrame, least: int) -> DataFrame:
+    """Lines of `least` words or more: doc_id, paragraph, begin, end (bytes), n_words, pid, keys (the bands)."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
-        import zstandard
 
-        packer = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            ids, column = batch.column("doc_id").to_pylist(), batch.column("text")
-            for a, b in text_slices(column):
-                data, ends = raw_bytes(column.slice(a, b - a))
-                # a line is a row of its own for the words' hashes
-                breaks = np.flatnonzero(data == 10) + 1
-                cuts = np.unique(np.concatenate([ends, breaks]))
-                hashes, _, _, first = word_hashes(data, cuts)
-                doc = np.searchsorted(ends, cuts[:-1], side="right") - 1 if len(cuts) > 1 else np.zeros(0, np.int64)
-                line_of_doc = np.searchsorted(cuts, ends[doc]) if len(doc) else doc
-                out: dict[str, list] = {k: [] for k in (("pid", "keys", "short", "z") if full else ("doc_id", "paragraph", "begin", "end", "n_words", "pid"))}
-                for p in np.flatnonzero(np.diff(first) >= max(least, 1)).tolist():
-                    words = hashes[first[p] : first[p + 1]]
-                    pid = int(mix(np.array([shingle_hashes(mix(words + np.arange(len(words), dtype=np.uint64)), 1).sum(dtype=np.uint64)])).astype(np.int64)[0])
-                    out["pid"].append(pid)
-                    if full:
-                        shingles = shingle_hashes(words, SHINGLE)
-                        out["keys"].append(signed(_keys(shingles)).tolist() if len(words) >= PASSAGE else [])
-                        tokens = np.unique(shingles)
-                        out["short"].append(signed(prefix(tokens, tokens[:0])).tolist() if least < PASSAGE and len(tokens) <= SHORT else [])
-                        out["z"].append(packer.compress(data[cuts[p] : cuts[p + 1]].tobytes()))
-                    else:
-                        out["doc_id"].append(ids[a + int(doc[p])])
-                        out["paragraph"].append(int(p - line_of_doc[p]))
-                        out["begin"].append(int(cuts[p] - ends[doc[p]]))
-                        out["end"].append(int(cuts[p + 1] - ends[doc[p]]))
-                        out["n_words"].append(len(words))
-                kinds = {"doc_id": batch.schema.field("doc_id").type, "keys": pa.list_(pa.int64()), "short": pa.list_(pa.int64()), "z": pa.binary(), "n_words": pa.int32(), "paragraph": pa.int32()}
-                yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], names=list(out))
+        for part, _, row, line, begin, end, ends, words, first in _lines(batches, least):
+            bands = signed(line_bands(words, first))
+            arrays = [
+                part.column("doc_id").take(pa.array(row)), pa.array(line.astype(np.int32)), pa.array(begin - ends[row]), pa.array(end - ends[row]),
+                pa.array(np.diff(first).astype(np.int32)), pa.array(signed(line_ids(words, first))),
+                pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel())),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "paragraph", "begin", "end", "n_words", "pid", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, "pid long, keys array<long>, short array<long>, z binary" if full else f"doc_id {kind}, paragraph int, begin long, end long, n_words int, pid long")
+    return docs.mapInArrow(run, f"doc_id {kind}, paragraph int, begin long, end long, n_words int, pid long, keys array<long>")
 
 
-def _short_keys(texts: DataFrame) -> DataFrame:
-    """(key, id): the prefixes of short paragraphs, the most frequent shingles last."""
-    found = texts.filter(F.size("short") > 0)
-    hot = hottest(found.select(F.explode("short").alias("tok")).groupBy("tok").agg(F.count("*").alias("df")))
-    if not len(hot):
-        return found.select(F.explode("short").alias("key"), F.col("pid").alias("id"))
+def _line_texts(docs: DataFrame, least: int, wanted: DataFrame) -> DataFrame:
+    """(id, z): the words' hashes of the wanted lines (id), compressed, one each."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
         import zstandard
 
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            keys = []
-            for z in batch.column("z"):
-                raw = np.frombuffer(unpack(z.as_py()), dtype=np.uint8)
-                keys.append(signed(prefix(parts(word_hashes(raw, np.array([0, len(raw)]))[0])[0], hot)))
-            at = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])), batch.column("pid").take(pa.array(at))], names=["key", "id"])
+        packer = zstandard.ZstdCompressor(level=1)
+        for _, data, _, _, begin, end, _, words, first in _lines(batches, least):
+            z = [packer.compress(data[a:b].tobytes()) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(line_ids(words, first))), pa.array(z, pa.binary())], names=["id", "z"])
 
-    return found.select("pid", "z").mapInArrow(run, "key long, id long")
+    lines = docs.select("text").mapInArrow(run, "id long, z binary")
+    return cut(lines.join(wanted, "id").groupBy("id").agg(F.first("z").alias("z")))
 
 
-def parts(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What two paragraphs are compared by: sorted distinct shingles, and sorted runs of PASSAGE words."""
-    return np.unique(shingle_hashes(words, SHINGLE)), np.sort(shingle_hashes(words, PASSAGE)) if len(words) >= PASSAGE else np.zeros(0, np.uint64)
+def _set_of(z, unpack) -> np.ndarray:
+    raw = np.frombuffer(unpack(z.as_py()), dtype=np.uint8)
+    return np.unique(shingle_hashes(word_hashes(raw, np.array([0, len(raw)]))[0], SHINGLE))
 
 
-def related(a: tuple, b: tuple) -> bool:
-    """Whether two paragraphs have 80 percent of their shingles in common, or PASSAGE words in a row."""
-    if similar(a[0], b[0]):
-        return True
-    small, large = (a[1], b[1]) if len(a[1]) < len(b[1]) else (b[1], a[1])
-    if not len(small):
-        return False
-    return bool((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).any())
+def _elements(texts: DataFrame):
+    def elements(ids: DataFrame) -> DataFrame:
+        def run(batches) -> Iterator:
+            import pyarrow as pa
+            import zstandard
+
+            unpack = zstandard.ZstdDecompressor().decompress
+            for batch in batches:
+                sets = [_set_of(z, unpack) for z in batch.column("z")]
+                at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), pa.array(signed(np.concatenate([*sets, np.zeros(0, np.uint64)])))], names=["id", "e"])
+
+        return texts.join(ids, "id").select("id", "z").mapInArrow(run, "id long, e long")
+
+    return elements
 
 
 def _verify(texts: DataFrame):
@@ -123,48 +145,51 @@ def _verify(texts: DataFrame):
                 if key not in cache:
                     if len(cache) > 512:
                         cache.clear()
-                    raw = np.frombuffer(unpack(value.as_py()), dtype=np.uint8)
-                    cache[key] = parts(word_hashes(raw, np.array([0, len(raw)]))[0])
+                    cache[key] = _set_of(value, unpack)
                 return cache[key]
 
             for batch in batches:
                 a, b, za, zb = (batch.column(c) for c in ("a", "b", "za", "zb"))
                 ka, kb = a.to_pylist(), b.to_pylist()
-                keep = [related(made(ka[i], za[i]), made(kb[i], zb[i])) for i in range(len(ka))]
+                keep = [similar(made(ka[i], za[i]), made(kb[i], zb[i])) for i in range(len(ka))]
                 yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        both = pairs.join(texts.select(F.col("pid").alias("a"), F.col("z").alias("za")), "a").join(texts.select(F.col("pid").alias("b"), F.col("z").alias("zb")), "b")
+        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("z").alias("za")), "a").join(texts.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b")
         return both.select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
 
     return verify
 
 
-def repeated_paragraphs(docs: DataFrame, text: str = "text", least: int = LEAST) -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, text: str = "text", least: int = LEAST, runs: DataFrame | None = None) -> DataFrame:
     """(doc_id, paragraph, begin, end, n_words, component_id, kept): the paragraphs that have a relative elsewhere.
 
     Paragraphs are lines of `least` words or more (white-space separated, A-Z as a-z); paragraph counts a document's lines
     from 0, begin and end are bytes. Two are relatives if 80 percent of their distinct SHINGLE-word shingles are common,
-    or if they share PASSAGE words in a row. Of each component, the first paragraph by doc_id and place is kept;
+    or if they share PASSAGE words in a row. Of each component, the first paragraph by doc_id and place is kept, once;
     component_id is its doc_id. Documents without such a paragraph have no row. Null or empty texts have no paragraphs;
-    null ids come last; repeated rows are copies; an empty table gives an empty result.
+    null ids come last, and of these and of repeated rows each is a document of its own; an empty table gives an empty
+    result; other columns are not looked at.
 
-    Candidates: equal paragraphs are one class. Bands of minima find similar paragraphs, and three neighbouring winnowed
-    shingles find common passages, which always hold such a run. Short paragraphs are found by the whole prefix of their
-    shingles in one order, which misses none. See link_by_keys for how keys
-    that very many paragraphs have are worked through. Compressed texts move once and lie partitioned by class.
+    Equal paragraphs are one class. Bands of minima find similar ones, which are verified exactly; see link_by_keys for
+    how keys that very many paragraphs have are worked through. Common passages are those of repeated_passages that lie
+    within a line (runs: its table, if there is one already). Texts move only for paragraphs that share a band.
     """
     docs = docs.select("doc_id", F.col(text).alias("text"))
-    occ = cut(_paragraphs(docs, False, least))
-    texts = cut(_paragraphs(docs, True, least).groupBy("pid").agg(*[F.first(c).alias(c) for c in ("keys", "short", "z")]))
-    keys = texts.select(F.explode("keys").alias("key"), F.col("pid").alias("id"))
-    keys = keys.unionByName(_short_keys(texts)) if least < PASSAGE else keys
-    comps = link_by_keys(shared_keys(keys), _verify(texts))
-    own = occ.groupBy("pid").agg(F.count("*").alias("m"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "paragraph")).alias("first"))
-    named = cut(own.join(comps.select(F.col("id").alias("pid"), "comp"), "pid", "left").filter("m > 1 or comp is not null").select("pid", F.coalesce("comp", "pid").alias("comp"), "first"))
-    kept = cut(named.groupBy("comp").agg(F.min("first").alias("kept")))
-    rows = occ.join(cut(named.join(kept, "comp").select("pid", "kept")), "pid")
-    same = F.col("kept.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("kept.paragraph") == F.col("paragraph"))
-    return rows.select("doc_id", "paragraph", "begin", "end", "n_words", F.col("kept.doc_id").alias("component_id"), same.alias("kept"))
+    occ = written(_paragraphs(docs, least).withColumn("oid", F.monotonically_increasing_id()))
+    classes = occ.groupBy("pid").agg(F.first("keys").alias("keys"))
+    members = shared_keys(classes.select(F.explode("keys").alias("key"), F.col("pid").alias("id")))
+    texts = _line_texts(docs, least, written(members.select("id").distinct()))
+    comps = link_by_keys(members, _verify(texts), _elements(texts))
+    runs = passage_runs(docs) if runs is None else runs
+    inside = runs.filter(F.col("pid").isNotNull() & (F.col("line_words") >= least)).select("w", "pid")
+    lead = inside.groupBy("w").agg(F.min("pid").alias("b"), F.max("pid").alias("top")).filter("b < top").select("w", "b")
+    comps = merged(comps, written(inside.join(lead, "w").filter("pid <> b").select(F.col("pid").alias("a"), "b").distinct()))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "paragraph", "oid")
+    own = occ.groupBy("pid").agg(F.count("*").alias("m"), F.min(place).alias("first"))
+    named = written(own.join(comps.select(F.col("id").alias("pid"), "comp"), "pid", "left").filter("m > 1 or comp is not null").select("pid", F.coalesce("comp", "pid").alias("comp"), "first"))
+    kept = named.groupBy("comp").agg(F.min("first").alias("kept"))
+    rows = occ.join(written(named.join(kept, "comp").select("pid", "kept")), "pid")
+    return rows.select("doc_id", "paragraph", "begin", "end", "n_words", F.col("kept.doc_id").alias("component_id"), (F.col("kept.oid") == F.col("oid")).alias("kept"))
 
 
 def _spots(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,13 +204,25 @@ def _spots(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _spot_keys(docs: DataFrame) -> DataFrame:
-    """(key, tid, again) for each text of PASSAGE words or more: the distinct keys of its spots, and whether it has one twice."""
+    """(key, tid, again) for texts of PASSAGE words or more: the distinct keys of their spots, and whether one is there twice.
+
+    Copies that a task meets again are passed over.
+    """
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
+        seen: set[int] = set()
         for batch in batches:
             tids, column = np.asarray(batch.column("tid")), batch.column("text")
+            new = np.zeros(len(tids), bool)
+            for i, t in enumerate(tids.tolist()):
+                if t not in seen:
+                    new[i] = True
+                    seen.add(t)
+            if len(seen) > 1 << 20:
+                seen.clear()
+            tids, column = tids[new], column.filter(pa.array(new))
             for a, b in text_slices(column):
                 hashes, _, _, first = word_hashes(*raw_bytes(column.slice(a, b - a)))
                 keys, tid, again = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
@@ -200,7 +237,10 @@ def _spot_keys(docs: DataFrame) -> DataFrame:
 
 
 def _windows(texts: DataFrame) -> DataFrame:
-    """(tid, i, w): hash of the PASSAGE words from word i on, wherever they hold one of the text's keys; all of them if keys is null."""
+    """(tid, i, w, pid, line_words): hash of the PASSAGE words from word i on, wherever they hold one of the text's keys; all of them if keys is null.
+
+    pid: the line in which they lie (see line_ids) with its number of words, null if they cross lines.
+    """
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -208,7 +248,7 @@ def _windows(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for tid, text, keys in zip(batch.column("tid").to_pylist(), batch.column("text").to_pylist(), batch.column("keys"), strict=True):
                 raw = np.frombuffer(text.encode(), dtype=np.uint8)
-                words = word_hashes(raw, np.array([0, len(raw)]))[0]
+                words, starts, _, _ = word_hashes(raw, np.array([0, len(raw)]))
                 if len(words) < PASSAGE:
                     continue
                 w = shingle_hashes(words, PASSAGE)
@@ -220,9 +260,30 @@ def _windows(texts: DataFrame) -> DataFrame:
                     np.add.at(change, low[hit], 1)
                     np.add.at(change, high[hit] + 1, -1)
                     i = np.flatnonzero(np.cumsum(change[:-1]) > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), tid, dtype=np.int64)), pa.array(i), pa.array(signed(w[i]))], names=["tid", "i", "w"])
+                line = np.searchsorted(np.flatnonzero(raw == 10), starts)
+                first = np.append(np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])), len(words))
+                at = np.searchsorted(first, i, side="right") - 1
+                across = line[i] != line[i + PASSAGE - 1]
+                pid, size = signed(line_ids(words, first))[at], np.diff(first)[at]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), tid, dtype=np.int64)), pa.array(i), pa.array(signed(w[i])), pa.array(pid, mask=across), pa.array(size)], names=["tid", "i", "w", "pid", "line_words"])
 
-    return texts.select("tid", "text", "keys").mapInArrow(run, "tid long, i long, w long")
+    return texts.select("tid", "text", "keys").mapInArrow(run, "tid long, i long, w long, pid long, line_words long")
+
+
+def passage_runs(docs: DataFrame) -> DataFrame:
+    """(tid, i, w, pid, line_words): all runs of PASSAGE words that stand in several places, and some that do not.
+
+    Equal texts are one (tid). Three neighbouring winnowed shingles, which every passage holds, find where texts may
+    agree; only there all runs are hashed. docs: (doc_id, text).
+    """
+    docs = docs.select(F.xxhash64("text").alias("tid"), "text").filter("text is not null")
+    pairs = written(_spot_keys(docs))
+    several = pairs.groupBy("key").agg(F.min("tid").alias("t0"), F.max("tid").alias("t1"), F.max("again").alias("again")).filter("t0 < t1 or again")
+    keys = pairs.join(several.select("key"), "key").groupBy("tid").agg(F.collect_set("key").alias("keys"))
+    copied = docs.groupBy("tid").agg(F.count("*").alias("m"))
+    marked = written(copied.join(keys, "tid", "left").filter("m > 1 or keys is not null").select("tid", F.when(F.col("m") == 1, F.col("keys")).alias("keys")))
+    texts = docs.join(marked.select("tid"), "tid").groupBy("tid").agg(F.first("text").alias("text"))
+    return written(_windows(texts.join(marked, "tid")))
 
 
 def _spans(texts: DataFrame, kind: str) -> DataFrame:
@@ -251,41 +312,34 @@ def _spans(texts: DataFrame, kind: str) -> DataFrame:
     return texts.select("tid", "text", "found").mapInArrow(run, f"tid long, paragraph int, begin long, end long, n_words int, component_id {kind}, kept boolean")
 
 
-def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, text: str = "text", runs: DataFrame | None = None) -> DataFrame:
     """(doc_id, paragraph, begin, end, n_words, component_id, kept): all passages of PASSAGE words or more that stand in several places.
 
     Words are as in repeated_paragraphs, but a passage may cross line breaks. Of each run of PASSAGE words the first by
     doc_id and place is kept and all later ones are not; neighbouring runs with the same kept and the same document of the
     first (component_id) are one span, from the first byte of its first word to the end of its last (paragraph: the line
-    where it begins). Null ids come last; repeated rows are copies.
-
-    Equal texts are one class. Three neighbouring winnowed shingles, which every passage holds, find where texts may
-    agree; only there all runs are hashed and counted.
+    where it begins). Null ids come last; of these and of repeated rows each is a document of its own, and one alone is
+    kept; null and empty texts have no passages; an empty table gives an empty result. runs: see passage_runs.
     """
     docs = docs.select("doc_id", F.col(text).alias("text")).filter("text is not null")
     kind = docs.schema["doc_id"].dataType.simpleString()
     tid = F.xxhash64("text").alias("tid")
-    classes = cut(docs.select(tid, "doc_id").groupBy("tid").agg(F.count("*").alias("m"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("lead")))
-    pairs = cut(_spot_keys(docs.select(tid, "text")).distinct())
-    several = pairs.groupBy("key").agg(F.min("tid").alias("t0"), F.max("tid").alias("t1"), F.max("again").alias("again")).filter("t0 < t1 or again")
-    keys = pairs.join(several.select("key"), "key").groupBy("tid").agg(F.collect_list("key").alias("keys"))
-    marked = classes.join(keys, "tid", "left").filter("m > 1 or keys is not null").select("tid", "m", "lead", F.when(F.col("m") == 1, F.col("keys")).alias("keys"))
-    marked = cut(marked)
-    texts = docs.select(tid, "text").join(marked.select("tid"), "tid").groupBy("tid").agg(F.first("text").alias("text"))
-    texts = cut(texts)
-    runs = cut(_windows(texts.join(marked.select("tid", "keys"), "tid")))
-    runs = runs.join(marked.select("tid", "m", "lead"), "tid").select("tid", "i", "w", "m", F.struct("lead.none", "lead.doc_id", "tid", "i").alias("place"))
-    first = cut(runs.groupBy("w").agg(F.min("place").alias("first"), F.sum("m").alias("times")).filter("times > 1"))
-    found = runs.join(first, "w").select("tid", F.struct("i", F.col("first.doc_id").alias("doc_id"), (F.col("first") == F.col("place")).alias("kept")).alias("x"))
-    found = found.groupBy("tid").agg(F.sort_array(F.collect_list("x")).alias("found"))
+    runs = passage_runs(docs) if runs is None else runs
+    occ = written(docs.select(tid, "doc_id").withColumn("oid", F.monotonically_increasing_id()))
+    classes = written(occ.groupBy("tid").agg(F.count("*").alias("m"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "oid")).alias("lead")))
+    placed = runs.join(classes, "tid").select("tid", "i", "w", "m", F.struct("lead.none", "lead.doc_id", "tid", "i").alias("place"))
+    first = written(placed.groupBy("w").agg(F.min("place").alias("first"), F.sum("m").alias("times")).filter("times > 1"))
+    found = placed.join(first, "w").select("tid", F.struct("i", F.col("first.doc_id").alias("doc_id"), (F.col("first") == F.col("place")).alias("kept")).alias("x"))
+    found = written(found.groupBy("tid").agg(F.sort_array(F.collect_list("x")).alias("found")))
+    texts = docs.select(tid, "text").join(found.select("tid"), "tid").groupBy("tid").agg(F.first("text").alias("text"))
     spans = _spans(texts.join(found, "tid"), kind)
-    occ = docs.select(tid, "doc_id").join(classes.select("tid", F.col("lead.doc_id").alias("least")), "tid")
-    kept = F.col("kept") & F.col("doc_id").eqNullSafe(F.col("least"))
-    return occ.join(spans, "tid").select("doc_id", "paragraph", "begin", "end", "n_words", "component_id", kept.alias("kept"))
+    rows = occ.join(classes.select("tid", F.col("lead.oid").alias("one")), "tid")
+    return rows.join(spans, "tid").select("doc_id", "paragraph", "begin", "end", "n_words", "component_id", (F.col("kept") & (F.col("oid") == F.col("one"))).alias("kept"))
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Lines of any length that have a relative, and passages of whole documents that stand in several places (unit: line, passage)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    lines = repeated_paragraphs(docs, least=1).withColumn("unit", F.lit("line"))
-    return lines.unionByName(repeated_passages(docs).withColumn("unit", F.lit("passage")))
+    runs = passage_runs(docs)
+    lines = repeated_paragraphs(docs, least=1, runs=runs).withColumn("unit", F.lit("line"))
+    return lines.unionByName(repeated_passages(docs, runs=runs).withColumn("unit", F.lit("passage")))

@@ -9,6 +9,7 @@ from types import SimpleNamespace
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import fixtures as fx
+from pyspark.sql import functions as F
 
 from rasterloom.llm import substring
 
@@ -66,3 +67,34 @@ def test_short_lines_and_wrapped_passages(spark, monkeypatch):
             found |= {(r["doc_id"], i, r["component_id"], r["kept"]) for i in range(a, b - 48)}
     assert want and found == want
     assert substring.repeated_passages(frame.limit(0)).count() == 0
+
+
+def test_repeated_rows_and_null_ids(spark):
+    """Of repeated rows, and of different documents without an id, one paragraph and one passage alone is kept."""
+    rng = random.Random(3)
+    text = " ".join(f"v{rng.randrange(10**6)}" for _ in range(80))
+    near = text + " more"
+    rows = [(1, text), (1, text), (None, near), (None, near + " words"), (None, near)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("pid", "oid", "key", "keys", "tid", "w", "i", "m", "kept", "place")})
+    for found in (substring.repeated_paragraphs(frame), substring.repeated_passages(frame)):
+        got = [(r["doc_id"], r["component_id"], r["kept"]) for r in found.collect() if r["n_words"] >= 80]
+        assert sorted(got, key=str) == sorted([(1, 1, True), (1, 1, False), *[(None, 1, False)] * 3], key=str)
+    other = [(None, near), (None, near)]
+    got = [(r["component_id"], r["kept"]) for r in substring.repeated_paragraphs(spark.createDataFrame(other, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == [(None, False), (None, True)]
+
+
+def test_large_keys_against_brute_force(spark):
+    """Hundreds of variants of one line, which share bands but are similar to few: components as by comparing all pairs."""
+    rng = random.Random(5)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(45)]
+    rows = []
+    for d in range(500):
+        line = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            line[rng.randrange(len(line))] = f"n{rng.randrange(60)}"
+        rows.append((d, " ".join(line)))
+    want = fx.components(fx.similar_pairs([fx.word_set(t) for _, t in rows]), range(len(rows)))
+    got = {r["doc_id"]: r["component_id"] for r in substring.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), least=1).collect()}
+    alone = collections.Counter(want.values())
+    assert len(alone) > 50 and got == {d: c for d, c in want.items() if alone[c] > 1}
