@@ -64,6 +64,21 @@ def gif_pixels(spark, sf):
     return out.select("image_id", "x", "y", *[C("px")[k].alias(c) for k, c in enumerate("rgb")])
 
 
+@query("tiff_lzw_pixels", with_sql("gray8", "SELECT image_id, x, y, CAST(v AS INTEGER) AS v FROM gray8"))
+def tiff_lzw_pixels(spark, sf):
+    """TIFFs whose strip is LZW: a clear code, one code of nine bits for each pixel, an end code."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select(C("vec_id").alias("image_id"), "embedding")
+    codes = F.concat(F.array(F.lit(256)), F.transform("embedding", lambda v: src._gray(v.cast("double"))), F.array(F.lit(257)))
+    bits = F.array_join(F.transform(codes, lambda c: F.lpad(F.bin(c.cast("long")), 9, "0")), "")
+    strip = F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(593), F.lit(8)), lambda i: F.lpad(F.conv(F.rpad(F.substring(bits, i, F.lit(8)), 8, "0"), 2, 16), 2, "0")), ""))
+    entries = ((256, 8), (257, 8), (258, 8), (259, 5), (262, 1), (273, 8), (277, 1), (278, 8), (279, 75))
+    at = 8 + 75 + 1  # the strip, one byte to an even place
+    directory = "0900" + "".join(tag.to_bytes(2, "little").hex() + "0400" + "01000000" + v.to_bytes(4, "little").hex() for tag, v in entries) + "00000000"
+    made = e.select("image_id", F.concat(_lit("49492A00" + at.to_bytes(4, "little").hex()), strip, _lit("00" + directory)).alias("content"), F.lit("a.tif").alias("path"))
+    out = files.pixels(files.decode_images(made), "image_id")
+    return out.select("image_id", "x", "y", C("px")[0].alias("v"))
+
+
 @query("container_roundtrip", "SELECT concat('/', coalesce(lang, '-'), '/', doc_id % 20) AS path, CAST(doc_id AS VARCHAR) AS name, md5(coalesce(text, '')) AS md5 FROM documents")
 def container_roundtrip(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")

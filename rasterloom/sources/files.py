@@ -31,6 +31,18 @@ def decode(data: bytes, path: str = "") -> np.ndarray:
     return fm.png_decode(data)
 
 
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """(path, width, height, channels, depth, data) of the files that Spark's `image` source decodes: JPEG among others; bands in the order R, G, B, A."""
+
+    @F.pandas_udf("binary")
+    def ordered(data: pd.Series, channels: pd.Series) -> pd.Series:
+        flip = {1: [0], 3: [2, 1, 0], 4: [2, 1, 0, 3]}
+        return pd.Series([np.frombuffer(d, np.uint8).reshape(-1, c)[:, flip[c]].tobytes() for d, c in zip(data, channels, strict=True)])
+
+    found = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+    return found.select(F.col("origin").alias("path"), "width", "height", F.col("nChannels").alias("channels"), F.lit("uint8").alias("depth"), ordered("data", "nChannels").alias("data"))
+
+
 def _raster(image: np.ndarray | None) -> tuple:
     if image is None:
         return (None,) * 5

@@ -259,15 +259,40 @@ def _packbits(data: bytes) -> bytes:
     return bytes(out)
 
 
+def _tiff_lzw(data: bytes) -> bytes:
+    """Codes of 9 to 12 bits, highest bit first: 256 clears, 257 ends; a code gets longer one entry before the table is full."""
+    out, table, width, held, bits, last = bytearray(), [], 9, 0, 0, b""
+    for byte in data:
+        held, bits = (held << 8 | byte) & 0xFFFFFF, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code = held >> bits & (1 << width) - 1
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = [bytes([k]) for k in range(256)] + [b"", b""], 9, b""
+            continue
+        if code > len(table) or not table:
+            raise FormatError("broken LZW data")
+        entry = table[code] if code < len(table) else last + last[:1]
+        out += entry
+        if last:
+            table.append(last + entry[:1])
+            width = min(12, (len(table) + 1).bit_length())
+        last = entry
+    return bytes(out)
+
+
 def tiff_decode(data: bytes) -> np.ndarray:
-    """Strips or tiles of 8 or 16 bits to (h, w, 3) RGB, oriented; plain, PackBits or deflated."""
+    """Strips or tiles of 8 or 16 bits to (h, w, 3) RGB, oriented; plain, PackBits, LZW or deflated."""
     order = "<" if data[:2] == b"II" else ">"
     tags = tiff_directories(data)[0]
     w, h, bits, n = _one(tags, WIDTH), _one(tags, HEIGHT), _one(tags, BITS, 1), _one(tags, SAMPLES, 1)
     if bits not in (8, 16):
         raise FormatError(f"{bits} bits a sample are not read")
     kind = np.dtype(np.uint8 if bits == 8 else order + "u2")
-    unpack = {1: bytes, 8: zlib.decompress, 32946: zlib.decompress, 32773: _packbits}.get(_one(tags, COMPRESSION, 1))
+    unpack = {1: bytes, 5: _tiff_lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: _packbits}.get(_one(tags, COMPRESSION, 1))
     if unpack is None:
         raise FormatError("the compression is not read")
     tiled = TILES in tags

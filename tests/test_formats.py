@@ -151,6 +151,35 @@ def test_masks(shape):
         fm.treemask_load(b"XMASK")
 
 
+def test_tiff_lzw_by_hand():
+    """The format's own example: 7 7 7 8 8 7 7 6 6 is clear, 7, 258, 8, 8, 258, 6, 6, end."""
+    bits = "".join(f"{c:09b}" for c in (256, 7, 258, 8, 8, 258, 6, 6, 257))
+    data = int(bits.ljust(88, "0"), 2).to_bytes(11, "big")
+    assert fm._tiff_lzw(data) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    # enough single codes for the width to grow to ten bits after 253 entries
+    codes, width, text = [256, *[k % 256 for k in range(600)], 257], 9, ""
+    n = 258
+    for k, c in enumerate(codes):
+        text += f"{c:0{width}b}"
+        n += 1 if k > 1 else 0
+        width = 9 if n < 511 else 10 if n < 1023 else 11
+    data = int(text.ljust(-(-len(text) // 8) * 8, "0"), 2).to_bytes(-(-len(text) // 8), "big")
+    assert fm._tiff_lzw(data) == bytes(k % 256 for k in range(600))
+
+
+def test_image_source_reads_jpeg(spark, tmp_path):
+    from rasterloom.sources import files
+
+    jvm = spark.sparkContext._jvm
+    image = jvm.java.awt.image.BufferedImage(16, 8, 1)
+    for x in range(16):
+        for y in range(8):
+            image.setRGB(x, y, 200 << 16 | 100 << 8 | 50)
+    jvm.javax.imageio.ImageIO.write(image, "jpg", jvm.java.io.File(str(tmp_path / "a.jpg")))
+    px = files.pixels(files.read_images(spark, str(tmp_path)), "path").collect()
+    assert len(px) == 128 and all(abs(a - b) < 8 for r in px for a, b in zip(r["px"], (200, 100, 50)))
+
+
 def test_masks_by_hand():
     """Bytes written down from the formats: node codes 0 set, 1 not set, 2 mixed; a mapped tree's header holds depth and tree bytes."""
     tree = b"QMASK\0\0\0" + bytes([3, 0, 0, 0, 2, 0, 0, 0, 4, 0, 0, 0, 5, 0, 0, 0]) + bytes([2, 0, 2, 0, 1, 1, 1, 1, 1])
