@@ -13,6 +13,9 @@ from .registry import fixed, fixed_sql, query
 C = F.col
 
 
+# The matrix from luma and chroma to R, G, B, once more for the SQL.
+_RGB_OF_YCC = ((1.0, 9.2674e-4, 1.4017), (1.0, -0.34370, -0.7142), (1.0, 1.7722, 9.9022e-4))
+
 # ------------------------------------------------------------------ histograms
 
 
@@ -78,7 +81,7 @@ def rgb_to_ycc(spark, sf):
 
 
 def _clip_sql() -> str:
-    d = [f"(CAST({color.TO_RGB[k][1]!r} AS DOUBLE) * cb + CAST({color.TO_RGB[k][2]!r} AS DOUBLE) * cr)" for k in range(3)]
+    d = [f"(CAST({_RGB_OF_YCC[k][1]!r} AS DOUBLE) * cb + CAST({_RGB_OF_YCC[k][2]!r} AS DOUBLE) * cr)" for k in range(3)]
     ctes, prev = "", "(SELECT image_id, x, y, yy, 3 * cb AS cb, 3 * cr AS cr, CAST(1 AS DOUBLE) AS s FROM c)"
     for k in range(3):
         for b in (0, 1):
@@ -86,7 +89,7 @@ def _clip_sql() -> str:
             test = f"yy + s * {d[k]} < 0" if b == 0 else f"yy + s * {d[k]} > 1"
             ctes += f", {name} AS (SELECT image_id, x, y, yy, cb, cr, CASE WHEN {test} AND {d[k]} <> 0 THEN ({b} - yy) / {d[k]} ELSE s END AS s FROM {prev})"
             prev = name
-    rgb = [f"yy + CAST({m[1]!r} AS DOUBLE) * (cb * s) + CAST({m[2]!r} AS DOUBLE) * (cr * s)" for m in color.TO_RGB]
+    rgb = [f"yy + CAST({m[1]!r} AS DOUBLE) * (cb * s) + CAST({m[2]!r} AS DOUBLE) * (cr * s)" for m in _RGB_OF_YCC]
     out = ", ".join(f"{fixed_sql(e)} AS {n}" for e, n in zip(rgb, "rgb", strict=True))
     return f"{_YCC_CTE}{ctes} SELECT image_id, x, y, {out} FROM {prev}"
 

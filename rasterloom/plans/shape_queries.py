@@ -219,12 +219,23 @@ c AS (SELECT c0.*, state FROM c0 LEFT JOIN st USING (mask_id))"""
 
 
 def _segment_values() -> str:
-    rows = []
-    for code, segs in ct.MITRED.items():
-        rows += [(code, 0, -1, *s) for s in segs]
-        rows += [(code, 1, -1, *s) for s in ct._square(code)]
-    for (code, state), segs in ct.AMBIGUOUS.items():
-        rows += [(code, q, state, *s) for q in (0, 1) for s in segs]
+    """Segments by the sides of a cell, clockwise from the top: one begins where a set corner is followed by an unset one, and ends at the other kind.
+
+    With two of each, it ends at the next side clockwise if the cell is like the one that decides, else at the one before.
+    Square cells with one or three set corners turn at the centre.
+    """
+    middle, rows = [(1, 0), (2, 1), (1, 2), (0, 1)], []
+    for code in range(1, 15):
+        corner = [code >> 3 & 1, code >> 2 & 1, code >> 1 & 1, code & 1]
+        begin = [k for k in range(4) if corner[k] and not corner[(k + 1) % 4]]
+        end = [k for k in range(4) if not corner[k] and corner[(k + 1) % 4]]
+        if len(begin) == 2:
+            for state, step in ((code, 1), (15 - code, 3)):
+                rows += [(code, q, state, *middle[k], *middle[(k + step) % 4]) for k in begin for q in (0, 1)]
+            continue
+        a, b = middle[begin[0]], middle[end[0]]
+        rows.append((code, 0, -1, *a, *b))
+        rows += [(code, 1, -1, *a, 1, 1), (code, 1, -1, 1, 1, *b)] if sum(corner) != 2 else [(code, 1, -1, *a, *b)]
     return "(VALUES " + ", ".join(str(r) for r in rows) + ") k(code, sq, state, ax, ay, bx, by_)"
 
 
