@@ -12,17 +12,18 @@ def side_of(width: int, height: int) -> int:
 
 
 def contract(mask: DataFrame, side: int) -> DataFrame:
-    """Fewest quads of set pixels: four full quads become one, level by level; log2(side) aggregations, no loop over data."""
-    level = mask.select("mask_id", F.col("x").cast("long").alias("qx"), F.col("y").cast("long").alias("qy"))
-    out, size = None, 1
-    while size < side:
-        up = [F.expr("qx div 2").alias("px"), F.expr("qy div 2").alias("py")]
-        full = level.groupBy("mask_id", *up).agg(F.count("*").alias("n")).filter("n = 4").select("mask_id", "px", "py")
-        rest = level.select("*", *up).join(full, ["mask_id", "px", "py"], "left_anti").select("mask_id", F.lit(size).alias("size"), "qx", "qy")
-        out = rest if out is None else out.unionByName(rest)
-        level, size = full.select("mask_id", F.col("px").alias("qx"), F.col("py").alias("qy")), size * 2
-    last = level.select("mask_id", F.lit(size).alias("size"), "qx", "qy")
-    return last if out is None else out.unionByName(last)
+    """Fewest quads of set pixels: a quad is a leaf if all of it is set and not all of the quad that holds it.
+
+    Each pixel counts for its quads of all log2(side) + 1 sizes in one aggregation with map-side sums, whatever the side.
+    """
+    level = F.explode(F.sequence(F.lit(0), F.lit(max(0, side.bit_length() - 1))))
+    at = mask.select("mask_id", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), level.alias("level"))
+    up = lambda c, n: F.expr(f"shiftright({c}, {n})")
+    counts = at.groupBy("mask_id", "level", up("x", "level").alias("qx"), up("y", "level").alias("qy")).agg(F.count("*").alias("n"))
+    full = counts.filter("n = shiftleft(1L, 2 * level)").select("mask_id", "level", "qx", "qy")
+    held = full.select("mask_id", (F.col("level") - 1).alias("level"), F.col("qx").alias("px"), F.col("qy").alias("py"))
+    own = full.withColumn("px", up("qx", 1)).withColumn("py", up("qy", 1))
+    return own.join(held, ["mask_id", "level", "px", "py"], "left_anti").select("mask_id", F.expr("shiftleft(1, level)").alias("size"), "qx", "qy")
 
 
 def expand(quads: DataFrame, width: int, height: int) -> DataFrame:
