@@ -43,8 +43,12 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return q @ x.T
 
 
+def _lengths(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))
+
+
 def _blocks(batches, queries) -> Iterator[tuple]:
-    """Query and row blocks of equal vector length, with the scores over each half of the dimensions."""
+    """Query and row blocks of equal vector length: ids, scores over the first half of the dimensions, second halves, which are a query's own rows."""
     for batch in batches:
         rows = _matrices(list(zip(batch.column("vec_id").to_pylist(), batch.column("v").to_pylist(), strict=True)))
         for n, (ids, x) in rows.items():
@@ -56,7 +60,7 @@ def _blocks(batches, queries) -> Iterator[tuple]:
                 xi, xb = ids[r : r + ROW_STEP], x[r : r + ROW_STEP]
                 for c in range(0, len(qids), QUERY_STEP):
                     qi, qb = qids[c : c + QUERY_STEP], q[c : c + QUERY_STEP]
-                    yield qi, xi, _scores(qb[:, :half], xb[:, :half]), _scores(qb[:, half:], xb[:, half:]), qi[:, None] == xi[None, :]
+                    yield qi, xi, _scores(qb[:, :half], xb[:, :half]), qb[:, half:], xb[:, half:], qi[:, None] == xi[None, :]
 
 
 def _table(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
@@ -75,7 +79,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int =
     Phase 2: t goes to all tasks. A row with a full score of t or more has t/2 or more over one half at least, so the
     rows with a half score of t/2 or more suffice.
     Phase 3: for these alone the other half is added, and rows of t or more are returned and ranked, ties to the smaller
-    id. Both halves of a row lie in one task here, so phases 2 and 3 share a scan.
+    id. Both halves of a row lie in one task here, so phases 2 and 3 share a scan, and rows whose first half and the
+    lengths of the second keep them below t for all queries of a block are passed over after half the work.
+
+    Null ids or vectors, and vectors with null or non-finite components, go in `quantised`; empty vectors score 0 with
+    each other; an empty table gives an empty result; other columns are not looked at.
 
     Queries are handled in blocks of about `query_block`, each against all rows; only one block of vectors and cutoffs is
     broadcast at a time. A query's own id is never its result. Repeated rows count each; a query id that occurs with
@@ -94,8 +102,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int =
 
         def lists(batches, sent=sent):
             best: dict[int, dict[tuple[int, int], int]] = {}
-            for qi, xi, s1, s2, own in _blocks(batches, sent.value):
-                low = np.iinfo(np.int64).min
+            for qi, xi, s1, q2, x2, own in _blocks(batches, sent.value):
+                low, s2 = np.iinfo(np.int64).min, _scores(q2, x2)
                 full = s1 + s2
                 take = min(k, len(xi))
                 for s in (s1, s2):
@@ -120,9 +128,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int =
         def resolve(batches, sent=sent, cutoffs=cutoffs):
             low = np.iinfo(np.int64).min // 4
             parts = []
-            for qi, xi, s1, s2, own in _blocks(batches, sent.value):
+            for qi, xi, s1, q2, x2, own in _blocks(batches, sent.value):
                 t = np.array([low if (v := cutoffs.value.get(int(q))) is None else v for q in qi], dtype=np.int64)[:, None]
-                near = ((2 * s1 >= t) | (2 * s2 >= t)) & ~own
+                # no second half adds more than the product of the lengths; rows that this keeps below t for all queries end here
+                reach = s1 + _lengths(q2)[:, None] * _lengths(x2)[None, :] * (1 + 1e-9) + 1
+                open_ = (reach >= t) & ~own
+                some = np.flatnonzero(open_.any(axis=0))
+                if not len(some):
+                    continue
+                s1, s2, xi = s1[:, some], _scores(q2, x2[some]), xi[some]
+                near = ((2 * s1 >= t) | (2 * s2 >= t)) & open_[:, some]
                 r, c = np.nonzero(near)
                 full = s1[r, c] + s2[r, c]
                 keep = full >= t[r, 0]
