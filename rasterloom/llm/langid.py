@@ -14,6 +14,8 @@ from .common import BYTE, LOWER, RADIX, RADIX_INV, crc_mod, mix, powers, raw_byt
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Documents of each language, about, from which the piece probabilities are learned.
 SAMPLE_DOCS = 1000
+#: Bytes of the longest text in that sample.
+SAMPLE_BYTES = 1 << 18
 #: Bytes of words whose pieces are looked up at once; a longer word is worked through in such steps.
 BLOCK = 1 << 18
 #: Bytes from which a part is rescaled while it is summed, and after which such a part is cut while learning.
@@ -263,8 +265,8 @@ def learn(counts: dict[str, dict[bytes, int]], pieces: list[bytes], rounds: int
     return LanguageModel(pieces, langs, p)
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", vocabulary: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
-    """Learn from about sample_docs rows of each language, chosen by a hash of the text; rows without a language or text count not.
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", vocabulary: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> LanguageModel:
+    """Learn from about sample_docs rows of each language, none over sample_bytes, chosen by a hash of the text; rows without a language or text count not.
 
     What comes to the driver is a count for each language (their number is taken to be small) and the word counts of the
     bounded sample.
@@ -274,7 +276,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", vocabulary:
     if not sizes:
         return LanguageModel(load_pieces(vocabulary), [], np.zeros((1, 0)))
     rate = F.coalesce(*[F.when(F.col(lang) == k, F.lit(int(min(1.0, sample_docs / n) * 1_000_000))) for k, n in sizes.items()])
-    sample = rows.filter(F.pmod(F.xxhash64(text, F.lit(41)), F.lit(1_000_000)) < rate)
+    sample = rows.filter(F.octet_length(text) <= sample_bytes).filter(F.pmod(F.xxhash64(text, F.lit(41)), F.lit(1_000_000)) < rate)
     low = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = sample.select(F.col(lang).alias("lang"), F.explode(F.split(low, "[\\x20\\x09-\\x0D]+")).alias("word")).filter("word <> ''")
     counts: dict[str, dict[bytes, int]] = {k: {} for k in sizes}
@@ -288,7 +290,8 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
 
     Texts are read whole: words are white-space separated and lower-cased (A-Z), and a word's probability is the sum
     over all its segmentations into pieces. `und`, score 0: null texts and those without a letter, and all if nothing
-    was learned. Ties go to the first language by name. Columns of those names are replaced.
+    was learned. Ties go to the first language by name. Words of any length are segmented whole. Repeated rows are judged
+    alike; an empty table gives an empty result. Columns of those names are replaced, others come back as they are.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # the vocabulary's size times the languages'
 

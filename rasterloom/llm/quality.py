@@ -12,6 +12,8 @@ from .common import crc_mod
 
 #: Labelled documents of each class, about, from which dictionaries and calibration are fitted, half each.
 SAMPLE_DOCS = 1200
+#: Bytes of the longest text in that sample, and pieces of a dictionary's texts, drawn at random, that it is trained on.
+SAMPLE_BYTES, SAMPLE_PIECES = 1 << 18, 6000
 #: Bytes of a dictionary, of the pieces it is built from, and of the blocks in which a text is compressed.
 DICT_BYTES, PIECE, BLOCK = 112 << 10, 1024, 256
 LEVEL = 3
@@ -70,12 +72,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
-def _dictionary(texts: list[bytes], rng: np.random.Generator) -> bytes:
+def _dictionary(texts: list[bytes], rng: np.random.Generator, sample_pieces: int = SAMPLE_PIECES) -> bytes:
     import zstandard
 
     pieces = [p for t in texts for p in _blocks(t, PIECE)]
     rng.shuffle(pieces)
-    pieces = pieces[:6000]
+    pieces = pieces[:sample_pieces]
     try:
         return zstandard.train_dictionary(DICT_BYTES, pieces).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself
@@ -103,11 +105,12 @@ def fit_texts(good: list[str], bad: list[str], share_good: float) -> QualityMode
     return QualityModel(model.good, model.bad, w)
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -> QualityModel:
-    """Learn from about sample_docs labelled documents of each class, chosen by a hash of the id.
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> QualityModel:
+    """Learn from about sample_docs labelled documents of each class, chosen by a hash of the id, none over sample_bytes.
 
     docs: doc_id and text; labels: doc_id and quality (1 good, 0 bad; others count not). Counts of the classes cover all
-    labels; what comes to the driver is the bounded sample, and what is broadcast are its ids.
+    labels; what comes to the driver is the bounded sample, and what is broadcast are its ids. Null texts and ids teach
+    nothing; of repeated rows one counts; an empty table gives a model that knows the classes' shares alone.
     """
     known = labels.filter("quality in (0, 1) and doc_id is not null").select("doc_id", "quality")
     sizes = {int(r[0]): r[1] for r in known.groupBy("quality").count().collect()}
@@ -115,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample_docs: int
         return fit_texts([], [], 0.5)
     rate = F.coalesce(*[F.when(F.col("quality") == k, F.lit(int(min(1.0, sample_docs / n) * 1_000_000))) for k, n in sizes.items()])
     ids = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(43)), F.lit(1_000_000)) < rate).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(ids), "doc_id").filter("text is not null").select("text", "quality").collect()
+    rows = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(ids), "doc_id").filter(F.octet_length("text") <= sample_bytes).select("text", "quality").collect()
     return fit_texts([r[0] for r in rows if r[1] == 1], [r[0] for r in rows if r[1] == 0], sizes.get(1, 0) / sum(sizes.values()))
 
 
@@ -124,7 +127,8 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame
 
     A text is compressed whole, in blocks of BLOCK bytes, with either dictionary; the difference of the sums by their
     total, with the compressibility, goes through a logistic curve fitted on held-back labelled documents. Null and
-    empty texts have difference 0 and their own calibrated score.
+    empty texts have difference 0 and their own calibrated score; equal texts, repeated rows among them, score alike; an
+    empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries
 

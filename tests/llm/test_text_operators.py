@@ -72,6 +72,27 @@ def test_quality_held_out(spark, sf_dir):
     assert right > 0.9
 
 
+def test_quality_of_all_rows_against_single_texts(spark, tmp_path):
+    """Each row scores as its text alone by the model of the rows that are not held out; held-out labels change nothing."""
+    good = [(i, f"a calm and plain sentence about the sea, number {i} of many " * (1 + i % 3)) for i in range(80)]
+    bad = [(i + 100, f"BUY!! ### NOW!! {i} $$$ *** " * (1 + i % 4)) for i in range(80)]
+    rows = [*good, *bad, (None, "no id"), (500, None), (501, ""), good[0], (502, "the sea " * 5000)]
+    held = lambda d: binascii.crc32(str(d if d is not None else "").encode()) % 5 == 0
+    scores = []
+    for flip in (0, 1):
+        path = tmp_path / str(flip)
+        labels = [(d, 1 - flip if held(d) else 1) for d, _ in good] + [(d, flip if held(d) else 0) for d, _ in bad]
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{path}/labels.parquet")
+        scores.append({(r["doc_id"], r["held_out"], r["score"], r["predicted"]) for r in quality.op2_quality(spark, str(path)).collect()})
+    assert scores[0] == scores[1]
+    known = {d: t for d, t in rows}
+    taught = [{d: t for d, t in side if not held(d)} for side in (good, bad)]
+    share = len(taught[0]) / (len(taught[0]) + len(taught[1]))
+    model = quality.fit_texts(list(taught[0].values()), list(taught[1].values()), share)
+    assert scores[0] == {(d, held(d), s := model.score(t), int(s >= 0.3)) for d, t in known.items()}
+
+
 def test_suffix_dedup(docs, nothing):
     rows = fx.texts()
     want = collections.Counter((r[0], *b) for r, b in zip(rows, fx.repeated_bytes([r[1] for r in rows])))
