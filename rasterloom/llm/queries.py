@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from .decontam import OP10_SQL, op10_decontamination
-from .jaccard import op9_jaccard_join
+from .jaccard import OP9_SQL, op9_jaccard_join
 from .langid import op8_language_id
 from .linededup import op1_line_dedup
 from .mixing import op5_mixing
 from .quality import op2_quality
 from .sharding import op4_sharding
 from .substring import op7_substring_dedup
-from .suffix import op3_suffix_dedup
+from .suffix import OP3_SQL, op3_suffix_dedup
 from .topk import OP6_SQL, op6_topk
 
 QUERIES = {
@@ -26,6 +26,8 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 ORACLES = {
+    "op3_suffix_dedup": OP3_SQL,
     "op6_topk": OP6_SQL,
+    "op9_jaccard_join": OP9_SQL,
     "op10_decontamination": OP10_SQL,
 }

@@ -236,3 +236,17 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     out = repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+#: Texts as hexadecimal, two characters a byte; runs of starts that touch are one span, and what lies between is kept.
+OP3_SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+k AS (SELECT r, i, hash(substring(h, 2 * i + 1, 800)) AS k FROM (SELECT r, h, unnest(range(0, n - 399)) AS i FROM d WHERE n >= 400)),
+c AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY k) AS m FROM k) WHERE m > 1),
+g AS (SELECT r, i, sum(CASE WHEN i <= before + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS g FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM c)),
+s AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY r, g),
+t AS (SELECT r, a, b FROM s UNION ALL SELECT r, n, n FROM d),
+u AS (SELECT t.r, a, b, coalesce(lag(b) OVER (PARTITION BY t.r ORDER BY a, b), 0) AS begin FROM t),
+x AS (SELECT u.r, string_agg(substring(h, CAST(2 * begin + 1 AS BIGINT), CAST(2 * (a - begin) AS BIGINT)), '' ORDER BY a, b) AS kept, sum(b - a) AS n_removed, count(*) - 1 AS n_spans FROM u JOIN d USING (r) GROUP BY 1)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM d JOIN x USING (r)
+"""
