@@ -58,6 +58,16 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one id up to which a list of ids is broadcast (8 MB of ids); a longer one is joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def listed(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among ids (one column, once each): filtered where they are read if the ids, counted first, are few enough."""
+    ids = ids.select(key)
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
+
+
 _tops: set[str] = set()
 
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLACE, RADIX, cut, merged, mix, powers, raw_bytes, shingle_hashes, signed, text_slices, winnow, word_hashes, written
+from .common import PLACE, RADIX, RADIX_INV, cut, listed, merged, mix, powers, raw_bytes, shingle_hashes, signed, sliding_min, text_slices, winnow, word_hashes, written
 from .jaccard import similar
 from .linking import link_by_keys, shared_keys
 
@@ -31,11 +31,11 @@ def line_ids(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(mix(words) * powers(RADIX, int(sizes.max()))[place], first[:-1]) + sizes.astype(np.uint64))
 
 
-def line_bands(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(lines, BANDS): hashes of ROWS minima each over the shingles of every line, all lines at once."""
+def line_bands(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bands (lines, BANDS), hashes of ROWS minima each over the shingles of every line, and distinct shingles; all lines at once."""
     sizes = np.diff(first)
     if not len(sizes):
-        return np.zeros((0, BANDS), np.uint64)
+        return np.zeros((0, BANDS), np.uint64), np.zeros(0, np.int64)
     shingles = np.full(len(words), NEVER)
     for k in range(1, SHINGLE + 1):
         # lines of fewer words are one shingle
@@ -52,7 +52,11 @@ def line_bands(words: np.ndarray, first: np.ndarray) -> np.ndarray:
         value = shingles ^ salt
         value[none] = NEVER
         out[:, k // ROWS] += np.minimum.reduceat(value, first[:-1]) * PLACE[k % ROWS]
-    return mix(out + SALTS[:BANDS])
+    # equal shingles lie side by side, in the order of their places
+    line, order = np.repeat(np.arange(len(sizes)), sizes), np.argsort(shingles, kind="stable")
+    again = (shingles[order][1:] == shingles[order][:-1]) & (line[order][1:] == line[order][:-1]) & ~none[order][1:]
+    distinct = np.bincount(line[~none], minlength=len(sizes)) - np.bincount(line[order][1:][again], minlength=len(sizes))
+    return mix(out + SALTS[:BANDS]), distinct
 
 
 def _lines(batches, least: int) -> Iterator[tuple]:
@@ -77,42 +81,43 @@ def _lines(batches, least: int) -> Iterator[tuple]:
 
 
 def _paragraphs(docs: DataFrame, least: int) -> DataFrame:
-    """Lines of `least` words or more: doc_id, paragraph, begin, end (bytes), n_words, pid, keys (the bands)."""
+    """Lines of `least` words or more: doc_id, paragraph, begin, end (bytes), n_words, pid, d (distinct shingles), keys (the bands)."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
         for part, _, row, line, begin, end, ends, words, first in _lines(batches, least):
-            bands = signed(line_bands(words, first))
+            bands, distinct = line_bands(words, first)
+            bands = signed(bands)
             arrays = [
                 part.column("doc_id").take(pa.array(row)), pa.array(line.astype(np.int32)), pa.array(begin - ends[row]), pa.array(end - ends[row]),
-                pa.array(np.diff(first).astype(np.int32)), pa.array(signed(line_ids(words, first))),
+                pa.array(np.diff(first).astype(np.int32)), pa.array(signed(line_ids(words, first))), pa.array(distinct.astype(np.int32)),
                 pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel())),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "paragraph", "begin", "end", "n_words", "pid", "keys"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "paragraph", "begin", "end", "n_words", "pid", "d", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, paragraph int, begin long, end long, n_words int, pid long, keys array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, paragraph int, begin long, end long, n_words int, pid long, d int, keys array<long>")
 
 
 def _line_texts(docs: DataFrame, least: int, wanted: DataFrame) -> DataFrame:
-    """(id, z): the words' hashes of the wanted lines (id), compressed, one each."""
+    """(id, z): the bytes of the wanted lines (id), one each."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
-        import zstandard
 
-        packer = zstandard.ZstdCompressor(level=1)
         for _, data, _, _, begin, end, _, words, first in _lines(batches, least):
-            z = [packer.compress(data[a:b].tobytes()) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(line_ids(words, first))), pa.array(z, pa.binary())], names=["id", "z"])
+            # lines and what lies between them, as they are in the slice's bytes
+            places = np.append(np.column_stack([begin, end]).ravel(), len(data)).astype(np.int32)
+            cuts = pa.BinaryArray.from_buffers(pa.binary(), len(places) - 1, [None, pa.py_buffer(places), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(line_ids(words, first))), cuts.take(pa.array(np.arange(0, len(places) - 1, 2)))], names=["id", "z"])
 
     lines = docs.select("text").mapInArrow(run, "id long, z binary")
-    return cut(lines.join(wanted, "id").groupBy("id").agg(F.first("z").alias("z")))
+    return cut(listed(lines, wanted, "id").groupBy("id").agg(F.first("z").alias("z")))
 
 
-def _set_of(z, unpack) -> np.ndarray:
-    raw = np.frombuffer(unpack(z.as_py()), dtype=np.uint8)
+def _set_of(z) -> np.ndarray:
+    raw = np.frombuffer(z.as_py(), dtype=np.uint8)
     return np.unique(shingle_hashes(word_hashes(raw, np.array([0, len(raw)]))[0], SHINGLE))
 
 
@@ -120,11 +125,9 @@ def _elements(texts: DataFrame):
     def elements(ids: DataFrame) -> DataFrame:
         def run(batches) -> Iterator:
             import pyarrow as pa
-            import zstandard
 
-            unpack = zstandard.ZstdDecompressor().decompress
             for batch in batches:
-                sets = [_set_of(z, unpack) for z in batch.column("z")]
+                sets = [_set_of(z) for z in batch.column("z")]
                 at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), pa.array(signed(np.concatenate([*sets, np.zeros(0, np.uint64)])))], names=["id", "e"])
 
@@ -133,19 +136,18 @@ def _elements(texts: DataFrame):
     return elements
 
 
-def _verify(texts: DataFrame):
+def _verify(texts: DataFrame, sizes: DataFrame):
     def verify(pairs: DataFrame) -> DataFrame:
         def run(batches) -> Iterator:
             import pyarrow as pa
-            import zstandard
 
-            unpack, cache = zstandard.ZstdDecompressor().decompress, {}
+            cache: dict = {}
 
             def made(key, value):
                 if key not in cache:
                     if len(cache) > 512:
                         cache.clear()
-                    cache[key] = _set_of(value, unpack)
+                    cache[key] = _set_of(value)
                 return cache[key]
 
             for batch in batches:
@@ -154,6 +156,8 @@ def _verify(texts: DataFrame):
                 keep = [similar(made(ka[i], za[i]), made(kb[i], zb[i])) for i in range(len(ka))]
                 yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+        size = lambda s: sizes.select(F.col("id").alias(s), F.col("d").alias(f"d{s}"))
+        pairs = pairs.join(size("a"), "a").join(size("b"), "b").filter(F.least("da", "db") * 100 >= F.greatest("da", "db") * 80).select("a", "b")
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("z").alias("za")), "a").join(texts.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b")
         return both.select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
 
@@ -178,8 +182,10 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", least: int = LEAST,
     occ = written(_paragraphs(docs, least).withColumn("oid", F.monotonically_increasing_id()))
     classes = occ.groupBy("pid").agg(F.first("keys").alias("keys"))
     members = shared_keys(classes.select(F.explode("keys").alias("key"), F.col("pid").alias("id")))
-    texts = _line_texts(docs, least, written(members.select("id").distinct()))
-    comps = link_by_keys(members, _verify(texts), _elements(texts))
+    wanted = written(members.select("id").distinct())
+    sizes = written(listed(occ.select(F.col("pid").alias("id"), "d"), wanted, "id").groupBy("id").agg(F.first("d").alias("d")))
+    texts = _line_texts(docs, least, wanted)
+    comps = link_by_keys(members, _verify(texts, sizes), _elements(texts))
     runs = passage_runs(docs) if runs is None else runs
     inside = runs.filter(F.col("pid").isNotNull() & (F.col("line_words") >= least)).select("w", "pid")
     lead = inside.groupBy("w").agg(F.min("pid").alias("b"), F.max("pid").alias("top")).filter("b < top").select("w", "b")
@@ -192,6 +198,37 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", least: int = LEAST,
     return rows.select("doc_id", "paragraph", "begin", "end", "n_words", F.col("kept.doc_id").alias("component_id"), (F.col("kept.oid") == F.col("oid")).alias("kept"))
 
 
+def passage_hashes(words: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of PASSAGE words, from sums over all words before."""
+    n = len(words)
+    if n < PASSAGE:
+        return np.zeros(0, np.uint64)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(words) * powers(RADIX, n), dtype=np.uint64)])
+    return mix((sums[PASSAGE:] - sums[: n - PASSAGE + 1]) * powers(RADIX_INV, n)[: n - PASSAGE + 1])
+
+
+def _all_spots(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the spots of all rows at once, as _spots for each row words[first[k]:first[k + 1]]."""
+    n = len(words)
+    if n < PASSAGE:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    total = np.full(n - SHINGLE + 1, SHINGLE, dtype=np.uint64)
+    for j in range(SHINGLE):
+        total += words[j : n - SHINGLE + 1 + j] * PLACE[j]
+    shingles = mix(total)
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    low = sliding_min((shingles & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(shingles), dtype=np.uint64), WINDOW)
+    begin = np.flatnonzero(row[: len(low)] == row[WINDOW + SHINGLE - 2 : WINDOW + SHINGLE - 2 + len(low)])
+    low, own = low[begin], row[begin]
+    new = np.concatenate([[True], (low[1:] != low[:-1]) | (own[1:] != own[:-1])])[: len(low)]
+    at, own = (low[new] & np.uint64(0xFFFFFFFF)).astype(np.int64), own[new]
+    picks = shingles[at]
+    # a passage of the row must hold all three
+    start, stop = first[own], first[own + 1]
+    fits = (own[2:] == own[:-2]) & (np.maximum(at[2:] + SHINGLE - PASSAGE, start[2:]) <= np.minimum(at[:-2], stop[2:] - PASSAGE))
+    return own[2:][fits], mix(picks[:-2] * np.uint64(9) + picks[1:-1] * np.uint64(3) + picks[2:])[fits]
+
+
 def _spots(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of three neighbouring picks of a text, the first and the last passage (by its first word) that holds them."""
     shingles = shingle_hashes(words, SHINGLE)
@@ -225,13 +262,13 @@ def _spot_keys(docs: DataFrame) -> DataFrame:
             tids, column = tids[new], column.filter(pa.array(new))
             for a, b in text_slices(column):
                 hashes, _, _, first = word_hashes(*raw_bytes(column.slice(a, b - a)))
-                keys, tid, again = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-                for i in np.flatnonzero(np.diff(first) >= PASSAGE).tolist():
-                    k, m = np.unique(_spots(hashes[first[i] : first[i + 1]])[0], return_counts=True)
-                    keys.append(k)
-                    tid.append(np.full(len(k), tids[a + i]))
-                    again.append(m > 1)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(tid)), pa.array(np.concatenate(again))], names=["key", "tid", "again"])
+                row, key = _all_spots(hashes, first)
+                order = np.lexsort((key, row))
+                row, key = row[order], key[order]
+                same = (row[1:] == row[:-1]) & (key[1:] == key[:-1])
+                one = np.concatenate([[True], ~same])[: len(row)]
+                again = np.concatenate([same, [False]])[: len(row)][one]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key[one])), pa.array(tids[a:b][row[one]]), pa.array(again)], names=["key", "tid", "again"])
 
     return docs.mapInArrow(run, "key long, tid long, again boolean")
 
@@ -251,7 +288,7 @@ def _windows(texts: DataFrame) -> DataFrame:
                 words, starts, _, _ = word_hashes(raw, np.array([0, len(raw)]))
                 if len(words) < PASSAGE:
                     continue
-                w = shingle_hashes(words, PASSAGE)
+                w = passage_hashes(words)
                 i = np.arange(len(w))
                 if keys.is_valid:
                     have, low, high = _spots(words)
@@ -282,7 +319,7 @@ def passage_runs(docs: DataFrame) -> DataFrame:
     keys = pairs.join(several.select("key"), "key").groupBy("tid").agg(F.collect_set("key").alias("keys"))
     copied = docs.groupBy("tid").agg(F.count("*").alias("m"))
     marked = written(copied.join(keys, "tid", "left").filter("m > 1 or keys is not null").select("tid", F.when(F.col("m") == 1, F.col("keys")).alias("keys")))
-    texts = docs.join(marked.select("tid"), "tid").groupBy("tid").agg(F.first("text").alias("text"))
+    texts = listed(docs, marked, "tid").groupBy("tid").agg(F.first("text").alias("text"))
     return written(_windows(texts.join(marked, "tid")))
 
 
@@ -331,7 +368,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", runs: DataFrame | Non
     first = written(placed.groupBy("w").agg(F.min("place").alias("first"), F.sum("m").alias("times")).filter("times > 1"))
     found = placed.join(first, "w").select("tid", F.struct("i", F.col("first.doc_id").alias("doc_id"), (F.col("first") == F.col("place")).alias("kept")).alias("x"))
     found = written(found.groupBy("tid").agg(F.sort_array(F.collect_list("x")).alias("found")))
-    texts = docs.select(tid, "text").join(found.select("tid"), "tid").groupBy("tid").agg(F.first("text").alias("text"))
+    texts = listed(docs.select(tid, "text"), found, "tid").groupBy("tid").agg(F.first("text").alias("text"))
     spans = _spans(texts.join(found, "tid"), kind)
     rows = occ.join(classes.select("tid", F.col("lead.oid").alias("one")), "tid")
     return rows.join(spans, "tid").select("doc_id", "paragraph", "begin", "end", "n_words", "component_id", (F.col("kept") & (F.col("oid") == F.col("one"))).alias("kept"))

@@ -98,3 +98,20 @@ def test_large_keys_against_brute_force(spark):
     got = {r["doc_id"]: r["component_id"] for r in substring.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), least=1).collect()}
     alone = collections.Counter(want.values())
     assert len(alone) > 50 and got == {d: c for d, c in want.items() if alone[c] > 1}
+
+
+def test_spots_of_all_rows_are_those_of_each():
+    import numpy as np
+
+    from rasterloom.llm.common import mix
+
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        sizes = rng.integers(0, 200, 12)
+        words = mix(rng.integers(0, 300, int(sizes.sum())).astype(np.uint64))
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        row, key = substring._all_spots(words, first)
+        for k in range(12):
+            own = words[first[k] : first[k + 1]]
+            want = substring._spots(own)[0] if len(own) >= 50 else np.zeros(0, np.uint64)
+            assert sorted(key[row == k].tolist()) == sorted(want.tolist())
