@@ -86,13 +86,20 @@ def _paragraphs(docs: DataFrame, least: int) -> DataFrame:
     def run(batches) -> Iterator:
         import pyarrow as pa
 
+        seen: set[int] = set()
         for part, _, row, line, begin, end, ends, words, first in _lines(batches, least):
             bands, distinct = line_bands(words, first)
-            bands = signed(bands)
+            pid = signed(line_ids(words, first))
+            # copies that a task meets again bring no keys
+            new = np.array([not (k in seen or seen.add(k)) for k in pid.tolist()], dtype=bool)
+            if len(seen) > 1 << 20:
+                seen.clear()
+            bands = signed(bands[new])
+            places = np.concatenate([[0], np.cumsum(np.where(new, BANDS, 0))]).astype(np.int32)
             arrays = [
                 part.column("doc_id").take(pa.array(row)), pa.array(line.astype(np.int32)), pa.array(begin - ends[row]), pa.array(end - ends[row]),
-                pa.array(np.diff(first).astype(np.int32)), pa.array(signed(line_ids(words, first))), pa.array(distinct.astype(np.int32)),
-                pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel())),
+                pa.array(np.diff(first).astype(np.int32)), pa.array(pid), pa.array(distinct.astype(np.int32)),
+                pa.ListArray.from_arrays(pa.array(places), pa.array(bands.ravel())),
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "paragraph", "begin", "end", "n_words", "pid", "d", "keys"])
 
@@ -180,16 +187,15 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", least: int = LEAST,
     """
     docs = docs.select("doc_id", F.col(text).alias("text"))
     occ = written(_paragraphs(docs, least).withColumn("oid", F.monotonically_increasing_id()))
-    classes = occ.groupBy("pid").agg(F.first("keys").alias("keys"))
-    members = shared_keys(classes.select(F.explode("keys").alias("key"), F.col("pid").alias("id")))
+    members = shared_keys(occ.select(F.explode("keys").alias("key"), F.col("pid").alias("id")))
     wanted = written(members.select("id").distinct())
     sizes = written(listed(occ.select(F.col("pid").alias("id"), "d"), wanted, "id").groupBy("id").agg(F.first("d").alias("d")))
     texts = _line_texts(docs, least, wanted)
     comps = link_by_keys(members, _verify(texts, sizes), _elements(texts))
     runs = passage_runs(docs) if runs is None else runs
-    inside = runs.filter(F.col("pid").isNotNull() & (F.col("line_words") >= least)).select("w", "pid")
-    lead = inside.groupBy("w").agg(F.min("pid").alias("b"), F.max("pid").alias("top")).filter("b < top").select("w", "b")
-    comps = merged(comps, written(inside.join(lead, "w").filter("pid <> b").select(F.col("pid").alias("a"), "b").distinct()))
+    comps = merged(comps, written(runs.filter("pid <> b").select(F.col("pid").alias("a"), "b").distinct()))
+    if least > PASSAGE:
+        comps = comps.join(occ.select(F.col("pid").alias("id")).distinct(), "id", "left_semi")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "paragraph", "oid")
     own = occ.groupBy("pid").agg(F.count("*").alias("m"), F.min(place).alias("first"))
     named = written(own.join(comps.select(F.col("id").alias("pid"), "comp"), "pid", "left").filter("m > 1 or comp is not null").select("pid", F.coalesce("comp", "pid").alias("comp"), "first"))
@@ -274,16 +280,18 @@ def _spot_keys(docs: DataFrame) -> DataFrame:
 
 
 def _windows(texts: DataFrame) -> DataFrame:
-    """(tid, i, w, pid, line_words): hash of the PASSAGE words from word i on, wherever they hold one of the text's keys; all of them if keys is null.
+    """(tid, i, w, pid, m, lead): hash of the PASSAGE words from word i on, wherever they hold one of the text's keys; all of them if keys is null.
 
-    pid: the line in which they lie (see line_ids) with its number of words, null if they cross lines.
+    pid: the line in which they lie (see line_ids), null if they cross lines; m and lead as in texts.
     """
+    kind = texts.schema["lead"].dataType.simpleString()
+
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            for tid, text, keys in zip(batch.column("tid").to_pylist(), batch.column("text").to_pylist(), batch.column("keys"), strict=True):
+            for r, (tid, text, keys) in enumerate(zip(batch.column("tid").to_pylist(), batch.column("text").to_pylist(), batch.column("keys"), strict=True)):
                 raw = np.frombuffer(text.encode(), dtype=np.uint8)
                 words, starts, _, _ = word_hashes(raw, np.array([0, len(raw)]))
                 if len(words) < PASSAGE:
@@ -301,26 +309,34 @@ def _windows(texts: DataFrame) -> DataFrame:
                 first = np.append(np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])), len(words))
                 at = np.searchsorted(first, i, side="right") - 1
                 across = line[i] != line[i + PASSAGE - 1]
-                pid, size = signed(line_ids(words, first))[at], np.diff(first)[at]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), tid, dtype=np.int64)), pa.array(i), pa.array(signed(w[i])), pa.array(pid, mask=across), pa.array(size)], names=["tid", "i", "w", "pid", "line_words"])
+                pid = signed(line_ids(words, first))[at]
+                own = pa.array(np.full(len(i), r))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), tid, dtype=np.int64)), pa.array(i), pa.array(signed(w[i])), pa.array(pid, mask=across), batch.column("m").take(own), batch.column("lead").take(own)], names=["tid", "i", "w", "pid", "m", "lead"])
 
-    return texts.select("tid", "text", "keys").mapInArrow(run, "tid long, i long, w long, pid long, line_words long")
+    return texts.select("tid", "text", "keys", "m", "lead").mapInArrow(run, f"tid long, i long, w long, pid long, m long, lead {kind}")
 
 
 def passage_runs(docs: DataFrame) -> DataFrame:
-    """(tid, i, w, pid, line_words): all runs of PASSAGE words that stand in several places, and some that do not.
+    """(tid, i, doc_id, kept, pid, b): all runs of PASSAGE words that stand in several places. docs: (doc_id, text).
 
-    Equal texts are one (tid). Three neighbouring winnowed shingles, which every passage holds, find where texts may
-    agree; only there all runs are hashed. docs: (doc_id, text).
+    doc_id: of the first place by doc_id and place, null ids last; kept: whether this is it; pid: the line in which the
+    run lies, if it crosses none, and b the least such line of all its places. Equal texts are one (tid) with its least
+    doc_id. Three neighbouring winnowed shingles, which every passage holds, find where texts may agree; only there all
+    runs are hashed and counted, map-side first.
     """
+    lead = docs.filter("text is not null").groupBy(F.xxhash64("text").alias("tid")).agg(F.count("*").alias("m"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("lead"))
     docs = docs.select(F.xxhash64("text").alias("tid"), "text").filter("text is not null")
     pairs = written(_spot_keys(docs))
     several = pairs.groupBy("key").agg(F.min("tid").alias("t0"), F.max("tid").alias("t1"), F.max("again").alias("again")).filter("t0 < t1 or again")
     keys = pairs.join(several.select("key"), "key").groupBy("tid").agg(F.collect_set("key").alias("keys"))
-    copied = docs.groupBy("tid").agg(F.count("*").alias("m"))
-    marked = written(copied.join(keys, "tid", "left").filter("m > 1 or keys is not null").select("tid", F.when(F.col("m") == 1, F.col("keys")).alias("keys")))
+    marked = written(lead.join(keys, "tid", "left").filter("m > 1 or keys is not null").select("tid", "m", "lead", F.when(F.col("m") == 1, F.col("keys")).alias("keys")))
     texts = listed(docs, marked, "tid").groupBy("tid").agg(F.first("text").alias("text"))
-    return written(_windows(texts.join(marked, "tid")))
+    runs = written(_windows(texts.join(marked, "tid")))
+    place = F.struct("lead.none", "lead.doc_id", "tid", "i")
+    first = runs.groupBy("w").agg(F.min(place).alias("first"), F.sum("m").alias("times"), F.min("pid").alias("b")).filter("times > 1").drop("times")
+    found = runs.select("tid", "i", "w", "pid").join(written(first), "w")
+    kept = (F.col("first.tid") == F.col("tid")) & (F.col("first.i") == F.col("i"))
+    return written(found.select("tid", "i", F.col("first.doc_id").alias("doc_id"), kept.alias("kept"), "pid", "b"))
 
 
 def _spans(texts: DataFrame, kind: str) -> DataFrame:
@@ -364,10 +380,9 @@ def repeated_passages(docs: DataFrame, text: str = "text", runs: DataFrame | Non
     runs = passage_runs(docs) if runs is None else runs
     occ = written(docs.select(tid, "doc_id").withColumn("oid", F.monotonically_increasing_id()))
     classes = written(occ.groupBy("tid").agg(F.count("*").alias("m"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "oid")).alias("lead")))
-    placed = runs.join(classes, "tid").select("tid", "i", "w", "m", F.struct("lead.none", "lead.doc_id", "tid", "i").alias("place"))
-    first = written(placed.groupBy("w").agg(F.min("place").alias("first"), F.sum("m").alias("times")).filter("times > 1"))
-    found = placed.join(first, "w").select("tid", F.struct("i", F.col("first.doc_id").alias("doc_id"), (F.col("first") == F.col("place")).alias("kept")).alias("x"))
-    found = written(found.groupBy("tid").agg(F.sort_array(F.collect_list("x")).alias("found")))
+    # moved as plain columns first: lists of structs built before would be several times as large
+    found = runs.select("tid", "i", "doc_id", "kept").repartition("tid").groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("i", "doc_id", "kept"))).alias("found"))
+    found = written(found)
     texts = listed(docs.select(tid, "text"), found, "tid").groupBy("tid").agg(F.first("text").alias("text"))
     spans = _spans(texts.join(found, "tid"), kind)
     rows = occ.join(classes.select("tid", F.col("lead.oid").alias("one")), "tid")
