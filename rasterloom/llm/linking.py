@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from .common import connected_components, merged, written
 
-#: Members up to which a key's pairs are compared at once, and leaders of one round of a larger key.
+#: Members up to which a key's pairs are compared at once, and leaders of the first round of a larger key.
 SMALL = 64
 
 
@@ -45,8 +45,8 @@ def link_by_keys(members: DataFrame, verify: Callable[[DataFrame], DataFrame], e
     and of these only pairs across components that were not compared before, so a large group of copies costs no more
     than one comparison each. Keys of at most SMALL ids are done at once. Of a larger one, elements that one id alone has
     first bound what each pair can have in common, which leaves little of a group whose members all differ in something
-    of their own; then each round compares at most SMALL leaders with all ids, until its ids are one component or all
-    have led. No pair is given up unless a bound rules it out.
+    of their own; then rounds compare leaders with all ids, SMALL of them first and twice as many from round to round,
+    until its ids are one component or all have led. No pair is given up unless a bound rules it out.
     """
     tried = written(members.filter("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct())
     comps = connected_components(verify(tried))
@@ -63,15 +63,17 @@ def link_by_keys(members: DataFrame, verify: Callable[[DataFrame], DataFrame], e
     salt = F.pmod(F.xxhash64("id"), F.lit(SMALL))
     ranked = written(bounded.select("*", F.row_number().over(Window.partitionBy("key", salt).orderBy("id")).alias("turn")))
     last = ranked.agg(F.max("turn")).first()[0] or 0
-    for turn in range(1, last + 1):
+    turn = 1
+    while turn <= last:
         rest = _wide(ranked, comps)
         if rest.isEmpty():
             break
-        other = rest.filter(F.col("turn") == turn).select("key", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("s").alias("sb"))
+        other = rest.filter(F.col("turn").between(turn, 2 * turn - 1)).select("key", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("s").alias("sb"))
         fits = F.least("s", "sb") * (100 + percent) >= (F.col("n") + F.col("nb")) * percent
         pairs = rest.join(other, (rest["key"] == other["key"]) & (F.col("comp") != F.col("cb")) & fits)
         pairs = pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
         comps, tried = _compared(pairs, tried, comps, verify)
+        turn *= 2
     return comps
 
 
