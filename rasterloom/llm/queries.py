@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .collocation import OP13_SQL, op13_collocations
 from .decontam import OP10_SQL, op10_decontamination
 from .jaccard import OP9_SQL, op9_jaccard_join
 from .langid import op8_language_id
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_decontamination": op10_decontamination,
+    "op13_collocations": op13_collocations,
 }
 ORACLES = {
     "op3_suffix_dedup": OP3_SQL,
     "op6_topk": OP6_SQL,
     "op9_jaccard_join": OP9_SQL,
     "op10_decontamination": OP10_SQL,
+    "op13_collocations": OP13_SQL,
 }
