@@ -13,13 +13,13 @@ from pyspark.sql.window import Window
 from .common import mix, word_hashes, written
 
 #: Bytes of text of one shard; a longer text is a shard of its own.
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 6 << 20
 #: Bytes of text hashed at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Positions in one block of a bitmap.
 BITS = 8
 #: Pairs of blocks compared at once, which bounds what an extension holds.
-BATCH = 2_000_000
+BATCH = 1_000_000
 #: Bits of the filter of frequent words or pairs that tasks get: 4 MB, whatever the table's size.
 FILTER_BITS = 25
 #: Bytes that end a piece, and bytes of words: neither blank, tab nor an end of a piece.
@@ -144,7 +144,7 @@ class _Shard:
     """The bitmaps of a shard's frequent words, by word and by block."""
 
     def __init__(self, row: dict, frequent: np.ndarray):
-        self.keys = np.asarray(row["hashes"], dtype=np.int64).view(np.uint64)
+        self.keys = row["hashes"].view(np.uint64)
         starts = np.frombuffer(row["starts"], dtype=np.int64)
         word = np.repeat(np.arange(len(self.keys)), np.diff(starts))
         keep = _passes(frequent, self.keys)[word]
@@ -184,8 +184,11 @@ def _summed(key: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rows(batches) -> Iterator[dict]:
+    """The shards of Arrow batches, one at a time."""
     for batch in batches:
-        yield from batch.to_pylist() if batch.num_rows == 1 else (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist())
+        hashes = batch.column("hashes")
+        for i in range(batch.num_rows):
+            yield {"hashes": hashes[i].values.to_numpy(), **{c: batch.column(c)[i].as_buffer() for c in ("starts", "blocks", "bits")}}
 
 
 def _table(names: list[str], cols: list[np.ndarray]):
