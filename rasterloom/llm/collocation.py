@@ -10,16 +10,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import mix, word_hashes, written
+from .common import arrow_rows, mix, word_hashes, written
 
 #: Bytes of text of one shard; a longer text is a shard of its own.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 4 << 20
 #: Bytes of text hashed at once.
 SLICE_BYTES = 1 << 20
 #: Positions in one block of a bitmap.
 BITS = 8
 #: Pairs of blocks compared at once, which bounds what an extension holds.
 BATCH = 1_000_000
+#: Documents, and shards, that go to Python at once.
+DOCS_AT_ONCE, SHARDS_AT_ONCE = 500, 1
 #: Bits of the filter of frequent words or pairs that tasks get: 4 MB, whatever the table's size.
 FILTER_BITS = 25
 #: Bytes that end a piece, and bytes of words: neither blank, tab nor an end of a piece.
@@ -262,15 +264,19 @@ def collocations(docs: DataFrame, least: int = 10, absorbed: int = 50, shard_byt
     told apart by 64-bit hashes.
     """
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").filter("text is not null and text <> ''")
-    bitmaps = written(shards(rows, shard_bytes))
+    spark = docs.sparkSession
+    with arrow_rows(spark, DOCS_AT_ONCE):
+        bitmaps = written(shards(rows, shard_bytes))
     words = bitmaps.select("lang", F.explode(F.arrays_zip("words", "hashes", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("word"), F.col("w.hashes").alias("h")).agg(F.sum("w.counts").alias("f"))
     words = written(words)
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     one = words.filter(F.col("f") >= least)
     frequent = _filter(one, F.col("h"))
-    two = written(pairs(bitmaps, frequent).filter(F.col("f") >= least))
+    with arrow_rows(spark, SHARDS_AT_ONCE):
+        two = written(pairs(bitmaps, frequent).filter(F.col("f") >= least))
     frequent_pairs = _filter(two, pair_key("u", "v"))
-    three = written(triples(bitmaps, frequent, frequent_pairs).filter(F.col("f") >= least))
+    with arrow_rows(spark, SHARDS_AT_ONCE):
+        three = written(triples(bitmaps, frequent, frequent_pairs).filter(F.col("f") >= least))
     frequent.unpersist()
     frequent_pairs.unpersist()
 

@@ -58,6 +58,18 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
+    """Within, rows go to Python in Arrow batches of n, for rows of many bytes; for actions alone, as plans are made late."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 #: Rows of one id up to which a list of ids is broadcast (8 MB of ids); a longer one is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
