@@ -56,21 +56,27 @@ def segments(cells: DataFrame) -> DataFrame:
     return out.select(*keep, at("i", "sx"), at("j", "sy"), at("i", "ex"), at("j", "ey"), "s.keystone")
 
 
-def mask_cells(mask: DataFrame, width: int, height: int) -> DataFrame:
-    """Cells of masks (mask_id, x, y): square in the first and last row and the last column; the first ambiguous cell decides for all."""
-    cells = cell_codes(mask).withColumn("square", (F.col("j") == -1) | (F.col("j") == height - 1) | (F.col("i") == width - 1))
+def mask_cells(mask: DataFrame, width: int | Column, height: int | Column, sizes: DataFrame | None = None) -> DataFrame:
+    """Cells of masks (mask_id, x, y): square in the first and last row and the last column; the first ambiguous cell decides for all.
+
+    Of masks of several sizes, width and height are columns of `sizes`, which is joined by mask_id.
+    """
+    codes = cell_codes(mask)
+    cells = (codes if sizes is None else codes.join(sizes, "mask_id")).withColumn("square", (F.col("j") == -1) | (F.col("j") == height - 1) | (F.col("i") == width - 1))
     state = cells.filter("code in (5, 10)").groupBy("mask_id").agg(F.min_by("code", F.struct("j", "i")).alias("state"))
     return cells.join(state, "mask_id", "left")
 
 
-def label_cells(px: DataFrame, width: int, height: int) -> DataFrame:
+def label_cells(px: DataFrame, width: int | Column, height: int | Column, sizes: DataFrame | None = None) -> DataFrame:
     """Cells by colour of images (image_id, x, y, color): square where more than two areas meet, the lowest ambiguous colour decides.
 
     What is off the image is an area of its own, the image's outermost corners another; so is a missing pixel within.
+    Of images of several sizes, width and height are columns of `sizes`, which is joined by image_id.
     """
     by_color = cell_codes(px.withColumnRenamed("color", "c"), ["image_id", "c"]).withColumnRenamed("c", "color")
     cell = ["image_id", "i", "j"]
     meet = by_color.groupBy(*cell).agg(F.count("*").alias("areas"), F.sum("code").alias("filled"), F.min_by(F.when(F.col("code").isin(5, 10), F.col("code")), F.when(F.col("code").isin(5, 10), F.col("color"))).alias("state"))
+    meet = meet if sizes is None else meet.join(sizes, "image_id")
     left, right, top, low = F.col("i") == -1, F.col("i") == width - 1, F.col("j") == -1, F.col("j") == height - 1
     edge = left | right | top | low
     corner = (left | right) & (top | low)

@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import pixel_queries, resample_queries, row_queries, shape_queries  # noqa: F401
+from . import pixel_queries, resample_queries, row_queries, shape_queries, tile_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -61,6 +61,17 @@ def blocky(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread.select("image_id", (F.col("x") + F.col("d") % 4).alias("x"), F.expr("cast(y + d div 4 as int)").alias("y"), "v")
 
 
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mosaics cut to twelve sizes, see mixed_sizes."""
+    return mosaic(spark, sf_dir).filter("x < 48 - 8 * (image_id % 3) and y < 48 - 5 * (image_id % 4)")
+
+
+def mixed_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, width, height) of the mixed images."""
+    ids = _table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 36").alias("image_id")).distinct()
+    return ids.select("image_id", F.expr("cast(48 - 8 * (image_id % 3) as int)").alias("width"), F.expr("cast(48 - 5 * (image_id % 4) as int)").alias("height"))
+
+
 def label_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mosaic in four colours."""
     color = F.greatest(F.lit(0), F.least(F.lit(3), F.expr("(v - 96) div 16"))).cast("int")
@@ -120,6 +131,8 @@ SQL = {
     "rgb8": "SELECT a.image_id // 3 AS image_id, a.x, a.y, a.v AS r, b.v AS g, c.v AS b FROM gray8 a JOIN gray8 b ON b.image_id = a.image_id + 1 AND b.x = a.x AND b.y = a.y JOIN gray8 c ON c.image_id = a.image_id + 2 AND c.x = a.x AND c.y = a.y WHERE a.image_id % 3 = 0",
     "mosaic": f"SELECT c.image_id, CAST(8 * (c.k % 6) + (i - 1) % 8 AS INTEGER) AS x, CAST(8 * (c.k // 6) + (i - 1) // 8 AS INTEGER) AS y, CASE WHEN vec_id IS NULL THEN 0 ELSE {_V} END AS v FROM (SELECT image_id, k, unnest(generate_series(1, 64)) AS i FROM (SELECT image_id, unnest(generate_series(0, 35)) AS k FROM (SELECT DISTINCT vec_id // 36 AS image_id FROM embeddings))) c LEFT JOIN embeddings ON vec_id = 36 * c.image_id + c.k",
     "blocky": "SELECT m.image_id, m.x, m.y, c.v FROM mosaic m JOIN mosaic c ON c.image_id = m.image_id AND c.x = m.x - m.x % 4 AND c.y = m.y - m.y % 4",
+    "mixed": "SELECT image_id, x, y, v FROM mosaic WHERE x < 48 - 8 * (image_id % 3) AND y < 48 - 5 * (image_id % 4)",
+    "mixed_sizes": "SELECT DISTINCT vec_id // 36 AS image_id, CAST(48 - 8 * (vec_id // 36 % 3) AS INTEGER) AS width, CAST(48 - 5 * (vec_id // 36 % 4) AS INTEGER) AS height FROM embeddings",
     "label_raster": "SELECT image_id, x, y, CAST(greatest(0, least(3, (v - 96) // 16)) AS INTEGER) AS color FROM mosaic",
     "sparse": "SELECT CAST(l_linenumber AS BIGINT) AS image_id, CAST(l_partkey % 64 AS INTEGER) AS x, CAST(l_orderkey % 64 AS INTEGER) AS y, CAST(sum(l_quantity) AS BIGINT) % 256 AS v FROM lineitem GROUP BY 1, 2, 3",
     "mask_a": "SELECT image_id AS mask_id, x, y FROM gray8 WHERE v >= 128",
@@ -130,7 +143,7 @@ SQL = {
     "crops": "SELECT p_partkey AS id, concat(p_size, 'x', p_partkey % 97 + 1, '+', p_partkey, '-', p_size) AS crop FROM part",
 }
 #: What a common table expression reads.
-NEEDS = {"rgb8": ["gray8"], "blocky": ["mosaic"], "label_raster": ["mosaic"], "mask_a": ["gray8"], "mask_b": ["gray8"]}
+NEEDS = {"rgb8": ["gray8"], "blocky": ["mosaic"], "label_raster": ["mosaic"], "mixed": ["mosaic"], "mask_a": ["gray8"], "mask_b": ["gray8"]}
 
 
 def with_sql(names: str, body: str) -> str:
