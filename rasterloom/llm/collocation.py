@@ -13,15 +13,15 @@ from pyspark.sql.window import Window
 from .common import arrow_rows, mix, word_hashes, written
 
 #: Bytes of text of one shard; a longer text is a shard of its own.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Bytes of text hashed at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Positions in one block of a bitmap.
 BITS = 8
 #: Pairs of blocks compared at once, which bounds what an extension holds.
-BATCH = 1_000_000
+BATCH = 300_000
 #: Documents, and shards, that go to Python at once.
-DOCS_AT_ONCE, SHARDS_AT_ONCE = 500, 1
+DOCS_AT_ONCE, SHARDS_AT_ONCE = 200, 1
 #: Bits of the filter of frequent words or pairs that tasks get: 4 MB, whatever the table's size.
 FILTER_BITS = 25
 #: Bytes that end a piece, and bytes of words: neither blank, tab nor an end of a piece.
