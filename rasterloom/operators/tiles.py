@@ -1,8 +1,10 @@
 """Blocked rasters: a row is a square tile of an image, its pixels one array; kernels run on whole tiles.
 
-Tiles are (image_id, tx, ty, tile): tile is side * side doubles (little endian, row by row), NaN where there is no pixel.
-Tiles lie as their grouping by (image_id, tx, ty) leaves them, and everything here keeps these columns, so an operator
-moves the strips that neighbours ask for and no tile. A tile holds side * side * 8 bytes, whatever the image's size.
+Tiles are (image_id, tx, ty, at, v): v holds the values, at their places in the tile, row by row; without `at` they are all
+places, null or NaN where there is no pixel. Pixels become tiles in one grouping by (image_id, tx, ty); tiles stay where it
+leaves them (or where a table bucketed by these columns has them), and a kernel's only shuffle is of the strips that
+neighbours ask for. What a kernel returns has been in Python, so a next one deals its tiles anew, and reads them twice:
+write them in between where a chain is long. A tile holds side * side values, whatever the image's size.
 """
 
 from __future__ import annotations
@@ -28,33 +30,30 @@ def _floor_div(c: str, side: int) -> Column:
 
 
 def from_pixels(px: DataFrame, side: int = SIDE, value: str = "v") -> DataFrame:
-    """Tiles of pixels (image_id, x, y, value); of a pixel that comes twice one value counts."""
-
-    @F.pandas_udf("binary")
-    def packed(at: pd.Series, v: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(at, v, strict=True):
-            tile = np.full(side * side, np.nan)
-            tile[np.asarray(a)] = b
-            out.append(tile.tobytes())
-        return pd.Series(out)
-
+    """Tiles of pixels (image_id, x, y, value)."""
     at = (F.pmod(F.col("y"), F.lit(side)) * side + F.pmod(F.col("x"), F.lit(side))).cast("int")
     cells = F.collect_list(F.struct(at.alias("at"), F.col(value).cast("double").alias("v"))).alias("cells")
-    grouped = px.filter(F.col(value).isNotNull()).groupBy("image_id", _floor_div("x", side).alias("tx"), _floor_div("y", side).alias("ty")).agg(cells)
-    return grouped.select(*KEY, packed("cells.at", "cells.v").alias("tile"))
+    # columns of their own, as a partitioning by expressions is not known under the names of their results
+    placed = px.filter(F.col(value).isNotNull()).withColumns({"tx": _floor_div("x", side), "ty": _floor_div("y", side)})
+    return placed.groupBy(*KEY).agg(cells).select(*KEY, F.col("cells.at").alias("at"), F.col("cells.v").alias("v"))
 
 
 def to_pixels(tiles: DataFrame, side: int = SIDE, kind: str = "double") -> DataFrame:
     """Pixels (image_id, x, y, v) of tiles."""
+    at = F.coalesce("at", F.sequence(F.lit(0), F.lit(side * side - 1)))
+    px = tiles.select(*KEY, F.explode(F.arrays_zip(at.alias("at"), "v")).alias("c")).select(*KEY, "c.at", "c.v").filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    x, y = F.col("tx") * side + F.col("at") % side, F.col("ty") * side + F.expr(f"at div {side}").cast("int")
+    return px.select("image_id", x.alias("x"), y.alias("y"), F.col("v").cast(kind).alias("v"))
 
-    @F.pandas_udf("array<double>")
-    def values(tile: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(t) for t in tile])
 
-    px = tiles.select(*KEY, F.posexplode(values("tile")).alias("i", "v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    x, y = F.col("tx") * side + F.col("i") % side, F.col("ty") * side + F.expr(f"i div {side}").cast("int")
-    return px.select("image_id", x.alias("x"), y.alias("y"), F.col("v").cast(kind).alias("v"))
+def _dense(at, v, side: int) -> np.ndarray:
+    """A tile as a square, NaN where there is no pixel."""
+    v = np.asarray(v, dtype=np.float64)
+    if at is None:
+        return v.reshape(side, side)
+    tile = np.full(side * side, np.nan)
+    tile[np.asarray(at)] = v
+    return tile.reshape(side, side)
 
 
 def sized(tiles: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -77,24 +76,24 @@ def with_halo(tiles: DataFrame, r: int, side: int = SIDE) -> DataFrame:
     steps = [(i, j) for j in (-1, 0, 1) for i in (-1, 0, 1) if i or j]
 
     @F.pandas_udf("array<struct<i:int,j:int,strip:binary>>")
-    def strips(tile: pd.Series) -> pd.Series:
+    def strips(at: pd.Series, v: pd.Series) -> pd.Series:
         out = []
-        for t in tile:
-            a = np.frombuffer(t).reshape(side, side)
+        for p, t in zip(at, v, strict=True):
+            a = _dense(p, t, side)
             cut = [(i, j, a[_part(j, side, r), _part(i, side, r)]) for i, j in steps]
             out.append([{"i": i, "j": j, "strip": s.tobytes()} for i, j, s in cut if not np.isnan(s).all()])
         return pd.Series(out)
 
-    told = tiles.select(*KEY, F.explode(strips("tile")).alias("s"))
+    told = tiles.select(*KEY, F.explode(strips("at", "v")).alias("s"))
     told = told.select("image_id", (F.col("tx") + F.col("s.i")).alias("tx"), (F.col("ty") + F.col("s.j")).alias("ty"), F.struct((-F.col("s.i")).alias("i"), (-F.col("s.j")).alias("j"), F.col("s.strip").alias("strip")).alias("s"))
     halos = told.groupBy(*KEY).agg(F.collect_list("s").alias("halo"))  # eight at most
     return tiles.join(halos, KEY, "left")
 
 
-def _window(tile: bytes, halo, side: int, r: int) -> np.ndarray:
+def _window(at, v, halo, side: int, r: int) -> np.ndarray:
     """A tile within its halo, NaN where there is none."""
     w = np.full((side + 2 * r, side + 2 * r), np.nan)
-    w[r : r + side, r : r + side] = np.frombuffer(tile).reshape(side, side)
+    w[r : r + side, r : r + side] = _dense(at, v, side)
     place = {-1: slice(0, r), 0: slice(r, r + side), 1: slice(r + side, side + 2 * r)}
     for s in halo if halo is not None else ():
         part = w[place[s["j"]], place[s["i"]]]
@@ -105,13 +104,13 @@ def _window(tile: bytes, halo, side: int, r: int) -> np.ndarray:
 def stencil(tiles: DataFrame, r: int, kernel: Callable, side: int = SIDE, columns: tuple[str, ...] = ()) -> DataFrame:
     """Tiles of kernel(window, x0, y0, *columns): window is the tile with r pixels around, whose first one is (x0, y0)."""
 
-    @F.pandas_udf("binary")
-    def run(tile: pd.Series, halo: pd.Series, tx: pd.Series, ty: pd.Series, *more: pd.Series) -> pd.Series:
-        rows = zip(tile, halo, tx, ty, *more, strict=True)
-        return pd.Series([np.ascontiguousarray(kernel(_window(t, h, side, r), x * side - r, y * side - r, *c), dtype=np.float64).tobytes() for t, h, x, y, *c in rows])
+    @F.pandas_udf("array<double>")
+    def run(at: pd.Series, v: pd.Series, halo: pd.Series, tx: pd.Series, ty: pd.Series, *more: pd.Series) -> pd.Series:
+        rows = zip(at, v, halo, tx, ty, *more, strict=True)
+        return pd.Series([kernel(_window(p, t, h, side, r), x * side - r, y * side - r, *c).ravel() for p, t, h, x, y, *c in rows])
 
-    keep = [c for c in tiles.columns if c not in ("tile", "halo")]
-    return with_halo(tiles, r, side).select(*keep, run("tile", "halo", "tx", "ty", *columns).alias("tile"))
+    keep = [c for c in tiles.columns if c not in ("at", "v", "halo")]
+    return with_halo(tiles, r, side).select(*keep, F.lit(None).cast("array<int>").alias("at"), run("at", "v", "halo", "tx", "ty", *columns).alias("v"))
 
 
 # ---------------------------------------------------------------- morphology and filters
@@ -240,17 +239,17 @@ def warp(tiles: DataFrame, params: DataFrame, border: str = "constant", value: f
         return pd.Series(out)
 
     @F.pandas_udf("struct<at:array<bigint>,v:array<double>>")
-    def picked(tile: pd.Series, tx: pd.Series, ty: pd.Series, dtx: pd.Series, dty: pd.Series, *p: pd.Series) -> pd.DataFrame:
+    def picked(places: pd.Series, values: pd.Series, tx: pd.Series, ty: pd.Series, dtx: pd.Series, dty: pd.Series, *p: pd.Series) -> pd.DataFrame:
         ats, vs = [], []
-        for t, a, b, x, y, m, dw, dh, w, h in zip(tile, tx, ty, dtx, dty, *p, strict=True):
+        for q, t, a, b, x, y, m, dw, dh, w, h in zip(places, values, tx, ty, dtx, dty, *p, strict=True):
             *_, four, inside = _pulled(x, y, m, dw, dh, w, h, border, side)
             at = np.unique(four[:, inside])
             at = at[(at >= 0) & (at % w // side == a) & (at // w // side == b)]
             ats.append(at)
-            vs.append(np.frombuffer(t)[at // w % side * side + at % w % side])
+            vs.append(_dense(q, t, side)[at // w % side, at % w % side])
         return pd.DataFrame({"at": ats, "v": vs})
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf("array<double>")
     def drawn(pieces: pd.Series, dtx: pd.Series, dty: pd.Series, *p: pd.Series) -> pd.Series:
         out = []
         for have, x, y, m, dw, dh, w, h in zip(pieces, dtx, dty, *p, strict=True):
@@ -264,13 +263,13 @@ def warp(tiles: DataFrame, params: DataFrame, border: str = "constant", value: f
             got = np.where(at[k] == four, v[k], np.nan)
             got = np.where(np.isnan(got), value, got)
             top, low = got[0] + (got[1] - got[0]) * fx, got[2] + (got[3] - got[2]) * fx
-            out.append(np.where(inside, top + (low - top) * fy, np.nan).tobytes())
+            out.append(np.where(inside, top + (low - top) * fy, np.nan))
         return pd.Series(out)
 
     many = lambda c: F.sequence(F.lit(0), F.floor((F.col(c) - 1) / side).cast("int"))
     dst = params.select("image_id", *_PARAMS, F.explode(many("dst_width")).alias("dtx"), "dst_height").select("image_id", *_PARAMS, "dtx", F.explode(many("dst_height")).alias("dty"))
     asked = dst.select("*", F.explode(sources("dtx", "dty", *_PARAMS)).alias("s")).select("image_id", "s.tx", "s.ty", "dtx", "dty", *_PARAMS)
-    parts = tiles.select(*KEY, "tile").join(asked, KEY).select("image_id", "dtx", "dty", picked("tile", "tx", "ty", "dtx", "dty", *_PARAMS).alias("s"))
+    parts = tiles.select(*KEY, "at", "v").join(asked, KEY).select("image_id", "dtx", "dty", picked("at", "v", "tx", "ty", "dtx", "dty", *_PARAMS).alias("s"))
     got = parts.groupBy("image_id", "dtx", "dty").agg(F.collect_list("s").alias("pieces"))
     whole = dst.join(got, ["image_id", "dtx", "dty"], "left")
-    return whole.select("image_id", F.col("dtx").alias("tx"), F.col("dty").alias("ty"), drawn("pieces", "dtx", "dty", *_PARAMS).alias("tile"))
+    return whole.select("image_id", F.col("dtx").alias("tx"), F.col("dty").alias("ty"), F.lit(None).cast("array<int>").alias("at"), drawn("pieces", "dtx", "dty", *_PARAMS).alias("v"))

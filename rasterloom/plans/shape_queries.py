@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, headers, svg
 from ..operators import contours as ct
-from ..operators import masks, quadtree, shapes, solve
+from ..operators import masks, quadtree, rings, shapes, solve, stacks
+from ..operators.rounds import settled
 from ..sources import derived as src
 from ..sources import files, formats
 from ..sources.derived import with_sql
@@ -258,18 +259,13 @@ def contour_border(spark, sf):
 
 @query("contours", with_sql("mosaic", f"{_SEGS} SELECT mask_id, count(*) AS n_points, CAST(sum(sx * ey - ex * sy) AS BIGINT) AS area8 FROM s GROUP BY 1"))
 def contours(spark, sf):
-    rings = ct.find_contour(_mosaic_mask(spark, sf), 48, 48)
-    p = rings.select("mask_id", "points", F.posexplode("points").alias("k", "a"))
+    found = ct.find_contour(_mosaic_mask(spark, sf), 48, 48)
+    p = found.select("mask_id", "points", F.posexplode("points").alias("k", "a"))
     nxt = F.element_at("points", ((C("k") + 1) % F.size("points") + 1).cast("int"))
     cross = C("a.x") * nxt["y"] - nxt["x"] * C("a.y")
     return p.groupBy("mask_id").agg(F.count("*").alias("n_points"), F.round(F.sum(cross * 4)).cast("long").alias("area8"))
 
 
-@query("contours_rdp")
-def contours_rdp(spark, sf):
-    return ct.find_contours(src.label_raster(spark, sf), 48, 48, simplification="rdp")
-
-
 _LABEL = """, t AS (SELECT image_id, color, x AS i, y AS j, 8 AS b FROM label_raster UNION ALL SELECT image_id, color, x - 1, y, 4 FROM label_raster UNION ALL SELECT image_id, color, x - 1, y - 1, 2 FROM label_raster UNION ALL SELECT image_id, color, x, y - 1, 1 FROM label_raster),
 c0 AS (SELECT image_id, color, i, j, CAST(sum(b) AS INTEGER) AS code FROM t GROUP BY 1, 2, 3, 4),
 q AS (SELECT image_id, i, j, count(*) + CASE WHEN i IN (-1, 47) OR j IN (-1, 47) THEN 1 ELSE 0 END + CASE WHEN i IN (-1, 47) AND j IN (-1, 47) THEN 1 ELSE 0 END AS areas, arg_min(code, color) FILTER (code IN (5, 10)) AS state FROM c0 GROUP BY 1, 2, 3),
@@ -283,11 +279,95 @@ def contours_colors(spark, sf):
     return ct.ring_measures(segs, ["image_id", "color"])
 
 
+def _walk_sql(segs: str, keys: str) -> str:
+    """Vertices v (keys, ring, seq, x, y, stone) of all rings: a walk from every vertex goes on while no smaller one comes, so only a ring's least vertex gets round."""
+    k, on = keys.split(", "), " AND ".join(f"g.{c} = w.{c}" for c in keys.split(", "))
+    w = ", ".join(f"w.{c}" for c in k)
+    vertex = lambda c: f"(({c}x + 10) * 100000 + {c}y + 10)"
+    return f""", g AS (SELECT {keys}, {vertex('s')} AS s, {vertex('e')} AS e, sx, sy, sx % 2 <> 0 AND sy % 2 <> 0 AS stone FROM ({segs})),
+w AS (SELECT {keys}, s AS ring, CAST(0 AS BIGINT) AS seq, s, e, sx AS x, sy AS y, stone FROM g
+  UNION ALL SELECT {w}, w.ring, w.seq + 1, g.s, g.e, g.sx, g.sy, g.stone FROM w JOIN g ON {on} AND g.s = w.e AND w.e > w.ring),
+c1 AS (SELECT {keys}, ring, seq + 1 AS n FROM w WHERE e = ring),
+ids AS (SELECT {keys}, ring, n, CAST(row_number() OVER (PARTITION BY {keys} ORDER BY ring) AS INTEGER) - 1 AS ring_id FROM c1),
+v AS (SELECT {keys}, ring_id, n, seq, x, y, stone FROM w JOIN ids USING ({keys}, ring))"""
+
+
+def _with_recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("contour_rings", _with_recursive(with_sql("mosaic", f"{_SEGS}{_walk_sql('SELECT * FROM s', 'mask_id')} SELECT mask_id, ring_id, n, seq, x, y FROM v")))
+def contour_rings(spark, sf):
+    segs = ct.segments(ct.mask_cells(_mosaic_mask(spark, sf), 48, 48))
+    return rings.numbered(rings.link(segs, ["mask_id"]), ["mask_id"]).select("mask_id", "ring_id", "n", "seq", "x", "y")
+
+
+@query("contours_simple", _with_recursive(with_sql("mosaic", f"""{_SEGS}{_walk_sql('SELECT * FROM s', 'mask_id')}, bent AS (SELECT b.*, (b.x - a.x) * (c.y - b.y) - (b.y - a.y) * (c.x - b.x) <> 0 AS turn FROM v b JOIN v a ON a.mask_id = b.mask_id AND a.ring_id = b.ring_id AND a.seq = (b.seq + b.n - 1) % b.n JOIN v c ON c.mask_id = b.mask_id AND c.ring_id = b.ring_id AND c.seq = (b.seq + 1) % b.n)
+SELECT mask_id, ring_id, seq, x, y FROM bent WHERE turn""")))
+def contours_simple(spark, sf):
+    segs = ct.segments(ct.mask_cells(_mosaic_mask(spark, sf), 48, 48))
+    linked = settled(rings.link(segs, ["mask_id"]))
+    kept = rings.straightened(linked, ["mask_id"])
+    return kept.join(rings.ring_ids(linked, ["mask_id"]), ["mask_id", "ring"]).select("mask_id", "ring_id", "seq", "x", "y")
+
+
+_RK = "image_id, color, ring_id"
+_RDP = f"""{_walk_sql('SELECT * FROM s', 'image_id, color')},
+i1 AS (SELECT {_RK}, n, coalesce(min(seq) FILTER (stone), 0) AS start, count(*) FILTER (stone) AS stones FROM v GROUP BY {_RK}, n),
+i2 AS (SELECT i1.*, (b.x - a.x) * (c.y - b.y) - (b.y - a.y) * (c.x - b.x) < 0 AS turned FROM i1 JOIN v a USING ({_RK}) JOIN v b USING ({_RK}) JOIN v c USING ({_RK}) WHERE a.seq = (start + i1.n - 1) % i1.n AND b.seq = start AND c.seq = (start + 1) % i1.n),
+at_p AS (SELECT {_RK}, v.n, seq, x, y, stone, stones, CASE WHEN turned THEN (v.n - (seq + v.n - start) % v.n) % v.n ELSE (seq + v.n - start) % v.n END AS p FROM v JOIN i2 USING ({_RK})),
+zz AS (SELECT *, p = 0 OR CASE WHEN stones > 1 THEN stone ELSE p = n // 2 END AS stop FROM at_p WHERE n >= 5),
+h0 AS (SELECT {_RK}, n, p AS a, lead(p, 1, n) OVER (PARTITION BY {_RK} ORDER BY p) AS b FROM zz WHERE stop),
+h AS (SELECT {_RK}, n, a, b FROM h0
+  UNION ALL SELECT {_RK}, n, unnest([a, best.p]) AS a, unnest([best.p, b]) AS b FROM (
+    SELECT h.image_id, h.color, h.ring_id, h.n, h.a, h.b, max({{'d': abs((t.x - f.x) * (f.y - z.y) - (f.x - z.x) * (t.y - f.y)) / sqrt(CAST((t.x - f.x) * (t.x - f.x) + (t.y - f.y) * (t.y - f.y) AS DOUBLE)), 'x': -z.x, 'y': -z.y, 'p': z.p}}) AS best
+    FROM h JOIN zz f ON f.image_id = h.image_id AND f.color = h.color AND f.ring_id = h.ring_id AND f.p = h.a
+    JOIN zz t ON t.image_id = h.image_id AND t.color = h.color AND t.ring_id = h.ring_id AND t.p = h.b % h.n
+    JOIN zz z ON z.image_id = h.image_id AND z.color = h.color AND z.ring_id = h.ring_id AND z.p > h.a AND z.p < h.b
+    WHERE h.b - h.a >= 4 GROUP BY h.image_id, h.color, h.ring_id, h.n, h.a, h.b) WHERE best.d > 1.8),
+held AS (SELECT {_RK}, a AS p FROM h UNION SELECT {_RK}, unnest(generate_series(a, b - 1)) AS p FROM h WHERE b - a < 4)
+SELECT {_RK}, seq, x, y FROM at_p WHERE n < 5 UNION ALL SELECT {_RK}, seq, x, y FROM at_p JOIN held USING ({_RK}, p) WHERE n >= 5"""
+
+
+@query("contours_rdp", _with_recursive(with_sql("label_raster", f"{_LABEL_SEGS}{_RDP}")))
+def contours_rdp(spark, sf):
+    """Kept vertices (doubled) of the rings of all colours, with their places before simplification."""
+    keys = ["image_id", "color"]
+    linked = settled(rings.link(ct.segments(ct.label_cells(src.label_raster(spark, sf), 48, 48)), keys))
+    kept = rings.simplified(linked, keys)
+    return kept.join(rings.ring_ids(linked, keys), [*keys, "ring"]).select(*keys, "ring_id", "seq", "x", "y")
+
+
 @query("run_widths", with_sql("blocky", ", a AS (SELECT image_id, x, y, v, x - row_number() OVER (PARTITION BY image_id, y, v ORDER BY x) AS g FROM blocky) SELECT image_id, x, y, v, CAST(row_number() OVER (PARTITION BY image_id, y, v, g ORDER BY x) AS INTEGER) AS w FROM a"))
 def run_widths(spark, sf):
     return ct.runs(src.blocky(spark, sf))
 
 
+_WIDE = ", a AS (SELECT image_id, x, y, v, x - row_number() OVER (PARTITION BY image_id, y, v ORDER BY x) AS g FROM blocky), r AS (SELECT image_id, x, y, v, CAST(row_number() OVER (PARTITION BY image_id, y, v, g ORDER BY x) AS INTEGER) AS w FROM a)"
+
+
+#: The height is the distance to the last row, from here up, that differs from the one above it or is narrower there.
+@query("run_heights", with_sql("blocky", f"{_WIDE}, b AS (SELECT r.image_id, r.x, r.y, r.v, r.w, u.v IS NOT NULL AND u.v = r.v AND u.w >= r.w AS goes_on FROM r LEFT JOIN r u ON u.image_id = r.image_id AND u.x = r.x AND u.y = r.y - 1) SELECT b.image_id, b.x, b.y, b.v, b.w, CAST(b.y - max(s.y) + 1 AS INTEGER) AS h FROM b JOIN b s ON s.image_id = b.image_id AND s.x = b.x AND s.y <= b.y AND NOT s.goes_on GROUP BY b.image_id, b.x, b.y, b.v, b.w"))
+def run_heights(spark, sf):
+    return stacks.stack_sizes(src.blocky(spark, sf))
+
+
+#: Sums of breaks between neighbours over all pixels up to one tell of each square whether it has a break inside.
+_SUMS = """, d AS (SELECT image_id, x, y, v, CASE WHEN lag(v) OVER (PARTITION BY image_id, y ORDER BY x) <> v THEN 1 ELSE 0 END AS bh, CASE WHEN lag(v) OVER (PARTITION BY image_id, x ORDER BY y) <> v THEN 1 ELSE 0 END AS bv FROM blocky),
+e AS (SELECT *, sum(bh) OVER (PARTITION BY image_id, y ORDER BY x) AS rh, sum(bv) OVER (PARTITION BY image_id, y ORDER BY x) AS rv FROM d),
+p AS (SELECT image_id, x, y, v, CAST(sum(rh) OVER w AS BIGINT) AS ph, CAST(sum(rv) OVER w AS BIGINT) AS pv FROM e WINDOW w AS (PARTITION BY image_id, x ORDER BY y)),
+m AS (SELECT *, unnest(generate_series(1, least(x, y) + 1)) AS m FROM p)
+SELECT m.image_id, m.x, m.y, m.v, CAST(max(m.m) AS INTEGER) AS side FROM m
+LEFT JOIN p a ON a.image_id = m.image_id AND a.x = m.x - m.m + 1 AND a.y = m.y LEFT JOIN p b ON b.image_id = m.image_id AND b.x = m.x AND b.y = m.y - m.m LEFT JOIN p c ON c.image_id = m.image_id AND c.x = m.x - m.m + 1 AND c.y = m.y - m.m
+LEFT JOIN p f ON f.image_id = m.image_id AND f.x = m.x - m.m AND f.y = m.y LEFT JOIN p g ON g.image_id = m.image_id AND g.x = m.x AND g.y = m.y - m.m + 1 LEFT JOIN p h ON h.image_id = m.image_id AND h.x = m.x - m.m AND h.y = m.y - m.m + 1
+WHERE m.ph - a.ph - coalesce(b.ph, 0) + coalesce(c.ph, 0) = 0 AND m.pv - coalesce(f.pv, 0) - g.pv + coalesce(h.pv, 0) = 0 GROUP BY m.image_id, m.x, m.y, m.v"""
+
+
+@query("square_sides", with_sql("blocky", _SUMS))
+def square_sides(spark, sf):
+    return stacks.square_sides(src.blocky(spark, sf))
+
+
 # ------------------------------------------------------------------ rectangles and packing
 
 
