@@ -103,7 +103,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int =
         def lists(batches, sent=sent):
             best: dict[int, dict[tuple[int, int], int]] = {}
             for qi, xi, s1, q2, x2, own in _blocks(batches, sent.value):
-                low, s2 = np.iinfo(np.int64).min, _scores(q2, x2)
+                low, s2 = -np.iinfo(np.int64).max, _scores(q2, x2)  # its negative is a number too, so a query's own row comes last
                 full = s1 + s2
                 take = min(k, len(xi))
                 for s in (s1, s2):
