@@ -1,4 +1,4 @@
-"""Removal of near-equal paragraphs and of passages that paragraphs share."""
+"""Removal of near-equal paragraphs and of passages that documents share."""
 
 from __future__ import annotations
 
@@ -8,11 +8,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLACE, RADIX, RADIX_INV, cut, listed, merged, mix, powers, raw_bytes, shingle_hashes, signed, sliding_min, text_slices, winnow, word_hashes, written
+from .common import PLACE, RADIX, RADIX_INV, cut, listed, mix, powers, raw_bytes, shingle_hashes, signed, sliding_min, text_slices, winnow, word_hashes, written
 from .jaccard import similar
 from .linking import link_by_keys, shared_keys
 
-#: Words of a shingle; of a paragraph at least where nothing else is said, and of a passage that two paragraphs or documents share.
+#: Words of a shingle; of a paragraph at least where nothing else is said, and of a passage that two places share.
 SHINGLE, LEAST, PASSAGE = 5, 50, 50
 #: Bands of ROWS minima each: two paragraphs with Jaccard similarity 0.8 miss each other with a chance of 0.003.
 BANDS, ROWS = 8, 3
@@ -171,19 +171,19 @@ def _verify(texts: DataFrame, sizes: DataFrame):
     return verify
 
 
-def repeated_paragraphs(docs: DataFrame, text: str = "text", least: int = LEAST, runs: DataFrame | None = None) -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, text: str = "text", least: int = LEAST) -> DataFrame:
     """(doc_id, paragraph, begin, end, n_words, component_id, kept): the paragraphs that have a relative elsewhere.
 
     Paragraphs are lines of `least` words or more (white-space separated, A-Z as a-z); paragraph counts a document's lines
-    from 0, begin and end are bytes. Two are relatives if 80 percent of their distinct SHINGLE-word shingles are common,
-    or if they share PASSAGE words in a row. Of each component, the first paragraph by doc_id and place is kept, once;
-    component_id is its doc_id. Documents without such a paragraph have no row. Null or empty texts have no paragraphs;
+    from 0, begin and end are bytes. Two are relatives if 80 percent of their distinct SHINGLE-word shingles are common;
+    a passage that they quote makes no relatives of lines with text of their own, see repeated_passages. Of each
+    component, the first paragraph by doc_id and place is kept, once; component_id is its doc_id. Documents without such
+    a paragraph have no row. Lines of any length are compared whole. Null or empty texts have no paragraphs;
     null ids come last, and of these and of repeated rows each is a document of its own; an empty table gives an empty
     result; other columns are not looked at.
 
     Equal paragraphs are one class. Bands of minima find similar ones, which are verified exactly; see link_by_keys for
-    how keys that very many paragraphs have are worked through. Common passages are those of repeated_passages that lie
-    within a line (runs: its table, if there is one already). Texts move only for paragraphs that share a band.
+    how keys that very many paragraphs have are worked through. Texts move only for paragraphs that share a band.
     """
     docs = docs.select("doc_id", F.col(text).alias("text"))
     occ = written(_paragraphs(docs, least).withColumn("oid", F.monotonically_increasing_id()))
@@ -192,10 +192,6 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", least: int = LEAST,
     sizes = written(listed(occ.select(F.col("pid").alias("id"), "d"), wanted, "id").groupBy("id").agg(F.first("d").alias("d")))
     texts = _line_texts(docs, least, wanted)
     comps = link_by_keys(members, _verify(texts, sizes), _elements(texts))
-    runs = passage_runs(docs) if runs is None else runs
-    comps = merged(comps, written(runs.filter("pid <> b").select(F.col("pid").alias("a"), "b").distinct()))
-    if least > PASSAGE:
-        comps = comps.join(occ.select(F.col("pid").alias("id")).distinct(), "id", "left_semi")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "paragraph", "oid")
     own = occ.groupBy("pid").agg(F.count("*").alias("m"), F.min(place).alias("first"))
     named = written(own.join(comps.select(F.col("id").alias("pid"), "comp"), "pid", "left").filter("m > 1 or comp is not null").select("pid", F.coalesce("comp", "pid").alias("comp"), "first"))
@@ -280,20 +276,16 @@ def _spot_keys(docs: DataFrame) -> DataFrame:
 
 
 def _windows(texts: DataFrame) -> DataFrame:
-    """(tid, i, w, pid, m, lead): hash of the PASSAGE words from word i on, wherever they hold one of the text's keys; all of them if keys is null.
-
-    pid: the line in which they lie (see line_ids), null if they cross lines; m and lead as in texts.
-    """
+    """(tid, i, w, m, lead): hash of the PASSAGE words from word i on, wherever they hold one of the text's keys; all of them if keys is null; m and lead as in texts."""
     kind = texts.schema["lead"].dataType.simpleString()
 
-
     def run(batches) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             for r, (tid, text, keys) in enumerate(zip(batch.column("tid").to_pylist(), batch.column("text").to_pylist(), batch.column("keys"), strict=True)):
                 raw = np.frombuffer(text.encode(), dtype=np.uint8)
-                words, starts, _, _ = word_hashes(raw, np.array([0, len(raw)]))
+                words = word_hashes(raw, np.array([0, len(raw)]))[0]
                 if len(words) < PASSAGE:
                     continue
                 w = passage_hashes(words)
@@ -305,23 +297,17 @@ def _windows(texts: DataFrame) -> DataFrame:
                     np.add.at(change, low[hit], 1)
                     np.add.at(change, high[hit] + 1, -1)
                     i = np.flatnonzero(np.cumsum(change[:-1]) > 0)
-                line = np.searchsorted(np.flatnonzero(raw == 10), starts)
-                first = np.append(np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])), len(words))
-                at = np.searchsorted(first, i, side="right") - 1
-                across = line[i] != line[i + PASSAGE - 1]
-                pid = signed(line_ids(words, first))[at]
                 own = pa.array(np.full(len(i), r))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), tid, dtype=np.int64)), pa.array(i), pa.array(signed(w[i])), pa.array(pid, mask=across), batch.column("m").take(own), batch.column("lead").take(own)], names=["tid", "i", "w", "pid", "m", "lead"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), tid, dtype=np.int64)), pa.array(i), pa.array(signed(w[i])), batch.column("m").take(own), batch.column("lead").take(own)], names=["tid", "i", "w", "m", "lead"])
 
-    return texts.select("tid", "text", "keys", "m", "lead").mapInArrow(run, f"tid long, i long, w long, pid long, m long, lead {kind}")
+    return texts.select("tid", "text", "keys", "m", "lead").mapInArrow(run, f"tid long, i long, w long, m long, lead {kind}")
 
 
 def passage_runs(docs: DataFrame) -> DataFrame:
-    """(tid, i, doc_id, kept, pid, b): all runs of PASSAGE words that stand in several places. docs: (doc_id, text).
+    """(tid, i, doc_id, kept): all runs of PASSAGE words that stand in several places. docs: (doc_id, text).
 
-    doc_id: of the first place by doc_id and place, null ids last; kept: whether this is it; pid: the line in which the
-    run lies, if it crosses none, and b the least such line of all its places. Equal texts are one (tid) with its least
-    doc_id. Three neighbouring winnowed shingles, which every passage holds, find where texts may agree; only there all
+    doc_id: of the first place by doc_id and place, null ids last; kept: whether this is it. Equal texts are one (tid)
+    with its least doc_id. Three neighbouring winnowed shingles, which every passage holds, find where texts may agree; only there all
     runs are hashed and counted, map-side first.
     """
     lead = docs.filter("text is not null").groupBy(F.xxhash64("text").alias("tid")).agg(F.count("*").alias("m"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("lead"))
@@ -333,10 +319,10 @@ def passage_runs(docs: DataFrame) -> DataFrame:
     texts = listed(docs, marked, "tid").groupBy("tid").agg(F.first("text").alias("text"))
     runs = written(_windows(texts.join(marked, "tid")))
     place = F.struct("lead.none", "lead.doc_id", "tid", "i")
-    first = runs.groupBy("w").agg(F.min(place).alias("first"), F.sum("m").alias("times"), F.min("pid").alias("b")).filter("times > 1").drop("times")
-    found = runs.select("tid", "i", "w", "pid").join(written(first), "w")
+    first = runs.groupBy("w").agg(F.min(place).alias("first"), F.sum("m").alias("times")).filter("times > 1").drop("times")
+    found = runs.select("tid", "i", "w").join(written(first), "w")
     kept = (F.col("first.tid") == F.col("tid")) & (F.col("first.i") == F.col("i"))
-    return written(found.select("tid", "i", F.col("first.doc_id").alias("doc_id"), kept.alias("kept"), "pid", "b"))
+    return written(found.select("tid", "i", F.col("first.doc_id").alias("doc_id"), kept.alias("kept")))
 
 
 def _spans(texts: DataFrame, kind: str) -> DataFrame:
@@ -392,6 +378,5 @@ def repeated_passages(docs: DataFrame, text: str = "text", runs: DataFrame | Non
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Lines of any length that have a relative, and passages of whole documents that stand in several places (unit: line, passage)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    runs = passage_runs(docs)
-    lines = repeated_paragraphs(docs, least=1, runs=runs).withColumn("unit", F.lit("line"))
-    return lines.unionByName(repeated_passages(docs, runs=runs).withColumn("unit", F.lit("passage")))
+    lines = repeated_paragraphs(docs, least=1).withColumn("unit", F.lit("line"))
+    return lines.unionByName(repeated_passages(docs).withColumn("unit", F.lit("passage")))

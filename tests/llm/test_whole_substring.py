@@ -44,8 +44,7 @@ def test_short_lines_and_wrapped_passages(spark, monkeypatch):
     units = [(d, k, fx.WORD.findall(fx.lower(x))) for d, t in rows for k, x in enumerate((t or "").split("\n"))]
     units = [u for u in units if u[2]]
     sets = [frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) for _, _, w in units]
-    runs = [{tuple(w[j : j + 50]) for j in range(len(w) - 49)} for _, _, w in units]
-    comp = fx.components(fx.similar_pairs(sets) + [(a, b) for a in range(len(units)) for b in range(a) if runs[a] & runs[b]], range(len(units)))
+    comp = fx.components(fx.similar_pairs(sets), range(len(units)))
     size = collections.Counter(comp.values())
     want = {(u[0], u[1], units[comp[i]][0], comp[i] == i) for i, u in enumerate(units) if size[comp[i]] > 1}
     assert want and {(r["doc_id"], r["paragraph"], r["component_id"], r["kept"]) for r in got if r["unit"] == "line"} == want
@@ -69,6 +68,20 @@ def test_short_lines_and_wrapped_passages(spark, monkeypatch):
     assert substring.repeated_passages(frame.limit(0)).count() == 0
 
 
+def test_quotations_drop_no_line(spark):
+    """Lines with text of their own that quote one passage of 50 words all stay; the passage alone is a span to remove."""
+    rng = random.Random(12)
+    words = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    passage = words(50)
+    rows = [(d, f"{words(40 + 20 * d)} {passage} {words(60)}") for d in range(6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert substring.repeated_paragraphs(frame, least=1).count() == 0
+    spans = substring.repeated_passages(frame).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["kept"]) for r in spans) == [(d, 50, d == 0) for d in range(6)]
+    texts = dict(rows)
+    assert all(texts[r["doc_id"]].encode()[r["begin"] : r["end"]].decode() == passage for r in spans)
+
+
 def test_repeated_rows_and_null_ids(spark):
     """Of repeated rows, and of different documents without an id, one paragraph and one passage alone is kept."""
     rng = random.Random(3)
