@@ -19,10 +19,11 @@ def masked(px: DataFrame, mask: DataFrame) -> DataFrame:
 
 
 def check_sizes(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Sizes (mask_id, width, height) of both masks, an error where they differ."""
+    """Sizes (mask_id, width, height) of the masks of both sides, an error where they differ; one that only one side has is empty on the other."""
     other = b.select("mask_id", F.col("width").alias("w2"), F.col("height").alias("h2"))
-    same = F.assert_true((F.col("width") == F.col("w2")) & (F.col("height") == F.col("h2")), F.lit("mask sizes differ"))
-    return a.join(other, "mask_id").withColumn("checked", same).filter("checked is null").select("mask_id", "width", "height")
+    alike = F.coalesce((F.col("width") == F.col("w2")) & (F.col("height") == F.col("h2")), F.lit(True))
+    both = a.join(other, "mask_id", "full").withColumn("checked", F.assert_true(alike, F.lit("mask sizes differ"))).filter("checked is null")
+    return both.select("mask_id", F.coalesce("width", "w2").alias("width"), F.coalesce("height", "h2").alias("height"))
 
 
 def create(sizes: DataFrame, source: DataFrame | None = None, full: bool = False) -> DataFrame:

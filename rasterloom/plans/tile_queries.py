@@ -218,3 +218,16 @@ SELECT mask_id, CAST(n AS BIGINT) AS n, CAST(area8 AS BIGINT) AS area8 FROM a"""
 @query("contours_each", with_sql("mixed mixed_sizes", _AREA))
 def contours_each(spark, sf):
     return ct.ring_measures(mixed.contour_segments(_mask(spark, sf), _mask_sizes(spark, sf)), ["mask_id"])
+
+
+@query("mask_intersect_sized", with_sql("mixed mixed_sizes", f"{_MASK} SELECT mask_id, x, y FROM mk WHERE x >= 4"))
+def mask_intersect_sized(spark, sf):
+    m = _mask(spark, sf)
+    return masks.intersect(m, m.filter("x >= 4"), (_mask_sizes(spark, sf), _mask_sizes(spark, sf)))
+
+
+@query("mask_subtract_sized", with_sql("mixed mixed_sizes", f"{_MASK} SELECT mask_id, x, y FROM mk WHERE x < 4 OR mask_id % 2 = 0"))
+def mask_subtract_sized(spark, sf):
+    """Masks that only the first side has stay whole."""
+    m, sizes = _mask(spark, sf), _mask_sizes(spark, sf)
+    return masks.subtract(m, m.filter("x >= 4 and mask_id % 2 = 1"), (sizes, sizes.filter("mask_id % 2 = 1")))
