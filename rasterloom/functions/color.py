@@ -34,6 +34,16 @@ def pack8(v: Column) -> Column:
     return clamp(F.round(v * 255.0), 0, 255).cast("int")
 
 
+def unpack_ycc8(y: Column, cb: Column, cr: Column) -> tuple[Column, Column, Column]:
+    """Bytes of luma and chroma as luma 0..1 and chroma -0.5..0.5; luma has no offset, so that packing gives the bytes back."""
+    return unpack8(y), unpack8(cb) - 0.5, unpack8(cr) - 0.5
+
+
+def pack_ycc8(y: Column, cb: Column, cr: Column) -> tuple[Column, Column, Column]:
+    """Luma and chroma as bytes, chroma moved up by a half."""
+    return pack8(y), pack8(cb + 0.5), pack8(cr + 0.5)
+
+
 def rgb_to_ycc(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     """Luma 0..1 and chroma -0.5..0.5."""
     return tuple(m[0] * r + m[1] * g + m[2] * b for m in TO_YCC)

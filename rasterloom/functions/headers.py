@@ -175,3 +175,26 @@ def exif_rational(text: Column) -> Column:
     parts = F.split(text, "/")
     den = F.coalesce(F.try_element_at(parts, F.lit(2)).cast("double"), F.lit(1.0))
     return F.try_divide(F.element_at(parts, 1).cast("double"), den)
+
+
+def exif_as(text: Column, kind: str, place: int = 1) -> Column:
+    """A tag's text as long, double, string or rational (num, den); of several values, parted by blanks, the one at `place`.
+
+    Rationals become numbers by division, long ones truncated; a denominator of 0, a place that is not there and a text that
+    is no number give null.
+    """
+    if kind == "string":
+        return text
+    one = F.try_element_at(F.split(F.trim(text), r"\s+"), F.lit(place))
+    parts = F.split(one, "/")
+    num, den = F.element_at(parts, 1), F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("1"))
+    if kind == "rational":
+        n, d = num.try_cast("long"), den.try_cast("long")
+        return F.when(n.isNotNull() & (d != 0), F.struct(n.alias("num"), d.alias("den")))
+    value = F.try_divide(num.try_cast("double"), den.try_cast("double"))
+    if kind == "double":
+        return value
+    if kind == "long":
+        whole = F.when(~one.contains("/"), num.try_cast("long"))
+        return F.coalesce(whole, F.when(value >= 0, F.floor(value)).otherwise(F.ceil(value)).cast("long"))
+    raise ValueError(f"unknown kind {kind}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import color, headers
 from ..operators import contours as ct
 from ..operators import harmonic, masks, mixed, resample, tiles
 from ..sources import derived as src
@@ -231,3 +232,33 @@ def mask_subtract_sized(spark, sf):
     """Masks that only the first side has stay whole."""
     m, sizes = _mask(spark, sf), _mask_sizes(spark, sf)
     return masks.subtract(m, m.filter("x >= 4 and mask_id % 2 = 1"), (sizes, sizes.filter("mask_id % 2 = 1")))
+
+
+# ------------------------------------------------------------------ packed luma and chroma, typed tags
+
+
+_BYTE = "CAST(greatest(0, least(255, round(({}) * 255.0))) AS INTEGER)"
+_YCC = ", ".join(f"CAST({m[0]!r} AS DOUBLE) * r + CAST({m[1]!r} AS DOUBLE) * g + CAST({m[2]!r} AS DOUBLE) * b AS {n}" for m, n in zip(color.TO_YCC, ("yy", "cb", "cr"), strict=True))
+
+
+@query("pack_ycc", with_sql("rgb8", f", u AS (SELECT image_id, x, y, CAST(r AS DOUBLE) / 255 AS r, CAST(g AS DOUBLE) / 255 AS g, CAST(b AS DOUBLE) / 255 AS b FROM rgb8), c AS (SELECT image_id, x, y, {_YCC} FROM u), p AS (SELECT image_id, x, y, {_BYTE.format('yy')} AS luma, {_BYTE.format('cb + 0.5')} AS cb, {_BYTE.format('cr + 0.5')} AS cr FROM c) SELECT *, CAST(luma AS INTEGER) AS luma_back, CAST(cb AS INTEGER) AS cb_back, CAST(cr AS INTEGER) AS cr_back FROM p"))
+def pack_ycc(spark, sf):
+    """Colours as bytes of luma and chroma, and these again after unpacking."""
+    names = ("luma", "cb", "cr")
+    packed = color.pack_ycc8(*color.rgb_to_ycc(*[color.unpack8(C(c)) for c in "rgb"]))
+    p = src.rgb8(spark, sf).select("image_id", "x", "y", *[v.alias(n) for v, n in zip(packed, names, strict=True)])
+    again = color.pack_ycc8(*color.unpack_ycc8(*[C(n) for n in names]))
+    return p.select("*", *[v.alias(f"{n}_back") for v, n in zip(again, names, strict=True)])
+
+
+_TAG = "CASE p_partkey % 4 WHEN 0 THEN concat(p_partkey - 50, '/', p_size % 5) WHEN 1 THEN concat(p_size, ' ', p_partkey) WHEN 2 THEN concat(p_partkey, '.5') ELSE 'none' END"
+
+
+@query("exif_typed", f"""WITH t AS (SELECT p_partkey AS file_id, p_partkey % 4 AS k, p_partkey AS p, p_size AS s, p_size % 5 AS d, {_TAG} AS text FROM part)
+SELECT file_id, text, coalesce(CAST(CASE k WHEN 0 THEN trunc((p - 50) / CAST(nullif(d, 0) AS DOUBLE)) WHEN 1 THEN s WHEN 2 THEN p END AS BIGINT), -1000000) AS whole,
+  {fixed_sql('coalesce(CASE k WHEN 0 THEN (p - 50) / CAST(nullif(d, 0) AS DOUBLE) WHEN 1 THEN s WHEN 2 THEN p + 0.5 END, -1000000)')} AS number, CAST(CASE WHEN k = 1 THEN p ELSE -1000000 END AS BIGINT) AS second, CAST(CASE WHEN k = 0 AND d <> 0 THEN d WHEN k = 1 THEN 1 ELSE -1000000 END AS BIGINT) AS den FROM t""")
+def exif_typed(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey as file_id", "case p_partkey % 4 when 0 then concat(p_partkey - 50, '/', p_size % 5) when 1 then concat(p_size, ' ', p_partkey) when 2 then concat(p_partkey, '.5') else 'none' end as text")
+    t, none = C("text"), lambda v: F.coalesce(v, F.lit(-1000000))
+    whole, second, den = headers.exif_as(t, "long"), headers.exif_as(t, "long", 2), headers.exif_as(t, "rational")["den"]
+    return p.select("file_id", headers.exif_as(t, "string").alias("text"), none(whole).alias("whole"), fixed(none(headers.exif_as(t, "double"))).alias("number"), none(second).alias("second"), none(den).alias("den"))
