@@ -322,7 +322,7 @@ def passage_runs(docs: DataFrame) -> DataFrame:
     first = runs.groupBy("w").agg(F.min(place).alias("first"), F.sum("m").alias("times")).filter("times > 1").drop("times")
     found = runs.select("tid", "i", "w").join(written(first), "w")
     kept = (F.col("first.tid") == F.col("tid")) & (F.col("first.i") == F.col("i"))
-    return written(found.select("tid", "i", F.col("first.doc_id").alias("doc_id"), kept.alias("kept")))
+    return found.select("tid", "i", F.col("first.doc_id").alias("doc_id"), kept.alias("kept"))
 
 
 def _spans(texts: DataFrame, kind: str) -> DataFrame:
@@ -332,21 +332,26 @@ def _spans(texts: DataFrame, kind: str) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            kind = batch.schema.field("found").type.value_type.field("doc_id").type
-            schema = pa.schema([("tid", pa.int64()), ("paragraph", pa.int32()), ("begin", pa.int64()), ("end", pa.int64()), ("n_words", pa.int32()), ("component_id", kind), ("kept", pa.bool_())])
-            out = []
-            for tid, text, found in zip(batch.column("tid").to_pylist(), batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
+            lists = batch.column("found")
+            flat, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            i, kept = flat.field("i").to_numpy(), flat.field("kept").to_numpy(zero_copy_only=False)
+            first = flat.field("doc_id").dictionary_encode(null_encoding="encode").indices.to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            new = np.ones(len(i), dtype=bool)
+            new[1:] = (row[1:] != row[:-1]) | (i[1:] != i[:-1] + 1) | (first[1:] != first[:-1]) | (kept[1:] != kept[:-1])
+            at = np.flatnonzero(new)
+            last = np.append(at[1:], len(i))[: len(at)] - 1
+            own = np.searchsorted(row[at], np.arange(batch.num_rows + 1))
+            places = []
+            for r, text in enumerate(batch.column("text").to_pylist()):
                 raw = np.frombuffer(text.encode(), dtype=np.uint8)
                 _, starts, stops, _ = word_hashes(raw, np.array([0, len(raw)]))
-                breaks, begun, last = np.flatnonzero(raw == 10), None, None
-                for x in [*found, None]:
-                    same = x is not None and begun is not None and x["i"] == last["i"] + 1 and x["doc_id"] == begun["doc_id"] and x["kept"] == begun["kept"]
-                    if begun is not None and not same:
-                        a, b = begun["i"], last["i"] + PASSAGE
-                        begin = int(starts[a])
-                        out.append((tid, int(np.searchsorted(breaks, begin)), begin, int(stops[b - 1]), b - a, begun["doc_id"], begun["kept"]))
-                    begun, last = (begun if same else x), x
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, o, strict=True)) for o in out], schema=schema)
+                a, b = i[at[own[r] : own[r + 1]]], i[last[own[r] : own[r + 1]]] + PASSAGE
+                places.append((np.searchsorted(np.flatnonzero(raw == 10), starts[a]), starts[a], stops[b - 1], b - a))
+            line, begin, end, n = (np.concatenate(x) if places else np.zeros(0, np.int64) for x in (zip(*places, strict=True) if places else [()] * 4))
+            tid = batch.column("tid").take(pa.array(row[at]))
+            cols = [tid, pa.array(line.astype(np.int32)), pa.array(begin.astype(np.int64)), pa.array(end.astype(np.int64)), pa.array(n.astype(np.int32)), flat.field("doc_id").take(pa.array(at)), pa.array(kept[at])]
+            yield pa.RecordBatch.from_arrays(cols, names=["tid", "paragraph", "begin", "end", "n_words", "component_id", "kept"])
 
     return texts.select("tid", "text", "found").mapInArrow(run, f"tid long, paragraph int, begin long, end long, n_words int, component_id {kind}, kept boolean")
 
