@@ -14,7 +14,7 @@ from .sharding import op4_sharding
 from .substring import op7_substring_dedup
 from .suffix import OP3_SQL, op3_suffix_dedup
 from .topk import OP6_SQL, op6_topk
-from .trie import op11_prefix_trie
+from .trie import OP11_SQL, op11_prefix_trie
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
@@ -36,6 +36,7 @@ ORACLES = {
     "op6_topk": OP6_SQL,
     "op9_jaccard_join": OP9_SQL,
     "op10_decontamination": OP10_SQL,
+    "op11_prefix_trie": OP11_SQL,
     "op12_near_embeddings": OP12_SQL,
     "op13_collocations": OP13_SQL,
 }

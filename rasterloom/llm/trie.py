@@ -349,3 +349,32 @@ def op11_prefix_trie(spark, sf_dir: str) -> DataFrame:
     own = written(steps(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")))
     share = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
     return prefix_trie(*rebuilt(own, F.col("conv_id") - F.col("conv_id") % 100, share.cast("int")))
+
+
+#: Bytes of the id go through the checksum bit by bit; a node is known by the names of its turns, laid end to end.
+OP11_SQL = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(concat(octet_length(encode(coalesce(role, ''))), ':', role, text))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), b AS (
+  SELECT conv_id, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+    lambda crc, d: list_reduce(list_concat([xor(crc, d)], [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda r, z: xor(r >> 1, (r & 1) * 3988292384))) AS crc
+  FROM (SELECT DISTINCT conv_id FROM t)
+), c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(crc, CAST(4294967295 AS BIGINT)) % 6 AS h FROM b),
+k AS (SELECT conv_id, count(*) AS n FROM t GROUP BY 1),
+r AS (
+  SELECT c.conv_id, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.pos <= c.h
+  UNION ALL SELECT c.conv_id, t.pos - c.h + least(c.h, coalesce(k.n, 0)), t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h LEFT JOIN k ON k.conv_id = c.base
+), p AS (
+  SELECT conv_id, pos AS depth, length(text) AS chars, string_agg(sha256(concat(octet_length(encode(role)), ':', role, text)), '') OVER (PARTITION BY conv_id ORDER BY pos) AS path FROM r
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c
+), m AS (SELECT conv_id, max(depth) AS m FROM p GROUP BY 1),
+n AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(chars) AS chars FROM p GROUP BY 1, 2),
+f AS (SELECT substr(path, 1, length(path) - 64) AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+e AS (SELECT path, sha256(string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id)) AS ends FROM p JOIN m ON m.conv_id = p.conv_id AND m.m = p.depth GROUP BY 1),
+s AS (
+  SELECT n.path, count(*) FILTER (f.path IS NULL) AS n_leaves, sum((d.n_convs - 1) * d.chars) AS saved FROM n JOIN n d ON d.depth >= n.depth AND substr(d.path, 1, length(n.path)) = n.path LEFT JOIN f ON f.path = d.path GROUP BY 1
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs, CAST(coalesce(f.n_children, 0) AS BIGINT) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM n JOIN s ON s.path = n.path LEFT JOIN f ON f.path = n.path LEFT JOIN e ON e.path = n.path LEFT JOIN n u ON n.depth > 0 AND u.depth = n.depth - 1 AND u.path = substr(n.path, 1, length(n.path) - 64)
+"""
