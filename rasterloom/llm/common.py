@@ -6,7 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,9 +55,30 @@ def written(df: DataFrame) -> DataFrame:
         atexit.register(_remove, sc, top)
     path = f"{top}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scratch:
+        _scratch[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables written within each `kept` that is being made, the innermost last.
+_scratch: list[list[str]] = []
+
+
+def kept(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() returns as a written table; the tables that were written on the way are removed then, as nothing reads them again."""
+    _scratch.append([])
+    try:
+        out = written(make())
+    finally:
+        paths = _scratch.pop()
+    result = paths.pop()
+    if _scratch:
+        _scratch[-1].append(result)
+    for path in paths:
+        _remove(spark.sparkContext, path)
+    return out
+
+
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
     """Within, rows go to Python in Arrow batches of n, for rows of many bytes; for actions alone, as plans are made late."""

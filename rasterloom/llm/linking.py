@@ -30,9 +30,10 @@ def _bounded(members: DataFrame, elements: Callable[[DataFrame], DataFrame], per
     found = written(elements(members.select("id").distinct()))
     sizes = found.groupBy("id").agg(F.count("*").alias("n"))
     held = members.select("key", "id").join(found, "id")
-    often = held.groupBy("key", "e").agg(F.count("*").alias("df")).filter("df > 1").select("key", "e")
-    own = held.join(often, ["key", "e"]).groupBy("key", "id").agg(F.count("*").alias("s"))
-    return written(own.join(sizes, "id").filter(F.col("s") * 100 >= F.col("n") * percent).select("key", "id", "n", "s"))
+    # elements of one id alone are summed where they are read; no join brings the others back
+    alone = held.groupBy("key", "e").agg(F.min("id").alias("id"), F.max("id").alias("top")).filter("id = top").groupBy("key", "id").agg(F.count("*").alias("u"))
+    own = members.select("key", "id").join(sizes, "id").join(alone, ["key", "id"], "left").withColumn("s", F.col("n") - F.coalesce("u", F.lit(0)))
+    return written(own.filter(F.col("s") * 100 >= F.col("n") * percent).select("key", "id", "n", "s"))
 
 
 def link_by_keys(members: DataFrame, verify: Callable[[DataFrame], DataFrame], elements: Callable[[DataFrame], DataFrame], percent: int = 80) -> DataFrame:

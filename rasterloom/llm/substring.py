@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLACE, RADIX, RADIX_INV, cut, listed, mix, powers, raw_bytes, shingle_hashes, signed, sliding_min, text_slices, winnow, word_hashes, written
+from .common import PLACE, RADIX, RADIX_INV, cut, kept, listed, mix, powers, raw_bytes, shingle_hashes, signed, sliding_min, text_slices, winnow, word_hashes, written
 from .jaccard import similar
 from .linking import link_by_keys, shared_keys
 
@@ -383,5 +383,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", runs: DataFrame | Non
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Lines of any length that have a relative, and passages of whole documents that stand in several places (unit: line, passage)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    lines = repeated_paragraphs(docs, least=1).withColumn("unit", F.lit("line"))
-    return lines.unionByName(repeated_passages(docs).withColumn("unit", F.lit("passage")))
+    # what finds the lines is off the disk when passages are looked for
+    lines = kept(docs.sparkSession, lambda: repeated_paragraphs(docs, least=1))
+    passages = kept(docs.sparkSession, lambda: repeated_passages(docs))
+    return lines.withColumn("unit", F.lit("line")).unionByName(passages.withColumn("unit", F.lit("passage")))
