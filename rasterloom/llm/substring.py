@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLACE, RADIX, RADIX_INV, cut, kept, listed, mix, powers, raw_bytes, shingle_hashes, signed, sliding_min, text_slices, winnow, word_hashes, written
+from .common import PLACE, RADIX, RADIX_INV, arrow_rows, cut, kept, listed, mix, powers, raw_bytes, shingle_hashes, signed, sliding_min, text_slices, winnow, word_hashes, written
 from .jaccard import similar
 from .linking import link_by_keys, shared_keys
 
@@ -20,6 +20,10 @@ BANDS, ROWS = 8, 3
 WINDOW = 14
 SALTS = mix(np.arange(51, 51 + BANDS * ROWS, dtype=np.uint64))
 NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Rows that a task hands to Python at once, and bytes of text that are hashed at once: about a hundred bytes of arrays for each.
+ROWS_AT_ONCE, SLICE = 500, 1 << 19
+#: Runs of words that a task hands back at once.
+RUNS_AT_ONCE = 1 << 15
 
 
 def line_ids(words: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -66,7 +70,7 @@ def _lines(batches, least: int) -> Iterator[tuple]:
     """
     for batch in batches:
         column = batch.column("text")
-        for a, b in text_slices(column):
+        for a, b in text_slices(column, SLICE):
             data, ends = raw_bytes(column.slice(a, b - a))
             # a line is a row of its own for the words' hashes
             cuts = np.unique(np.concatenate([ends, np.flatnonzero(data == 10) + 1]))
@@ -262,7 +266,7 @@ def _spot_keys(docs: DataFrame) -> DataFrame:
             if len(seen) > 1 << 20:
                 seen.clear()
             tids, column = tids[new], column.filter(pa.array(new))
-            for a, b in text_slices(column):
+            for a, b in text_slices(column, SLICE):
                 hashes, _, _, first = word_hashes(*raw_bytes(column.slice(a, b - a)))
                 row, key = _all_spots(hashes, first)
                 order = np.lexsort((key, row))
@@ -279,12 +283,17 @@ def _windows(texts: DataFrame) -> DataFrame:
     """(tid, i, w, m, lead): hash of the PASSAGE words from word i on, wherever they hold one of the text's keys; all of them if keys is null; m and lead as in texts."""
     kind = texts.schema["lead"].dataType.simpleString()
 
-    def run(batches) -> Iterator:
+    def made(batch, hashes: list, places: list, rows: list):
         import pyarrow as pa
 
+        own = pa.array(np.concatenate(rows))
+        return pa.RecordBatch.from_arrays([batch.column("tid").take(own), pa.array(np.concatenate(places)), pa.array(signed(np.concatenate(hashes))), batch.column("m").take(own), batch.column("lead").take(own)], names=["tid", "i", "w", "m", "lead"])
+
+    def run(batches) -> Iterator:
         for batch in batches:
-            for r, (tid, text, keys) in enumerate(zip(batch.column("tid").to_pylist(), batch.column("text").to_pylist(), batch.column("keys"), strict=True)):
-                raw = np.frombuffer(text.encode(), dtype=np.uint8)
+            hashes, places, rows = [], [], []
+            for r, (text, keys) in enumerate(zip(batch.column("text"), batch.column("keys"), strict=True)):
+                raw = np.frombuffer(text.as_py().encode(), dtype=np.uint8)
                 words = word_hashes(raw, np.array([0, len(raw)]))[0]
                 if len(words) < PASSAGE:
                     continue
@@ -297,8 +306,14 @@ def _windows(texts: DataFrame) -> DataFrame:
                     np.add.at(change, low[hit], 1)
                     np.add.at(change, high[hit] + 1, -1)
                     i = np.flatnonzero(np.cumsum(change[:-1]) > 0)
-                own = pa.array(np.full(len(i), r))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), tid, dtype=np.int64)), pa.array(i), pa.array(signed(w[i])), batch.column("m").take(own), batch.column("lead").take(own)], names=["tid", "i", "w", "m", "lead"])
+                hashes.append(w[i])
+                places.append(i)
+                rows.append(np.full(len(i), r))
+                if sum(map(len, places)) > RUNS_AT_ONCE:
+                    yield made(batch, hashes, places, rows)
+                    hashes, places, rows = [], [], []
+            if rows:
+                yield made(batch, hashes, places, rows)
 
     return texts.select("tid", "text", "keys", "m", "lead").mapInArrow(run, f"tid long, i long, w long, m long, lead {kind}")
 
@@ -383,7 +398,9 @@ def repeated_passages(docs: DataFrame, text: str = "text", runs: DataFrame | Non
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Lines of any length that have a relative, and passages of whole documents that stand in several places (unit: line, passage)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    # what finds the lines is off the disk when passages are looked for
-    lines = kept(docs.sparkSession, lambda: repeated_paragraphs(docs, least=1))
-    passages = kept(docs.sparkSession, lambda: repeated_passages(docs))
+    spark = docs.sparkSession
+    # what finds the lines is off the disk when passages are looked for; texts reach Python a few at a time, as workers hold batches outside the heap
+    with arrow_rows(spark, ROWS_AT_ONCE):
+        lines = kept(spark, lambda: repeated_paragraphs(docs, least=1))
+        passages = kept(spark, lambda: repeated_passages(docs))
     return lines.withColumn("unit", F.lit("line")).unionByName(passages.withColumn("unit", F.lit("passage")))

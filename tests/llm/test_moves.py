@@ -1,4 +1,4 @@
-"""What operators move: wide rows that several joins need lie in buckets."""
+"""What operators move and hold: wide rows that several joins need lie in buckets, Python gets few texts at once."""
 
 import os
 import sys
@@ -8,7 +8,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import fixtures as fx
 
-from rasterloom.llm import suffix
+from rasterloom.llm import substring, suffix
 
 
 @pytest.fixture
@@ -35,3 +35,18 @@ def test_suffix_dedup_joins_move_no_texts(shuffled, monkeypatch):
     assert suffix.repeated_spans(docs).filter("n_removed > 0").count() > 0
     assert len(plans) == 3 and all("Bucketed: true" in p for p in plans)
     assert not [t for t in shuffled.catalog.listTables() if t.name.startswith("bucketed_")]
+
+
+def test_substring_dedup_hands_texts_to_python_a_few_at_a_time(spark, monkeypatch, tmp_path):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(name), []
+    for of in ("repeated_paragraphs", "repeated_passages"):
+
+        def spy(*args, f=getattr(substring, of), **more):
+            seen.append(int(spark.conf.get(name)))
+            return f(*args, **more)
+
+        monkeypatch.setattr(substring, of, spy)
+    spark.createDataFrame(fx.texts(), fx.SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    assert substring.op7_substring_dedup(spark, str(tmp_path)).filter("not kept").count() > 0
+    assert seen == [substring.ROWS_AT_ONCE] * 2 and spark.conf.get(name) == before
