@@ -8,7 +8,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import fixtures as fx
 
-from rasterloom.llm import substring, suffix
+from rasterloom.llm import linededup, substring, suffix
 
 
 @pytest.fixture
@@ -50,3 +50,18 @@ def test_substring_dedup_hands_texts_to_python_a_few_at_a_time(spark, monkeypatc
     spark.createDataFrame(fx.texts(), fx.SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert substring.op7_substring_dedup(spark, str(tmp_path)).filter("not kept").count() > 0
     assert seen == [substring.ROWS_AT_ONCE] * 2 and spark.conf.get(name) == before
+
+
+def test_line_dedup_moves_only_lines_of_its_pairs(shuffled, monkeypatch):
+    plans = []
+
+    def spy(members, verify, elements, percent, f=linededup.link_by_keys):
+        pairs = members.filter("id <> lead").selectExpr("least(id, lead) as a", "greatest(id, lead) as b").distinct().limit(1)
+        plans.append(verify(pairs)._jdf.queryExecution().executedPlan().toString())
+        return f(members, verify, elements, percent)
+
+    monkeypatch.setattr(linededup, "link_by_keys", spy)
+    rows = [(1, "the quick brown fox jumps over the lazy dog"), (2, "the quick brown fox jumps over the lazy dog."), (3, "nothing like it")]
+    got = {r["doc_id"]: r["n_removed"] for r in linededup.fuzzy_lines(shuffled.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 0}
+    assert plans[0].count("LeftSemi") >= 2
