@@ -134,15 +134,17 @@ def _set_of(z) -> np.ndarray:
 
 def _elements(texts: DataFrame):
     def elements(ids: DataFrame) -> DataFrame:
+        names = ids.columns
+
         def run(batches) -> Iterator:
             import pyarrow as pa
 
             for batch in batches:
                 sets = [_set_of(z) for z in batch.column("z")]
-                at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), pa.array(signed(np.concatenate([*sets, np.zeros(0, np.uint64)])))], names=["id", "e"])
+                at = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in names], pa.array(signed(np.concatenate([*sets, np.zeros(0, np.uint64)])))], names=[*names, "e"])
 
-        return texts.join(ids, "id").select("id", "z").mapInArrow(run, "id long, e long")
+        return texts.join(ids, "id").select(*names, "z").mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", e long")
 
     return elements
 
