@@ -193,16 +193,17 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", least: int = LEAST)
     """
     docs = docs.select("doc_id", F.col(text).alias("text"))
     occ = written(_paragraphs(docs, least).withColumn("oid", F.monotonically_increasing_id()))
-    members = shared_keys(occ.select(F.explode("keys").alias("key"), F.col("pid").alias("id")))
+    spark = docs.sparkSession
+    members = kept(spark, lambda: shared_keys(occ.select(F.explode("keys").alias("key"), F.col("pid").alias("id"))))
     wanted = written(members.select("id").distinct())
     sizes = written(listed(occ.select(F.col("pid").alias("id"), "d"), wanted, "id").groupBy("id").agg(F.first("d").alias("d")))
     texts = _line_texts(docs, least, wanted)
-    comps = link_by_keys(members, _verify(texts, sizes), _elements(texts))
+    comps = kept(spark, lambda: link_by_keys(members, _verify(texts, sizes), _elements(texts)))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "paragraph", "oid")
     own = occ.groupBy("pid").agg(F.count("*").alias("m"), F.min(place).alias("first"))
     named = written(own.join(comps.select(F.col("id").alias("pid"), "comp"), "pid", "left").filter("m > 1 or comp is not null").select("pid", F.coalesce("comp", "pid").alias("comp"), "first"))
-    kept = named.groupBy("comp").agg(F.min("first").alias("kept"))
-    rows = occ.join(written(named.join(kept, "comp").select("pid", "kept")), "pid")
+    firsts = named.groupBy("comp").agg(F.min("first").alias("kept"))
+    rows = occ.join(written(named.join(firsts, "comp").select("pid", "kept")), "pid")
     return rows.select("doc_id", "paragraph", "begin", "end", "n_words", F.col("kept.doc_id").alias("component_id"), (F.col("kept.oid") == F.col("oid")).alias("kept"))
 
 
@@ -329,17 +330,22 @@ def passage_runs(docs: DataFrame) -> DataFrame:
     """
     lead = docs.filter("text is not null").groupBy(F.xxhash64("text").alias("tid")).agg(F.count("*").alias("m"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("lead"))
     docs = docs.select(F.xxhash64("text").alias("tid"), "text").filter("text is not null")
-    pairs = written(_spot_keys(docs))
-    several = pairs.groupBy("key").agg(F.min("tid").alias("t0"), F.max("tid").alias("t1"), F.max("again").alias("again")).filter("t0 < t1 or again")
-    keys = pairs.join(several.select("key"), "key").groupBy("tid").agg(F.collect_set("key").alias("keys"))
-    marked = written(lead.join(keys, "tid", "left").filter("m > 1 or keys is not null").select("tid", "m", "lead", F.when(F.col("m") == 1, F.col("keys")).alias("keys")))
-    texts = listed(docs, marked, "tid").groupBy("tid").agg(F.first("text").alias("text"))
-    runs = written(_windows(texts.join(marked, "tid")))
+    spark = docs.sparkSession
+
+    def make() -> DataFrame:
+        pairs = written(_spot_keys(docs))
+        several = pairs.groupBy("key").agg(F.min("tid").alias("t0"), F.max("tid").alias("t1"), F.max("again").alias("again")).filter("t0 < t1 or again")
+        keys = pairs.join(several.select("key"), "key").groupBy("tid").agg(F.collect_set("key").alias("keys"))
+        return lead.join(keys, "tid", "left").filter("m > 1 or keys is not null").select("tid", "m", "lead", F.when(F.col("m") == 1, F.col("keys")).alias("keys"))
+
+    # each step's shuffles are off the disk before the next begins
+    marked = kept(spark, make)
+    runs = kept(spark, lambda: _windows(listed(docs, marked, "tid").groupBy("tid").agg(F.first("text").alias("text")).join(marked, "tid")))
     place = F.struct("lead.none", "lead.doc_id", "tid", "i")
-    first = runs.groupBy("w").agg(F.min(place).alias("first"), F.sum("m").alias("times")).filter("times > 1").drop("times")
-    found = runs.select("tid", "i", "w").join(written(first), "w")
-    kept = (F.col("first.tid") == F.col("tid")) & (F.col("first.i") == F.col("i"))
-    return found.select("tid", "i", F.col("first.doc_id").alias("doc_id"), kept.alias("kept"))
+    first = kept(spark, lambda: runs.groupBy("w").agg(F.min(place).alias("first"), F.sum("m").alias("times")).filter("times > 1").drop("times"))
+    found = runs.select("tid", "i", "w").join(first, "w")
+    one = (F.col("first.tid") == F.col("tid")) & (F.col("first.i") == F.col("i"))
+    return found.select("tid", "i", F.col("first.doc_id").alias("doc_id"), one.alias("kept"))
 
 
 def _spans(texts: DataFrame, kind: str) -> DataFrame:
@@ -385,12 +391,15 @@ def repeated_passages(docs: DataFrame, text: str = "text", runs: DataFrame | Non
     docs = docs.select("doc_id", F.col(text).alias("text")).filter("text is not null")
     kind = docs.schema["doc_id"].dataType.simpleString()
     tid = F.xxhash64("text").alias("tid")
-    runs = passage_runs(docs) if runs is None else runs
     occ = written(docs.select(tid, "doc_id").withColumn("oid", F.monotonically_increasing_id()))
     classes = written(occ.groupBy("tid").agg(F.count("*").alias("m"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "oid")).alias("lead")))
-    # moved as plain columns first: lists of structs built before would be several times as large
-    found = runs.select("tid", "i", "doc_id", "kept").repartition("tid").groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("i", "doc_id", "kept"))).alias("found"))
-    found = written(found)
+
+    def make() -> DataFrame:
+        # moved as plain columns first: lists of structs built before would be several times as large
+        rows = (passage_runs(docs) if runs is None else runs).select("tid", "i", "doc_id", "kept").repartition("tid")
+        return rows.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("i", "doc_id", "kept"))).alias("found"))
+
+    found = kept(docs.sparkSession, make)
     texts = listed(docs.select(tid, "text"), found, "tid").groupBy("tid").agg(F.first("text").alias("text"))
     spans = _spans(texts.join(found, "tid"), kind)
     rows = occ.join(classes.select("tid", F.col("lead.oid").alias("one")), "tid")
