@@ -50,22 +50,30 @@ def square_sizes(image):
     return side, side
 
 
-def collect(wide, high):
-    """Greedy choice from the bottom right: what is taken is taken from all others' corners."""
-    wide, high = wide.copy(), high.copy()
+def collect(wide, high, apart: bool = False):
+    """Greedy choice from the bottom right: what is taken is no other's corner; apart: and one that reaches into it is cut back to what is free."""
+    import numpy as np
+
     out = []
     h, w = wide.shape
+    free = np.ones((h, w), dtype=bool)
     for j in range(h - 1, -1, -1):
         for i in range(w - 1, -1, -1):
+            if not free[j, i]:
+                continue
             a, b = int(wide[j, i]), int(high[j, i])
-            if a and b:
-                x, y = i - a + 1, j - b + 1
-                wide[y : j + 1, x : i + 1] = 0
-                out.append((x, y, i, j, i, j))
+            held = free[j - b + 1 : j + 1, i - a + 1 : i + 1]
+            if apart and not held.all():
+                # the free run that ends here, and the rows from here up that are free over it
+                a = int(np.argmin(np.append(held[-1, ::-1], False)))
+                b = int(np.argmin(np.append(held[::-1, -a:].all(axis=1), False)))
+            x, y = i - a + 1, j - b + 1
+            free[y : j + 1, x : i + 1] = False
+            out.append((x, y, i, j, i, j))
     return out
 
 
-def _find(px: DataFrame, sizes, keep=None) -> DataFrame:
+def _find(px: DataFrame, sizes, keep=None, apart: bool = False) -> DataFrame:
     kind = px.schema["v"].dataType.simpleString()
     key = px.schema["image_id"].dataType.simpleString()
 
@@ -73,16 +81,19 @@ def _find(px: DataFrame, sizes, keep=None) -> DataFrame:
         import pandas as pd
 
         image, values = _dense(pdf)
-        rows = [(key[0], n, x0, y0, x1, y1, values[image[j, i]]) for n, (x0, y0, x1, y1, i, j) in enumerate(collect(*sizes(image))) if image[j, i] >= 0]
+        rows = [(key[0], n, x0, y0, x1, y1, values[image[j, i]]) for n, (x0, y0, x1, y1, i, j) in enumerate(collect(*sizes(image), apart)) if image[j, i] >= 0]
         return pd.DataFrame(rows, columns=["image_id", "seq", "x0", "y0", "x1", "y1", "v"])
 
     out = px.groupBy("image_id").applyInPandas(find, f"image_id {key}, seq int, x0 int, y0 int, x1 int, y1 int, v {kind}")
     return out if keep is None else out.filter(keep)
 
 
-def find_rectangles(px: DataFrame, keep=None) -> DataFrame:
-    """(image_id, seq, x0, y0, x1, y1, v): closed rectangles of one value, found from the bottom right; keep: a condition on v."""
-    return _find(px, rectangle_sizes, keep)
+def find_rectangles(px: DataFrame, keep=None, apart: bool = False) -> DataFrame:
+    """(image_id, seq, x0, y0, x1, y1, v): closed rectangles of one value, found from the bottom right; keep: a condition on v.
+
+    As in the reference, one may reach into another of its value that was found before; apart: it ends there, so they tile the image.
+    """
+    return _find(px, rectangle_sizes, keep, apart)
 
 
 def find_squares(px: DataFrame, keep=None) -> DataFrame:

@@ -378,7 +378,7 @@ def _covered(found):
 
 @query("find_rectangles", with_sql("blocky", "SELECT image_id, v, count(*) AS covered FROM blocky GROUP BY 1, 2"))
 def find_rectangles(spark, sf):
-    return _covered(shapes.find_rectangles(src.blocky(spark, sf)))
+    return _covered(shapes.find_rectangles(src.blocky(spark, sf), apart=True))
 
 
 @query("find_squares")

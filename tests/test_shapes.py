@@ -119,6 +119,45 @@ def test_rectangles_and_squares(spark):
     assert [tuple(r)[2:] for r in shapes.find_squares(whole).collect()] == [(0, 0, 5, 5, 5)]
 
 
+#: A shape that is found before reaches from below into the stack of another of the same value.
+HOOK = ["xxx.", "xxx.", "xxx.", "xx.."]
+
+
+def test_rectangles_apart(spark):
+    px = spark.createDataFrame([(1, x, y, c) for y, line in enumerate(HOOK) for x, c in enumerate(line)], "image_id long, x int, y int, v string")
+    taken = np.zeros((4, 4), dtype=int)
+    for r in shapes.find_rectangles(px, apart=True).collect():
+        assert {HOOK[y][x] for y in range(r.y0, r.y1 + 1) for x in range(r.x0, r.x1 + 1)} == {r.v}
+        taken[r.y0 : r.y1 + 1, r.x0 : r.x1 + 1] += 1
+    assert (taken == 1).all()
+
+
+def hooked(spark, folder):
+    """A table of embeddings whose blocky image has the hook at its upper left, in blocks of four."""
+    grid = [[HOOK[y][x] if y < 4 and x < 4 else "." for x in range(12)] for y in range(12)]
+    bright = {"x": 0.3, ".": -0.3}
+    rows = [(k, [bright[grid[(k // 6 * 8 + i // 8) // 4][(k % 6 * 8 + i % 8) // 4]] for i in range(64)], 0) for k in range(36)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    return str(folder)
+
+
+def against_sql(spark, folder, name, table):
+    import duckdb
+
+    from rasterloom.plans import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    want = con.sql(ORACLES[name])
+    got = QUERIES[name](spark, folder).select(want.columns)
+    return sorted(map(tuple, got.collect())), sorted(want.fetchall())
+
+
+def test_find_rectangles_covers_once(spark, tmp_path):
+    got, want = against_sql(spark, hooked(spark, tmp_path), "find_rectangles", "embeddings")
+    assert got == want
+
+
 def test_packing_does_not_overlap():
     rng = random.Random(4)
     sizes = sorted(((rng.randint(1, 30), rng.randint(1, 30)) for _ in range(120)), reverse=True)
