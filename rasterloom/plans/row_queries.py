@@ -260,7 +260,7 @@ def _tiling(px, found):
 @query("rectangle_tiling", with_sql("blocky", "SELECT image_id, count(*) AS covered, CAST(0 AS BIGINT) AS twice, CAST(0 AS BIGINT) AS wrong, CAST(0 AS BIGINT) AS late FROM blocky GROUP BY 1"))
 def rectangle_tiling(spark, sf):
     px = src.blocky(spark, sf)
-    return _tiling(px, shapes.find_rectangles(px))
+    return _tiling(px, shapes.find_rectangles(px, apart=True))
 
 
 @query("square_tiling", with_sql("blocky", "SELECT image_id, count(*) AS covered, CAST(0 AS BIGINT) AS twice, CAST(0 AS BIGINT) AS wrong, CAST(0 AS BIGINT) AS late, CAST(0 AS BIGINT) AS oblong FROM blocky WHERE v >= 128 GROUP BY 1"))

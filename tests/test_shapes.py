@@ -153,8 +153,9 @@ def against_sql(spark, folder, name, table):
     return sorted(map(tuple, got.collect())), sorted(want.fetchall())
 
 
-def test_find_rectangles_covers_once(spark, tmp_path):
-    got, want = against_sql(spark, hooked(spark, tmp_path), "find_rectangles", "embeddings")
+@pytest.mark.parametrize("name", ["find_rectangles", "rectangle_tiling"])
+def test_rectangles_cover_once(spark, tmp_path, name):
+    got, want = against_sql(spark, hooked(spark, tmp_path), name, "embeddings")
     assert got == want
 
 
