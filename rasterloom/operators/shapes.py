@@ -100,42 +100,110 @@ def find_squares(px: DataFrame, keep=None) -> DataFrame:
     return _find(px, square_sizes, keep)
 
 
+#: Free areas that are looked through one by one; of so many, the greatest height is known.
+_BLOCK = 64
+
+
+class _Free:
+    """The free areas of an atlas in the order in which they are tried, each [x, y, w, h, block, whether it is as wide as the rectangle at hand].
+
+    Blocks of up to _BLOCK neighbours know the greatest height of their areas that are wide enough. An area that is not
+    waits until a narrower rectangle comes; rectangles come by falling width, so this happens once to each.
+    """
+
+    def __init__(self, width: int, height: int):
+        import numpy as np
+
+        self.blocks: list[list] = [[[], 0]]  # areas, place
+        self.tall = np.full(64, -1, dtype=np.int64)
+        self.waiting: list[tuple] = []
+        self.width, self.made = None, 0
+        self.put(self.blocks[0], 0, 0, [(0, 0, width, height)])
+
+    def narrow(self, width: int) -> None:
+        """From now on areas of this width are wide enough."""
+        import heapq
+
+        if self.width is not None and width > self.width:
+            held = [r for block in self.blocks for r in block[0]]
+            self.waiting = [(-r[2], k, r) for k, r in enumerate(held)]
+            heapq.heapify(self.waiting)
+            self.made = len(held)
+            self.tall[:] = -1
+            for r in held:
+                r[5] = False
+        self.width = width
+        while self.waiting and -self.waiting[0][0] >= width:
+            r = heapq.heappop(self.waiting)[2]
+            if r[4] is not None:
+                r[5] = True
+                self.tall[r[4][1]] = max(self.tall[r[4][1]], r[3])
+
+    def first(self, height: int):
+        """(block, place in it) of the first area that is wide and high enough, or None."""
+        enough = self.tall >= height
+        at = int(enough.argmax())
+        if not enough[at]:
+            return None
+        block = self.blocks[at]
+        return block, next(i for i, r in enumerate(block[0]) if r[5] and r[3] >= height)
+
+    def put(self, block: list, at: int, gone: int, areas: list[tuple[int, int, int, int]]) -> None:
+        """`areas` in place of the `gone` ones at a place of a block."""
+        import heapq
+
+        import numpy as np
+
+        new = [[*r, block, self.width is not None and r[2] >= self.width] for r in areas]
+        for r in block[0][at : at + gone]:
+            r[4] = None
+        block[0][at : at + gone] = new
+        for r in new:
+            if not r[5]:
+                self.made += 1
+                heapq.heappush(self.waiting, (-r[2], self.made, r))
+        changed = [block]
+        if len(block[0]) > _BLOCK:
+            more = [block[0][_BLOCK // 2 :], 0]
+            del block[0][_BLOCK // 2 :]
+            for r in more[0]:
+                r[4] = more
+            self.blocks.insert(block[1] + 1, more)
+            for k in range(block[1] + 1, len(self.blocks)):
+                self.blocks[k][1] = k
+            if len(self.blocks) > len(self.tall):
+                self.tall = np.append(self.tall, np.full(len(self.tall), -1, dtype=np.int64))
+            self.tall[more[1] + 1 :] = self.tall[more[1] : -1].copy()
+            changed.append(more)
+        for b in changed:
+            self.tall[b[1]] = max((r[3] for r in b[0] if r[5]), default=-1)
+
+
 def try_pack(sizes: list[tuple[int, int]], width: int, height: int) -> list[tuple[int, int]] | None:
     """Places of rectangles in order, or None: each takes the corner of the first free area that holds it.
 
-    Areas form a binary tree: taking a corner leaves the strip below (as wide as the rectangle) and all to its right.
-    Areas whose free rest is smaller than the rectangle are passed over.
+    Taking a corner leaves the strip below (as wide as the rectangle) and all to its right, in this order and in place of
+    the area. Areas in which none of the rectangles that follow has room are forgotten.
     """
-    # an area: x, y, w, h, free, below, right, taken
-    areas: list[list] = [[0, 0, width, height, width * height, None, None, False]]
-    places = []
-    for w, h in sizes:
-        need, path, done = w * h, [], None
-        todo = [(0, 0)]
-        while todo:
-            at, depth = todo.pop()
-            del path[depth:]
-            path.append(at)
-            x, y, aw, ah, _, below, right, taken = areas[at]
-            if w > aw or h > ah:
-                continue
-            if not taken:
-                done = at
-                break
-            todo += [(k, depth + 1) for k in (right, below) if k is not None and areas[k][4] >= need]
-        if done is None:
+    import numpy as np
+
+    if not sizes:
+        return []
+    least = np.minimum.accumulate(np.array(sizes, dtype=np.int64)[::-1], axis=0)[::-1].tolist()[1:] + [[MOST_SIDE + 1] * 2]
+    free = _Free(width, height)
+    places: list[tuple[int, int]] = []
+    for (w, h), (least_w, least_h) in zip(sizes, least, strict=True):
+        if w != free.width:
+            free.narrow(w)
+        found = free.first(h)
+        if found is None:
             return None
-        for at in path:
-            areas[at][4] -= need
-        x, y, aw, ah = areas[done][:4]
-        areas[done][7] = True
+        block, at = found
+        x, y, aw, ah = block[0][at][:4]
         places.append((x, y))
-        if h < ah:
-            areas[done][5] = len(areas)
-            areas.append([x, y + h, w, ah - h, w * (ah - h), None, None, False])
-        if w < aw:
-            areas[done][6] = len(areas)
-            areas.append([x + w, y, aw - w, ah, (aw - w) * ah, None, None, False])
+        left = ((x, y + h, w, ah - h), (x + w, y, aw - w, ah))
+        inside = (h < ah, w < aw)
+        free.put(block, at, 1, [r for r, own in zip(left, inside, strict=True) if own and r[2] >= least_w and r[3] >= least_h])
     return places
 
 

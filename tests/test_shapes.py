@@ -1,6 +1,7 @@
 """Contours, rectangles, packing, filling and equalisation against hand-made cases and brute force."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -174,6 +175,43 @@ def test_packing_does_not_overlap():
     assert shapes.pack_sizes([(64, 64)]) == ([(0, 0)], 64, 64)
 
 
+def plain_pack(sizes, width, height):
+    """Each rectangle takes the first free area that holds it; the strip below and all to its right are free in its place."""
+    free, places = [(0, 0, width, height)], []
+    for w, h in sizes:
+        at = next((k for k, r in enumerate(free) if r[2] >= w and r[3] >= h), None)
+        if at is None:
+            return None
+        x, y, aw, ah = free[at]
+        places.append((x, y))
+        free[at : at + 1] = [(x, y + h, w, ah - h)] * (h < ah) + [(x + w, y, aw - w, ah)] * (w < aw)
+    return places
+
+
+@pytest.mark.parametrize("by_width", [True, False])
+def test_packing_takes_the_first_free_area(by_width, monkeypatch):
+    monkeypatch.setattr(shapes, "_BLOCK", 4)
+    rng = random.Random(5)
+    for n in (1, 2, 40, 300):
+        sizes = [(rng.randint(0, 60), rng.randint(0, 25)) for _ in range(n)]
+        if by_width:
+            sizes.sort(key=lambda s: -s[0])
+        for side in (64, 128, 256, 512):
+            assert shapes.try_pack(sizes, side, side) == plain_pack(sizes, side, side)
+
+
+def test_packing_of_many():
+    """An atlas of 40,000: not each is tried in every free area."""
+    sizes = sorted(((1 + k * 7919 % 50, 1 + k % 37) for k in range(40_000)), reverse=True)
+    begin = time.monotonic()
+    places, w, h = shapes.pack_sizes(sizes)
+    assert time.monotonic() - begin < 20
+    taken = np.zeros((h, w), dtype=np.int8)
+    for (x, y), (a, b) in zip(places, sizes):
+        taken[y : y + b, x : x + a] += 1
+    assert taken.max() == 1 and taken.sum() == sum(a * b for a, b in sizes)
+
+
 def test_merge_rects(spark):
     rects = spark.createDataFrame([(1, 1, 0.0, 0.0, 4.0, 4.0), (1, 2, 1.0, 1.0, 5.0, 4.0), (1, 3, 50.0, 50.0, 60.0, 60.0)], "atlas_id int, rect_id int, x0 double, y0 double, x1 double, y1 double")
     assert sorted(map(tuple, shapes.merge_rects(rects).collect())) == [(1, 1, 0.0, 0.0, 5.0, 4.0), (1, 3, 50.0, 50.0, 60.0, 60.0)]
