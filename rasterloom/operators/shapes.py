@@ -179,11 +179,12 @@ class _Free:
             self.tall[b[1]] = max((r[3] for r in b[0] if r[5]), default=-1)
 
 
-def try_pack(sizes: list[tuple[int, int]], width: int, height: int) -> list[tuple[int, int]] | None:
+def try_pack(sizes: list[tuple[int, int]], width: int, height: int, partly: bool = False) -> list[tuple[int, int] | None] | None:
     """Places of rectangles in order, or None: each takes the corner of the first free area that holds it.
 
     Taking a corner leaves the strip below (as wide as the rectangle) and all to its right, in this order and in place of
-    the area. Areas in which none of the rectangles that follow has room are forgotten.
+    the area. Areas in which none of the rectangles that follow has room are forgotten. partly: one that fits nowhere has
+    no place (None), and the others go on.
     """
     import numpy as np
 
@@ -191,13 +192,16 @@ def try_pack(sizes: list[tuple[int, int]], width: int, height: int) -> list[tupl
         return []
     least = np.minimum.accumulate(np.array(sizes, dtype=np.int64)[::-1], axis=0)[::-1].tolist()[1:] + [[MOST_SIDE + 1] * 2]
     free = _Free(width, height)
-    places: list[tuple[int, int]] = []
+    places: list[tuple[int, int] | None] = []
     for (w, h), (least_w, least_h) in zip(sizes, least, strict=True):
         if w != free.width:
             free.narrow(w)
         found = free.first(h)
         if found is None:
-            return None
+            if not partly:
+                return None
+            places.append(None)
+            continue
         block, at = found
         x, y, aw, ah = block[0][at][:4]
         places.append((x, y))
@@ -230,16 +234,48 @@ def pack_sizes(sizes: list[tuple[int, int]], inflate: float = 2.0, most: tuple[i
     return places, w, h
 
 
+def pack_sheets(sizes: list[tuple[int, int]], inflate: float = 2.0, most: tuple[int, int] | None = None) -> list[tuple[int, int, int, int, int]]:
+    """(sheet, x, y, w, h) of each rectangle: as pack_sizes while the largest atlas holds them all, else in several sheets.
+
+    A sheet of the largest size takes what it can, in order; the rest goes to the next. Only a rectangle that is itself
+    larger than a sheet raises AreaTooLarge.
+    """
+    out: list = [None] * len(sizes)
+    rest, sheet = list(range(len(sizes))), 0
+    while rest:
+        own = [sizes[k] for k in rest]
+        try:
+            places, w, h = pack_sizes(own, inflate, most)
+        except AreaTooLarge:
+            w, h = most or (MOST_SIDE, MOST_SIDE)
+            if any(a > w or b > h for a, b in own):
+                raise
+            places = try_pack(own, w, h, partly=True)
+        for k, p in zip(rest, places, strict=True):
+            if p is not None:
+                out[k] = (sheet, *p, w, h)
+        rest, sheet = [k for k, p in zip(rest, places, strict=True) if p is None], sheet + 1
+    return out
+
+
 def pack(rects: DataFrame, inflate: float = 2.0, most: tuple[int, int] | None = None) -> DataFrame:
-    """rects (atlas_id, rect_id, w, h) with pack_x, pack_y, atlas_w, atlas_h; wider ones first, ties by rect_id."""
+    """rects (atlas_id, rect_id, w, h) with pack_x, pack_y, atlas_w, atlas_h and sheet; wider ones first, ties by rect_id.
+
+    An atlas whose rectangles the largest size does not hold has several sheets, from 0, see pack_sheets.
+    """
 
     def run(pdf):
         pdf = pdf.sort_values(["w", "rect_id"], ascending=[False, True], kind="stable")
-        places, w, h = pack_sizes(list(zip(pdf["w"].tolist(), pdf["h"].tolist(), strict=True)), inflate, most)
-        return pdf.assign(pack_x=[p[0] for p in places], pack_y=[p[1] for p in places], atlas_w=w, atlas_h=h)[["atlas_id", "rect_id", "w", "h", "pack_x", "pack_y", "atlas_w", "atlas_h"]]
+        return pdf.assign(**_placed(pack_sheets(list(zip(pdf["w"].tolist(), pdf["h"].tolist(), strict=True)), inflate, most)))[["atlas_id", "rect_id", "w", "h", "pack_x", "pack_y", "atlas_w", "atlas_h", "sheet"]]
 
     kind = lambda c: rects.schema[c].dataType.simpleString()
-    return rects.select("atlas_id", "rect_id", "w", "h").groupBy("atlas_id").applyInPandas(run, f"atlas_id {kind('atlas_id')}, rect_id {kind('rect_id')}, w {kind('w')}, h {kind('h')}, pack_x int, pack_y int, atlas_w int, atlas_h int")
+    return rects.select("atlas_id", "rect_id", "w", "h").groupBy("atlas_id").applyInPandas(run, f"atlas_id {kind('atlas_id')}, rect_id {kind('rect_id')}, w {kind('w')}, h {kind('h')}, pack_x int, pack_y int, atlas_w int, atlas_h int, sheet int")
+
+
+def _placed(places: list[tuple[int, int, int, int, int]]) -> dict:
+    import numpy as np
+
+    return dict(zip(("sheet", "pack_x", "pack_y", "atlas_w", "atlas_h"), np.array(places, dtype=np.int32).reshape(-1, 5).T, strict=True))
 
 
 def merge_rects(rects: DataFrame) -> DataFrame:

@@ -284,13 +284,13 @@ def first_rectangle(spark, sf):
 
 
 def _packed(p):
-    """By atlas: rectangles, their area, how many lie outside and how many pairs overlap."""
+    """By atlas: rectangles, their area, how many lie outside and how many pairs of a sheet overlap."""
     out = (C("pack_x") < 0) | (C("pack_y") < 0) | (C("pack_x") + C("w") > C("atlas_w")) | (C("pack_y") + C("h") > C("atlas_h"))
     sums = p.groupBy("atlas_id").agg(F.count("*").alias("n"), F.sum(C("w") * C("h")).cast("long").alias("area"), F.count_if(out).alias("outside"))
-    a, b = (p.select("atlas_id", *[C(c).alias(f"{c}_{s}") for c in ("rect_id", "pack_x", "pack_y", "w", "h")]) for s in "ab")
+    a, b = (p.select("atlas_id", *[C(c).alias(f"{c}_{s}") for c in ("rect_id", "pack_x", "pack_y", "w", "h")], "sheet") for s in "ab")
     # neighbours by cells of 64, so no rectangle meets all others of its atlas
     cells = lambda d, s: d.withColumn("cx", F.explode(F.sequence(F.expr(f"pack_x_{s} div 64"), F.expr(f"(pack_x_{s} + w_{s} - 1) div 64")))).withColumn("cy", F.explode(F.sequence(F.expr(f"pack_y_{s} div 64"), F.expr(f"(pack_y_{s} + h_{s} - 1) div 64"))))
-    met = cells(a, "a").join(cells(b, "b"), ["atlas_id", "cx", "cy"]).filter("rect_id_a < rect_id_b")
+    met = cells(a, "a").join(cells(b, "b"), ["atlas_id", "sheet", "cx", "cy"]).filter("rect_id_a < rect_id_b")
     met = met.filter("pack_x_a < pack_x_b + w_b and pack_x_b < pack_x_a + w_a and pack_y_a < pack_y_b + h_b and pack_y_b < pack_y_a + h_a")
     over = met.groupBy("atlas_id").agg(F.count_distinct("rect_id_a", "rect_id_b").alias("overlaps"))
     return sums.join(over, "atlas_id", "left").withColumn("overlaps", F.coalesce("overlaps", F.lit(0)).cast("long"))
@@ -306,7 +306,7 @@ def pack_overlaps(spark, sf):
 
 @query("pack_inflated", with_sql("rects", _NO_OVERLAP.replace("FROM rects", "FROM (SELECT rect_id % 64 AS atlas_id, w, h FROM rects)")))
 def pack_inflated(spark, sf):
-    """Small atlases that grow by half, up to a largest size."""
+    """Small atlases that grow by half, up to a largest size; what it does not hold goes to further sheets."""
     r = src.rects(spark, sf).withColumn("atlas_id", C("rect_id") % 64)
     return _packed(shapes.pack(r, 1.5, (4096, 4096)))
 

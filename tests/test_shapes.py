@@ -212,6 +212,31 @@ def test_packing_of_many():
     assert taken.max() == 1 and taken.sum() == sum(a * b for a, b in sizes)
 
 
+def test_packing_in_sheets():
+    sizes = [(60, 50)] * 5 + [(30, 20)] * 3
+    got = shapes.pack_sheets(sizes, most=(128, 64))
+    assert {r[0] for r in got} == {0, 1, 2} and {r[3:] for r in got if r[0] < 2} == {(128, 64)}
+    for sheet in range(3):
+        taken = np.zeros((64, 128), dtype=int)
+        for (s, x, y, w, h), (a, b) in zip(got, sizes, strict=True):
+            if s == sheet:
+                assert x + a <= w and y + b <= h
+                taken[y : y + b, x : x + a] += 1
+        assert taken.max() == 1
+    places, w, h = shapes.pack_sizes(sizes)
+    assert shapes.pack_sheets(sizes) == [(0, *p, w, h) for p in places]
+    assert shapes.pack_sheets([]) == []
+    with pytest.raises(shapes.AreaTooLarge):
+        shapes.pack_sheets([(10, 10), (100, 65)], most=(128, 64))
+
+
+def test_pack_inflated_beyond_the_largest_size(spark, tmp_path):
+    """One atlas of 300 rectangles that are 23 M pixels, where a sheet has 16.8 M."""
+    spark.range(300).selectExpr("id * 64 as p_partkey", "4000 as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    got, want = against_sql(spark, str(tmp_path), "pack_inflated", "part")
+    assert got == want and len(got) == 1
+
+
 def test_merge_rects(spark):
     rects = spark.createDataFrame([(1, 1, 0.0, 0.0, 4.0, 4.0), (1, 2, 1.0, 1.0, 5.0, 4.0), (1, 3, 50.0, 50.0, 60.0, 60.0)], "atlas_id int, rect_id int, x0 double, y0 double, x1 double, y1 double")
     assert sorted(map(tuple, shapes.merge_rects(rects).collect())) == [(1, 1, 0.0, 0.0, 5.0, 4.0), (1, 3, 50.0, 50.0, 60.0, 60.0)]
