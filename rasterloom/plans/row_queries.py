@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import color, geometry, headers, svg
 from ..operators import clahe, masks, neighborhood, quadtree, rasterize, resample, shapes, solve
+from ..operators.rounds import settled
 from ..sources import derived as src
 from ..sources import files, formats
 from ..sources.derived import with_sql
@@ -285,6 +286,7 @@ def first_rectangle(spark, sf):
 
 def _packed(p):
     """By atlas: rectangles, their area, how many lie outside and how many pairs of a sheet overlap."""
+    p = settled(p)  # read three times, packed once
     out = (C("pack_x") < 0) | (C("pack_y") < 0) | (C("pack_x") + C("w") > C("atlas_w")) | (C("pack_y") + C("h") > C("atlas_h"))
     sums = p.groupBy("atlas_id").agg(F.count("*").alias("n"), F.sum(C("w") * C("h")).cast("long").alias("area"), F.count_if(out).alias("outside"))
     a, b = (p.select("atlas_id", *[C(c).alias(f"{c}_{s}") for c in ("rect_id", "pack_x", "pack_y", "w", "h")], "sheet") for s in "ab")

@@ -237,6 +237,14 @@ def test_pack_inflated_beyond_the_largest_size(spark, tmp_path):
     assert got == want and len(got) == 1
 
 
+def test_overlaps_pack_once(spark, sf_dir):
+    """The packed rectangles are read three times; the plan that reads them packs none."""
+    from rasterloom.plans import QUERIES
+
+    for name in ("pack_overlaps", "pack_inflated"):
+        assert "InPandas" not in QUERIES[name](spark, sf_dir)._jdf.queryExecution().toString()
+
+
 def test_merge_rects(spark):
     rects = spark.createDataFrame([(1, 1, 0.0, 0.0, 4.0, 4.0), (1, 2, 1.0, 1.0, 5.0, 4.0), (1, 3, 50.0, 50.0, 60.0, 60.0)], "atlas_id int, rect_id int, x0 double, y0 double, x1 double, y1 double")
     assert sorted(map(tuple, shapes.merge_rects(rects).collect())) == [(1, 1, 0.0, 0.0, 5.0, 4.0), (1, 3, 50.0, 50.0, 60.0, 60.0)]
