@@ -266,8 +266,8 @@ class ContainerReader(DataSourceReader):
     def read(self, partition):
         with open(partition.value, "rb") as f:
             data = f.read()
-        for name in fm.container_names(data):
-            yield partition.value, name, fm.container_read(data, name)
+        for name, content in fm.container_items(data):
+            yield partition.value, name, content
 
 
 class FileMessage(WriterCommitMessage):
@@ -367,7 +367,7 @@ def container_entries(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                names = fm.container_names(bytes(content))
-                yield pd.DataFrame({"path": path, "name": names, "content": [fm.container_read(bytes(content), n) for n in names]})
+                held = list(fm.container_items(bytes(content)))
+                yield pd.DataFrame({"path": path, "name": [n for n, _ in held], "content": [c for _, c in held]})
 
     return files.select("path", "content").mapInPandas(run, "path string, name string, content binary")

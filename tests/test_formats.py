@@ -2,6 +2,7 @@
 
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -119,6 +120,19 @@ def test_orientation_columns_agree(spark):
             assert seen[r["sy"], r["sx"]] == image[r["y"], r["x"]]
 
 
+def test_container_is_read_once(spark, monkeypatch):
+    """Thousands of files come out with one pass over the directories, and none is looked for by its name."""
+    held = {str(k): bytes([k % 256]) * (k % 3000) for k in range(3000)}
+    box = fm.container_write(held)
+    passes, parse = [], fm.tiff_directories
+    monkeypatch.setattr(fm, "tiff_directories", lambda data: passes.append(1) or parse(data))
+    assert dict(fm.container_items(box)) == held and len(passes) == 1
+    monkeypatch.undo()
+    begin = time.monotonic()
+    rows = files.container_entries(spark.createDataFrame([("a", box)], "path string, content binary")).collect()
+    assert {r["name"]: bytes(r["content"]) for r in rows} == held and time.monotonic() - begin < 30
+
+
 def test_container_and_embedded_masks():
     box = fm.container_write({"a": b"first", "b.bin": bytes(range(256)) * 9})
     assert fm.container_names(box) == ["a", "b.bin"] and fm.container_read(box, "b.bin") == bytes(range(256)) * 9
